@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, sharding, urls
+from . import chat, mixing, packing, sharding, substrings, urls
 from .common import table
 
 
@@ -77,6 +77,12 @@ SELECT page_id, q.host, q.path, best.rule AS rule, coalesce(best.v, 'allow') AS
 """
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup(table(spark, sf_dir, "documents"))
+    plain = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""), " ")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", plain), 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -86,5 +92,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat, op3_mixing, op4_url_filter, op7_packing, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat, op3_mixing, op4_url_filter, op5_substrings, op7_packing, op10_sharding)}
 SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_url_filter": OP4_SQL}
