@@ -106,11 +106,11 @@ def _profiles(size: int, percent: int, common: np.ndarray):
     return run
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
+
 
 
 def ones(bits: np.ndarray) -> np.ndarray:
-    return _ONES[bits].sum(axis=-1, dtype=np.int64)
+    return np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
 
 
 class Tree:
