@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, mixing, neardup, packing, sharding, substrings, urls
+from . import chat, fingerprints, langid, mixing, neardup, neighbours, packing, sharding, substrings, urls
 from .common import table
 
 
@@ -87,6 +87,11 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", plain), 256).alias("kept_sha256"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -109,5 +114,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_chat, op3_mixing, op4_url_filter, op5_substrings, op7_packing, op8_language_id, op9_fingerprints, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_chat, op3_mixing, op4_url_filter, op5_substrings, op6_neighbours, op7_packing, op8_language_id, op9_fingerprints, op10_sharding)}
 SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_url_filter": OP4_SQL}
