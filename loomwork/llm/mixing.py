@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import word_count, written
 
 #: Hex digits of the hash that make a document's draw.
 DIGITS = 12
+#: The most sources that are broadcast.
+BROADCAST = 100_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -42,28 +44,40 @@ def draw(seed: str, key: Column) -> Column:
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
 
 
+def goals(docs: DataFrame, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """_source, source_size, target, rate of every source, to be joined to documents.
+
+    The sizes are summed before the shuffle. The table is written and counted; up to BROADCAST sources are
+    broadcast, more are joined by shuffle, where adaptive execution splits a hot source.
+    """
+    sizes = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    found = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
+    found = written(found.withColumnRenamed("source", "_source"), "goals")
+    return F.broadcast(found) if found.count() <= BROADCAST else found
+
+
+def copies(rate: Column, key: Column, seed: str) -> Column:
+    """floor(rate), and one more if the key's draw is below the rest."""
+    return (F.floor(rate) + (draw(seed, key) < rate - F.floor(rate)).cast("long")).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies.
+    """One row per document: doc_id, source, size, source_size, target, copies.
 
     A document is emitted floor(rate) times, plus once more if its draw is below the rate's fraction.
     Size is the number of words (null or empty text: 0). Null is a source of its own. Documents with one id
     draw alike. No documents: no rows.
-
-    The sizes by source are summed before the shuffle. The join back is left to adaptive execution, which
-    broadcasts the sources once their measured size is below the threshold and splits a hot source otherwise.
     """
+    found = goals(docs, text_col, source_col, weights, share, most)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    goals = goals.withColumnRenamed("source", "_source")
-    out = rows.join(goals, rows["source"].eqNullSafe(goals["_source"]), "left")
-    whole = F.floor("rate")
-    copies = whole + (draw(seed, F.col("doc_id")) < F.col("rate") - whole).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
-
-
-def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: docs with each row as often as mix() says. Rows that share an id share its draw."""
-    mixed = mix(docs, id_col, text_col, source_col, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), "copies")
-    mixed = mixed.where("copies > 0").dropDuplicates(["_id", "_src"])
-    out = docs.join(mixed, docs[id_col].eqNullSafe(mixed["_id"]) & docs[source_col].eqNullSafe(mixed["_src"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    rows = rows.join(found, F.col("source").eqNullSafe(F.col("_source")), "left")
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
+
+
+def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The mix itself: docs, each row as often as mix() says."""
+    found = goals(docs, text_col, source_col, weights, share, most).select("_source", F.col("rate").alias("_rate"))
+    rows = docs.join(found, docs[source_col].eqNullSafe(found["_source"]), "left")
+    times = copies(F.col("_rate"), docs[id_col], seed).cast("int")
+    again = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))
+    return rows.select(*[docs[c] for c in docs.columns], again.alias("_copy")).drop("_copy")
