@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import placed, ranked, written
-from .textkit import ranges, slices, words
+from .textkit import ranges, raw, slices
 
 #: Words whose ids a Python worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 1_200_000
 #: A control character that the encoder makes one id of its own; marks where a word ends in a list of words.
 MARK = "\x01"
 
@@ -61,18 +62,29 @@ class WordEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, first id of each text and the number of all)."""
-        buf, starts, ends, first = words(column)
-        data = buf.tobytes()
+        buf, offsets = raw(column)
+        data, cuts = buf.tobytes(), offsets.tolist()
         if len(self.known) > KEPT_WORDS:
             self._clear()
-        listed = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        if new := list({w for w in listed if w not in self.known}):
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, listed), dtype=np.int64, count=len(listed))
+        listed, first = [], [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            listed += data[a:b].split()  # bytes split at ASCII white space only
+            first.append(len(listed))
+        found = list(map(self.known.get, listed))
+        if None in found:
+            self._learn(list({w for w, k in zip(listed, found, strict=True) if k is None}))
+            found = [self.known[w] if k is None else k for w, k in zip(listed, found, strict=True)]
+        at = np.array(found, dtype=np.int64)
         lengths = self.lengths[at]
         before = np.zeros(len(at) + 1, dtype=np.int64)
         np.cumsum(lengths, out=before[1:])
-        return self.ids[ranges(self.starts[at], lengths)], before[first]
+        return self.ids[ranges(self.starts[at], lengths)], before[np.array(first)]
+
+
+@lru_cache(2)
+def _encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker."""
+    return WordEncoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             for part in slices(batch, 1):
