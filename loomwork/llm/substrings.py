@@ -14,6 +14,8 @@ from .textkit import mixed, ranges, runs, slices, span_hashes, word_hashes, word
 
 #: An anchor held by so many slices of the input is hot: its windows are dealt out one by one.
 HOT = 100
+#: The most hot anchors that are broadcast; more are joined by shuffle.
+BROADCAST = 100_000
 SLICE = 4 << 20
 _NULL_ID = -(1 << 63)
 
@@ -230,6 +232,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wi
     found = found.repartition("key").sortWithinPartitions("key")
     again = written(found.mapInArrow(_repeated, "h long, doc long, pos int, slices long"), "anchors")
     hot = again.where(F.col("slices") >= HOT).select("h").distinct().withColumn("_hot", F.lit(1))
+    if hot.count() <= BROADCAST:
+        hot = F.broadcast(hot)
     again = again.join(hot, "h", "left").groupBy("doc").agg(F.collect_list(F.col("pos") * 2 + F.coalesce("_hot", F.lit(0))).alias("marks"))
     seeded = texts.where("text is not null").join(again, "doc").select("doc", "text", F.xxhash64("text").alias("th"), "marks")
     found = seeded.mapInArrow(_windows(window, gram), "key long, doc long, th long, pos int, n int, hashes binary")
