@@ -59,8 +59,8 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int = 30, *, query: Sequence
     spark = chunks.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     left = chunks.select(F.col(chunk).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts).cast("long")))
-    right = queries.select(F.struct(*query).alias("q"), F.col(vector).cast("array<double>").alias("v")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    kind, id_kind = right.schema["q"].dataType.simpleString(), left.schema["chunk_id"].dataType.simpleString()
+    right = queries.select(F.to_json(F.struct(*query), {"ignoreNullFields": "false"}).alias("q"), F.col(vector).cast("array<double>").alias("v")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    kind, id_kind = queries.select(*query).schema.simpleString(), left.schema["chunk_id"].dataType.simpleString()
 
     def unit(column: pd.Series) -> np.ndarray:
         m = np.array(column.to_list(), dtype=float).reshape(len(column), -1)
@@ -77,10 +77,10 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int = 30, *, query: Sequence
                 score = np.round(np.clip(unit(block["v"]) @ m.T, 0, 1), 12)
                 first = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 out += [pd.DataFrame({"q": [q] * len(f), "chunk_id": ids[f], "dense_score": row[f]}) for q, f, row in zip(block["q"], first, score, strict=True)]
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "chunk_id": [], "dense_score": []})
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "chunk_id": mine["chunk_id"][:0], "dense_score": []}).astype({"q": object, "dense_score": float})
 
-    found = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(best, f"q {kind}, chunk_id {id_kind}, dense_score double")
-    found = found.select("q.*", "chunk_id", "dense_score")
+    found = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(best, f"q string, chunk_id {id_kind}, dense_score double")
+    found = found.withColumn("q", F.from_json("q", kind)).select("q.*", "chunk_id", "dense_score")
     return ranked(found, list(query), "dense_score", rank="dense_rank", limit=k)
 
 
