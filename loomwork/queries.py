@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fixed, places, scores, segments, text
-from .operators import analytics, context, evaluation, filters, reports, retrieval, rows
+from .operators import analytics, context, evaluation, filters, reports, results, retrieval, rows, summaries
 from .streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,3 +480,70 @@ def row_chunks(spark, d):
     values = F.create_map(F.lit("Company"), F.col("s_name"), F.lit("Category"), F.lit("Tier 1"), F.lit("Location"), F.col("n_name"), F.lit("EV Supply Chain Role"), F.col("r_name"), F.lit("Employment"), F.round("s_acctbal").cast("int").cast("string"))
     sheet = s.select(F.lit("supplier").alias("source_file"), F.lit("Data").alias("sheet_name"), F.col("s_suppkey").cast("int").alias("row_number"), values.alias("values"))
     return rows.row_chunks(sheet)
+
+
+def _companies(spark, d):
+    """customer with nation and part names as canonical rows."""
+    c, p = customers(spark, d), t(spark, d, "part")
+    c = c.join(p, c["c_custkey"] == p["p_partkey"])
+    role = F.element_at(F.split("p_type", " "), 1)
+    flag = F.when(F.col("c_acctbal") > 5000, "Yes").when(F.col("c_acctbal") < 0, "Indirect").otherwise("No")
+    return c.select(
+        F.lit("customer").alias("source_file"), F.col("c_name").alias("company"), F.col("c_mktsegment").alias("category"), F.col("p_type").alias("product_service"), role.alias("ev_supply_chain_role"),
+        F.col("p_brand").alias("primary_oems"), F.lit("").alias("industry_group"), F.col("n_name").alias("county"), F.when(F.col("n_regionkey") > 1, F.concat(F.lit("R"), F.col("n_regionkey"))).otherwise("").alias("state"),
+        F.col("p_size").cast("bigint").alias("employment_num"), F.lit(False).alias("is_global_outlier"), flag.alias("ev_battery_relevant"),
+    )
+
+
+COMPANIES = f"""WITH r AS (SELECT c_name AS company, c_mktsegment AS category, p_type, split_part(p_type, ' ', 1) AS role, p_brand AS oem, n_name AS county, CASE WHEN n_regionkey > 1 THEN 'R' || n_regionkey ELSE '' END AS state,
+  p_size::BIGINT AS emp, c_acctbal > 5000 AS yes, c_acctbal < 0 AS ind FROM {CUSTOMERS} JOIN part ON c_custkey = p_partkey),
+  s AS (SELECT *, '' AS scope FROM r UNION ALL SELECT *, state FROM r WHERE state <> '')"""
+
+
+@query(COMPANIES + """, g AS (SELECT scope, county, count(*) AS companies, sum(emp)::BIGINT AS employment, count(*) FILTER (WHERE yes) AS ev_yes, count(*) FILTER (WHERE ind) AS ev_indirect FROM s GROUP BY ALL)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY companies DESC, employment DESC, county)::INT AS place FROM g) WHERE place <= 15""")
+def scoped_county_cluster(spark, d):
+    return summaries.county_cluster(_companies(spark, d))
+
+
+@query(COMPANIES + """, c AS (SELECT scope, role, county, count(*) AS n FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY scope, role ORDER BY n DESC, county) AS at_ FROM c),
+  g AS (SELECT scope, role, sum(n)::BIGINT AS companies, count(*) AS counties, max(county) FILTER (WHERE at_ = 1) AS top_county, round(max(n)::DOUBLE / sum(n), 4) AS share FROM k GROUP BY ALL),
+  m AS (SELECT scope, role, category, count(*) AS n FROM s GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY scope, role ORDER BY n DESC, category) AS at_ FROM m),
+  x AS (SELECT scope, role, string_agg(category || ': ' || n, '; ' ORDER BY at_) AS category_mix FROM o WHERE at_ <= 3 GROUP BY ALL)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY companies DESC, share DESC, role)::INT AS place FROM g JOIN x USING (scope, role)) WHERE place <= 15""")
+def scoped_role_concentration(spark, d):
+    return summaries.role_concentration(_companies(spark, d))
+
+
+@query(COMPANIES + """, m AS (SELECT scope, oem, count(*) AS suppliers FROM s GROUP BY ALL), p AS (SELECT scope, oem, company, row_number() OVER (PARTITION BY scope, oem ORDER BY company) AS at_ FROM s),
+  x AS (SELECT scope, oem, string_agg(company, '; ' ORDER BY at_) AS samples FROM p WHERE at_ <= 3 GROUP BY ALL)
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY suppliers DESC, oem)::INT AS place FROM m JOIN x USING (scope, oem)) WHERE place <= 15""")
+def scoped_oem_linkage(spark, d):
+    return summaries.oem_linkage(_companies(spark, d)).select("scope", "oem", "suppliers", "samples", "place")
+
+
+@query()
+def derived_chunks(spark, d):
+    return summaries.chunks(_companies(spark, d))
+
+
+@query("""SELECT item_id, CASE WHEN contains(q, 'imports') OR contains(q, 'demand') THEN 'web_needed' WHEN contains(q, 'highest') OR contains(q, 'risk') THEN 'analytic' ELSE 'lookup' END AS route
+  FROM (SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'What are the imports?' WHEN 1 THEN 'Which is highest?' WHEN 2 THEN 'Rising demand and risk' ELSE 'Where?' END AS q FROM benchmark)""")
+def question_routes(spark, d):
+    n = F.col("item_id") % 4
+    q = F.when(n == 0, "What are the  IMPORTS?").when(n == 1, "Which is highest?").when(n == 2, "Rising demand and risk").otherwise("Where?")
+    return t(spark, d, "benchmark").select("item_id", results.route(q).alias("route"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'no_rag' ELSE 'rag' END AS mode, 'm' || conv_id % 3 AS model_display FROM conversations""")
+def run_modes(spark, d):
+    name = F.concat(F.lit("m"), F.col("conv_id") % 3, F.when(F.col("role") == "user", "_no_rag").otherwise("_rag"))
+    return results.with_modes(t(spark, d, "conversations").select("conv_id", "turn", name.alias("run_name"))).drop("run_name")
+
+
+@query("""SELECT q_id, string_agg(chunk_id, ',' ORDER BY dense_rank) AS ids FROM (""" + DENSE + """ SELECT * FROM r WHERE dense_rank <= 5) GROUP BY 1""")
+def retrieval_logs(spark, d):
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("label "), F.col("label")).alias("text"))
+    hits = _dense(spark, d, 5).join(e, "chunk_id").select("q_id", "chunk_id", "text", F.col("dense_rank").alias("rank"), F.col("dense_score").alias("final_score"))
+    log = results.retrieval_log(hits, "local")
+    return log.select("q_id", F.array_join(F.transform("hits", lambda x: x["chunk_id"].cast("string")), ",").alias("ids"))

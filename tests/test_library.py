@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork import models
-from loomwork.operators import analytics, context, evaluation, filters, reports, retrieval, rows
+from loomwork.operators import analytics, context, evaluation, filters, judging, reports, results, retrieval, rows, summaries
 from loomwork.plans import planner
 from loomwork.sources import documents, sinks, tables
 from loomwork.streaming import events
@@ -275,3 +275,60 @@ def test_streams(spark, tmp_path):
     w = events.tumbling(stream).writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp2").start()
     w.awaitTermination(60)
     assert spark.table("w").count() == 2
+
+
+def test_summaries(wide):
+    got = {(r["scope"], r["county"]): (r["companies"], r["employment"], r["ev_yes"], r["ev_indirect"]) for r in summaries.county_cluster(wide).collect()}
+    assert got[("", "Troup County")] == (3, 2940, 2, 1) and got[("Georgia", "Bibb County")] == (2, 0, 0, 1) and ("Alabama", "Troup County") not in got
+    roles = {(r["scope"], r["role"]): r for r in summaries.role_concentration(wide).collect()}
+    assert roles[("", "Battery Pack")]["category_mix"] == "Tier 1: 2; Tier 2/3: 1" and roles[("", "Battery Pack")]["place"] == 1
+    index = {r["rule"]: r for r in summaries.capability_index(wide).where("scope = ''").collect()}
+    assert (index["complete battery packs"]["companies"], index["complete battery packs"]["samples"]) == (3, "Delta; Gamma; Epsilon") and index["dc fast charging hardware"]["companies"] == 0 and len(index) == 6
+    oems = {r["oem"]: r for r in summaries.oem_linkage(wide).where("scope = ''").collect()}
+    assert oems["Unspecified OEM"]["suppliers"] == 2 and oems["Alpha"]["samples"] == "Gamma; Gamma"
+    assert {r["rule"]: r["companies"] for r in summaries.battery_ecosystem(wide).where("scope = 'Alabama'").collect()} == dict.fromkeys(("battery manufacturing", "battery materials", "charging hardware", "recycling and recovery", "power electronics and sensors"), 1)
+    c = summaries.chunks(wide).cache()
+    assert c.count() == 15 and c.select("chunk_id").distinct().count() == 15 and c.where("state = 'Georgia' and analysis_title like '%(Georgia)'").count() == 5
+    assert summaries.chunks(wide.limit(0)).count() == 0
+
+
+class Judge:
+    """Says that items with a 7 are supported; the first reply to a prompt with "flaky" can't be parsed."""
+
+    def generate(self, prompt):
+        items = [x.split(". ", 1) for x in prompt.split("Items:\n")[1].split("\n\n")[0].splitlines()]
+        label = (lambda x: "relevant" if "7" in x else "irrelevant") if "relevant, irrelevant" in prompt else (lambda x: "knowledge_source" if "7" in x else "pretrained") if "pretrained" in prompt else (lambda x: "supported" if "7" in x else "contradicted")
+        if "flaky" in prompt and not prompt.endswith("\n"):
+            return "no JSON", 1, 1
+        if "silent" in prompt:
+            raise TimeoutError
+        return "Here: " + json.dumps({"labels": [{"claim_id": int(n), "label": label(x)} for n, x in items]}), 1, 1
+
+
+def test_judging(spark):
+    answers = spark.createDataFrame([(1, "It has 7 sites. It has 8 sites."), (2, "flaky 7."), (3, "silent 7."), (4, None)], "response_id int, answer string")
+    evidence = spark.createDataFrame([(1, "text")], "response_id int, evidence string")
+    got = {r["response_id"]: (r["custom_faithfulness"], r["contradicted_claim_ratio"]) for r in judging.faithfulness(answers, evidence, Judge).collect()}
+    assert got == {1: (0.5, 0.5), 2: (1.0, 0.0), 3: (0.0, 0.0)}
+    parts = {r["response_id"]: (r["knowledge_source"], r["pretrained"]) for r in judging.attribution(answers, evidence, Judge).collect()}
+    assert parts[1] == ("It has 7 sites.", "It has 8 sites.") and parts[3] == ("", "silent 7.")
+    hits = spark.createDataFrame([(1, 1, "a"), (1, 2, "7")], "response_id int, rank int, text string")
+    assert judging.context_precision(hits, evidence, Judge).first()["custom_context_precision"] == 0.5
+    assert judging.context_recall(answers.withColumnRenamed("answer", "reference"), evidence, Judge).where("response_id = 1").first()[1] == 0.5
+    prompts = spark.createDataFrame([(1, "SCORE=0.9"), (1, "SCORE=0.7"), (2, "none")], "response_id int, prompt string")
+    assert {r[0]: r[1] for r in judging.dual(prompts, models.EchoGenerator).collect()} == {1: 0.8, 2: None}
+    ratings = spark.createDataFrame([(1, "RATING=2"), (1, "RATING=1")], "response_id int, prompt string")
+    assert judging.dual(ratings, models.EchoGenerator, rating=2).first()["score"] == 0.75
+
+
+def test_results(spark):
+    r = spark.createDataFrame([("m_no_rag", None), ("m_rag", None), ("x", True)], "run_name string, rag_enabled boolean")
+    assert pairs(results.with_modes(r), "mode", "model_display") == [("no_rag", "m"), ("rag", "m"), ("rag", "x")]
+    s = spark.createDataFrame([("no_rag", "a", 0, 0), ("rag", "a\nEvidence: e", 0, 2), ("rag", "a", 0, 0), ("rag", None, 0, 0)], "mode string, answer string, cited int, got int")
+    assert pairs(s.select(results.split_sources(F.col("mode"), F.col("answer"), F.col("cited"), F.col("got")).alias("s")).select("s.*"), "knowledge", "pretrained") == [("", "a"), ("a\nEvidence: e", ""), ("", "a"), ("", "")]
+    k = spark.createDataFrame([("analytic",), ("web_needed",), ("lookup",)], "r string").select(results.local_k(F.col("r"), 5).alias("l"), results.web_k(F.col("r"), 3).alias("w"))
+    assert pairs(k, "l", "w") == [(7, 4), (5, 5), (5, 3)]
+    payload = results.calibration_payload(spark.createDataFrame([(1, '["a","b"]')], "row_id int, retrieved_contexts string"))
+    assert pairs(payload, "rank", "final_score") == [(1, 1.0), (2, 0.5)]
+    out = results.flat(models.generate(spark.createDataFrame([("Insufficient evidence: [E1]",)], "prompt string"), models.EchoGenerator)).first()
+    assert out["abstained"] and out["citation_count"] == 1 and out["response_length_words"] == 3 and out["tokens_total"] == 12
