@@ -84,3 +84,14 @@ def calibration(expected: DataFrame, judged: DataFrame, metrics: list[str], keys
         F.round(F.avg(F.abs(e)), 4).alias("mean_absolute_error"), F.round(F.avg(e), 4).alias("mean_signed_error"),
         F.when(F.count("*") > 1, F.round(F.corr("expected", "judged"), 4)).alias("correlation"),
     )
+
+
+def with_references(questions: DataFrame, make, tries: int = 1) -> DataFrame:
+    """questions with golden_answer, the missing ones generated; reference_source says which is which."""
+    from ..models import generate
+    from .context import plain_prompt
+
+    missing = questions.where("golden_answer is null").withColumn("prompt", plain_prompt(F.col("question")))
+    made = generate(missing, make, tries=tries).where("response.success").withColumn("golden_answer", F.col("response.answer"))
+    made = made.select(*questions.columns).withColumn("reference_source", F.lit("generated"))
+    return questions.where("golden_answer is not null").withColumn("reference_source", F.lit("golden")).unionByName(made)

@@ -106,3 +106,29 @@ def derived(responses: DataFrame, retrieved: DataFrame) -> DataFrame:
     found = F.size(F.array_intersect(every, F.coalesce("_ids", F.array().cast("array<string>"))))
     out = out.withColumns({"citation_count_total": F.size(every), "citation_match_ratio": F.when(F.size(every) > 0, F.round(found / F.size(every), 3))})
     return out.withColumns({"has_any_citations": F.col("citation_count_total") > 0, "citation_mismatch": F.coalesce(F.col("citation_match_ratio") < 1, F.lit(False)), "abstained": text.abstained(F.col("answer")), "answer_word_count": text.word_count(F.col("answer"))}).drop("_ids")
+
+
+def merge_metrics(responses: DataFrame, metrics: DataFrame, keys: Sequence[str] = ("run_name", "q_id")) -> DataFrame:
+    """responses with all metrics by one left join; where both have a column, the metric's value wins unless it is null."""
+    same = [c for c in metrics.columns if c in responses.columns and c not in keys]
+    named = metrics.select(*keys, *[F.col(c).alias(f"_{c}") if c in same else F.col(c) for c in metrics.columns if c not in keys])
+    out = responses.join(named, list(keys), "left")
+    return out.withColumns({c: F.coalesce(f"_{c}", c) for c in same}).drop(*[f"_{c}" for c in same])
+
+
+def coverage(frames: dict[str, DataFrame], key: str = "q_id") -> DataFrame:
+    """One row: the keys of every mode, those that all have, those that any has."""
+    every = reduce(DataFrame.unionAll, [d.select(key, F.lit(m).alias("_mode")) for m, d in frames.items()]).distinct()
+    modes = every.groupBy(key).agg(F.collect_set("_mode").alias("_modes"))
+    each = [F.count_if(F.array_contains("_modes", m)).alias(f"{m}_keys") for m in frames]
+    return modes.agg(*each, F.count_if(F.size("_modes") == len(frames)).alias("in_all"), F.count("*").alias("in_any"))
+
+
+def review_template(responses: DataFrame, problems_: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """q_id, question, mode, answer with empty columns for a reviewer, the worst questions first."""
+    out = responses.select("q_id", "question", "mode", "answer", *[F.lit("").alias(c) for c in ("correct", "grounded", "comment")])
+    order = [F.col("q_id"), F.col("mode")]
+    if problems_ is not None:
+        out, order = out.join(problems_, "q_id", "left"), [F.desc_nulls_last("issue_score"), *order]
+    out = out.orderBy(*order)
+    return out.limit(most) if most else out

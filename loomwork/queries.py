@@ -547,3 +547,17 @@ def retrieval_logs(spark, d):
     hits = _dense(spark, d, 5).join(e, "chunk_id").select("q_id", "chunk_id", "text", F.col("dense_rank").alias("rank"), F.col("dense_score").alias("final_score"))
     log = results.retrieval_log(hits, "local")
     return log.select("q_id", F.array_join(F.transform("hits", lambda x: x["chunk_id"].cast("string")), ",").alias("ids"))
+
+
+@query("""WITH m AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('click', 'error', 'view') AND value > 60), g AS (SELECT user_id, list(event_type) AS l FROM m GROUP BY 1)
+  SELECT count(*) FILTER (WHERE list_contains(l, 'click')) AS click_keys, count(*) FILTER (WHERE list_contains(l, 'error')) AS error_keys, count(*) FILTER (WHERE list_contains(l, 'view')) AS view_keys, count(*) FILTER (WHERE len(l) = 3) AS in_all, count(*) AS in_any FROM g""")
+def key_coverage(spark, d):
+    e = t(spark, d, "events").where("value > 60")
+    return reports.coverage({k: e.where(F.col("event_type") == k) for k in ("click", "error", "view")}, "user_id")
+
+
+@query("""SELECT a.conv_id, a.turn, coalesce(l.toxic, a.turn)::BIGINT AS score, l.quality FROM conversations a LEFT JOIN labels l ON l.doc_id = a.conv_id""")
+def merged_metrics(spark, d):
+    c = t(spark, d, "conversations").select("conv_id", "turn", F.col("turn").alias("score"))
+    m = t(spark, d, "labels").select(F.col("doc_id").alias("conv_id"), F.col("toxic").cast("bigint").alias("score"), "quality")
+    return reports.merge_metrics(c, m, ["conv_id"])

@@ -145,3 +145,15 @@ def validate(rows: DataFrame) -> DataFrame:
     keys = F.transform(F.flatten(F.collect_set(F.map_keys("values"))), lambda k: F.lower(k))
     has = lambda c, *w: F.exists(c, lambda k: k.isin(*w))
     return rows.groupBy("source_file", "sheet_name").agg(F.count("*").alias("rows"), keys.alias("k")).select("source_file", "sheet_name", "rows", (has("k", "latitude", "lat") & has("k", "longitude", "long", "lon", "lng")).alias("has_coordinates"), has("k", "updated location").alias("has_updated_location"))
+
+
+def resolve(spark: SparkSession, candidates: list[str], hint: str | None = None, label: str = "file") -> str:
+    """The hint if it is given, else the first candidate that Spark can list; names all that were tried otherwise."""
+    for path in [hint] if hint else candidates:
+        try:
+            if spark.read.format("binaryFile").load(path).select("path").limit(1).count():
+                return path
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    raise FileNotFoundError(f"no {label} at {', '.join([hint] if hint else candidates)}")

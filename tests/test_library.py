@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork import models
+from loomwork import models, settings
 from loomwork.operators import analytics, context, evaluation, filters, judging, reports, results, retrieval, rows, summaries
 from loomwork.plans import planner
 from loomwork.sources import documents, sinks, tables
@@ -332,3 +332,17 @@ def test_results(spark):
     assert pairs(payload, "rank", "final_score") == [(1, 1.0), (2, 0.5)]
     out = results.flat(models.generate(spark.createDataFrame([("Insufficient evidence: [E1]",)], "prompt string"), models.EchoGenerator)).first()
     assert out["abstained"] and out["citation_count"] == 1 and out["response_length_words"] == 3 and out["tokens_total"] == 12
+
+
+def test_references_and_settings(spark, tmp_path):
+    q = spark.createDataFrame([("1", "What?", "that"), ("2", "Why?", None)], "q_id string, question string, golden_answer string")
+    assert sorted(pairs(evaluation.with_references(q, models.EchoGenerator), "q_id", "golden_answer", "reference_source")) == [("1", "that", "golden"), ("2", "Answer:", "generated")]
+    s = settings.load(env={"LOOMWORK_RRF_K": "10", "LOOMWORK_USE_RERANKER": "no", "LOOMWORK_COMPANY_CAP": " "})
+    assert (s.rrf_k, s.use_reranker, s.company_cap) == (10, False, 4)
+    (tmp_path / "a.txt").write_text("x")
+    assert tables.resolve(spark, [str(tmp_path / "none"), str(tmp_path / "a.txt")]) == str(tmp_path / "a.txt")
+    with pytest.raises(FileNotFoundError):
+        tables.resolve(spark, ["/none"], "/missing")
+    r = spark.createDataFrame([("1", "q", "rag", "a"), ("2", "q", "rag", "b")], "q_id string, question string, mode string, answer string")
+    worst = spark.createDataFrame([("2", 3)], "q_id string, issue_score int")
+    assert pairs(reports.review_template(r, worst), "q_id", "correct") == [("2", ""), ("1", "")]
