@@ -384,7 +384,7 @@ def test_langid(spark):
     assert got[-4]["guess"]["rejected"] and got[-4]["guess"]["lang"] in stems
     assert got[-5]["guess"]["lang"] == "bb" and 0 <= got[-5]["guess"]["score"] <= 1
     none = langid.fit(train.limit(0))
-    assert {r["guess"]["lang"] for r in langid.predict(train.limit(5), none, into="guess").collect()} == {"und"}
+    assert {tuple(r["guess"]) for r in langid.predict(train.limit(5), none, into="guess").collect()} == {("und", 0.0, False)}
 
 
 # 9: fingerprints
