@@ -15,11 +15,15 @@ from .substrings import numbers, whole_groups
 from .textkit import _TABLE, mixed, ranges, slices, span_hashes, words
 
 #: Bits of a signature.
-BITS = 512
-#: Buckets in which all shingles are counted to tell very common ones; at most a quarter can be common.
-BUCKETS = 1 << 16
+BITS = 2048
+#: Buckets in which all shingles are counted to tell rare ones, and rows in which a task sends its counts.
+BUCKETS, CHUNKS = 1 << 20, 256
+#: Of so many keys that two sets must share one of, they must share a quarter of if each has a quarter more.
+PART = 4
 #: Documents of a leaf of the tree, children of a node, and rows of a group that one task joins with itself.
 LEAF, FAN, BLOCK = 16, 4, 4096
+#: The most pairs that are broadcast.
+BROADCAST = 500_000
 _NULL_ID = -(1 << 63)
 _FOLDED = _TABLE.copy()
 _FOLDED[65:91] = _TABLE[97:123]
@@ -51,35 +55,45 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def _tally(size: int):
-    """Each task's counts of the buckets that stand out in it, and (bucket -1) of all."""
+    """Each task's counts of all buckets (255 stands for more), in chunks."""
 
     def run(batches):
         count = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, 1):
                 count += np.bincount(_bucket(shingles(part.column(1), size)[0]), minlength=BUCKETS)
-        out = np.flatnonzero(count > 2 * count.mean() + 16)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(out, -1)), pa.array(np.append(count[out], count.sum()))], names=["bucket", "n"])
+        rows = np.minimum(count, 255).astype(np.uint8).reshape(CHUNKS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS)), pa.array([r.tobytes() for r in rows], pa.binary())], names=["chunk", "counts"])
 
     return run
 
 
-def common_buckets(texts: DataFrame, size: int) -> np.ndarray:
-    """Buckets holding over four times the mean. Any set gives the same links; this one keeps groups small."""
-    found = texts.mapInArrow(_tally(size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = written(found, "buckets")
-    total = found.where("bucket < 0").first()
-    common = np.zeros(BUCKETS, dtype=bool)
-    if total:  # at most BUCKETS / 4 rows
-        rows = found.where((F.col("bucket") >= 0) & (F.col("n") > 4 * total["n"] / BUCKETS)).select("bucket").collect()
-        common[[r[0] for r in rows]] = True
-    return common
+def _summed(batches):
+    """The sums of the counts of each chunk in a task."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, dtype=np.uint8).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
 
 
-def _profiles(size: int, percent: int, common: np.ndarray):
-    """A row for each document: set size, two hashes of the set, its keys, its signature.
+def bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """How many shingles fall into each bucket. The order that follows from it, rare ones first, gives the same links as any other; it keeps groups small.
 
-    Keys: under one order of all shingles, common ones last, two sets of that similarity share one of the first n - ceil(n * similarity) + 1.
+    BUCKETS numbers come to the driver and go to the tasks, however many documents there are.
+    """
+    found = texts.mapInArrow(_tally(size), "chunk long, counts binary").repartition("chunk").mapInArrow(_summed, "chunk long, counts binary")
+    count = np.zeros((CHUNKS, BUCKETS // CHUNKS), dtype=np.int64)
+    for chunk, counts in found.collect():
+        count[chunk] += np.frombuffer(counts, dtype=np.int64)
+    return np.minimum(count.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+
+
+def _profiles(size: int, percent: int, counts: np.ndarray):
+    """A row for each document: set size, two hashes of the set, its keys, how many of them it must share, its signature.
+
+    Under one order of all shingles, those of the emptiest buckets first, two sets of that similarity share one of the first
+    n - ceil(n * similarity) + 1 of each, and with k - 1 more of each, k. A pair must share the lesser need of its two.
     """
 
     def run(batches):
@@ -88,9 +102,11 @@ def _profiles(size: int, percent: int, common: np.ndarray):
                 h, first = shingles(part.column(1), size)
                 n = np.diff(first)
                 doc = np.repeat(np.arange(len(n)), n)
-                late = common[_bucket(h)]
-                keep = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-                order = np.lexsort((h, late, doc))
+                level = counts[_bucket(h)]
+                one = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+                need = np.maximum(one // PART, 1)
+                keep = np.where(n > 0, one + need - 1, 0)
+                order = np.lexsort((h, level, doc))
                 keys = h[order][ranges(first[:-1], keep)]
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (mixed(h), mixed(h ^ np.uint64(0x5BD1E995)))]
                 bits = np.zeros(len(n) * BITS, dtype=bool)
@@ -99,8 +115,8 @@ def _profiles(size: int, percent: int, common: np.ndarray):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n.astype(np.int64))]
                     + [pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64)) for s in sums]
-                    + [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(keys.view(np.int64))), pa.array([sig[i : i + BITS // 8] for i in range(0, len(sig), BITS // 8)], pa.binary())],
-                    names=["doc", "n", "s1", "s2", "keys", "sig"],
+                    + [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(keys.view(np.int64))), pa.array(need.astype(np.int64)), pa.array([sig[i : i + BITS // 8] for i in range(0, len(sig), BITS // 8)], pa.binary())],
+                    names=["doc", "n", "s1", "s2", "keys", "need", "sig"],
                 )
 
     return run
@@ -173,45 +189,60 @@ def traverse(tree: Tree, percent: int, most: int = 1 << 18) -> Iterator[tuple[np
 
 
 def _candidates(percent: int):
-    """Pairs of documents of two components in one group that may link: small groups are leaves, joined all at once; large ones get a tree."""
+    """Pairs of documents of two components in one group that may link: small groups are leaves, joined all at once; large ones get a tree. With each pair goes how many keys it was found by and how many it needs."""
 
     def run(batches):
         for t in whole_groups(batches):
-            key, doc, n, comp = (numbers(t.column(i)) for i in range(4))
-            sig = np.frombuffer(b"".join(t.column(4).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
-            order = np.lexsort((doc, n, comp, key))
-            key, doc, n, comp, sig = key[order], doc[order], n[order], comp[order], sig[order]
-            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(new, append=len(key))
-            out_a, out_b = [], []
+            cell, doc, n, comp, need, block = (numbers(t.column(i)) for i in range(6))
+            sig = np.frombuffer(b"".join(t.column(6).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+            order = np.lexsort((doc, n, comp, cell))
+            cell, doc, n, comp, need, block, sig = (x[order] for x in (cell, doc, n, comp, need, block, sig))
+            new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            size = np.diff(new, append=len(cell))
+            found = Found(doc, need, block)
             leaf = (sig, n, n, n - ones(sig), comp, comp)
             small = size <= LEAF
             last = np.repeat(np.where(small, new + size, 0), size)  # end of the row's group if it is a leaf
             for d in range(1, LEAF):
-                i = np.flatnonzero(np.arange(len(key)) + d < last)
+                i = np.flatnonzero(np.arange(len(cell)) + d < last)
                 if not len(i):
                     break
                 i = i[may_link(leaf, i, leaf, i + d, percent)]
-                out_a.append(doc[i])
-                out_b.append(doc[i + d])
+                found.add(i, i + d)
             for s, c in zip(new[~small], size[~small], strict=True):
                 own = slice(s, s + c)
                 for i, j in traverse(Tree(sig[own], n[own], comp[own]), percent):
-                    out_a.append(doc[own][i])
-                    out_b.append(doc[own][j])
-                    if sum(map(len, out_a)) > 1 << 16:
-                        yield _pairs(out_a, out_b)
-                        out_a, out_b = [], []
-            yield _pairs(out_a, out_b)
+                    found.add(s + i, s + j)
+                    if found.rows > 1 << 18:
+                        yield found.batch()
+            yield found.batch()
 
     return run
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    empty = [np.zeros(0, np.int64)]
-    a, b = np.concatenate(empty + a), np.concatenate(empty + b)
-    both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+class Found:
+    """Pairs of rows, gathered and counted. block: below 0 for rows of a group joined with itself; else only pairs of two blocks count, as those of one are found elsewhere."""
+
+    def __init__(self, doc: np.ndarray, need: np.ndarray, block: np.ndarray):
+        self.doc, self.need, self.block = doc, need, block
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        keep = (self.block[i] < 0) | (self.block[i] != self.block[j])
+        i, j = i[keep], j[keep]
+        a, b = self.doc[i], self.doc[j]
+        self.parts.append((np.maximum(a, b), np.minimum(a, b), np.minimum(self.need[i], self.need[j])))
+        self.rows += len(i)
+
+    def batch(self) -> pa.RecordBatch:
+        none = np.zeros(0, np.int64)
+        a, b, need = (np.concatenate([none, *x]) for x in (zip(*self.parts, strict=True) if self.parts else ((), (), ())))
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else none
+        self.parts, self.rows = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[new], b[new], need[new], np.diff(new, append=len(a)))], names=["a", "b", "need", "times"])
 
 
 def _sets(size: int):
@@ -267,13 +298,16 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, each:
     """Those of pairs (a, b), distinct, whose sets are similar enough.
 
     The sets are made again from the texts of the documents in pairs and dealt by b; a b of very many pairs is
-    salted, with a copy of its set for every so many of them.
+    salted, with a copy of its set for every so many of them. Up to BROADCAST pairs are broadcast to the texts
+    (some tens of bytes each); with more, the texts are shuffled.
     """
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
     dealt = pairs.join(salts, "b").select(F.col("a").alias("doc"), F.col("b").alias("head"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     own = salts.select(F.col("b").alias("doc"), F.col("b").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     places = dealt.union(own).select("doc", F.struct(F.xxhash64("head", "salt").alias("place"), "head").alias("at"))
-    places = places.groupBy("doc").agg(F.collect_list("at").alias("places"))
+    places = written(places.groupBy("doc").agg(F.collect_list("at").alias("places")), "places")
+    if pairs.count() <= BROADCAST:
+        places = F.broadcast(places)
     rows = texts.join(places, "doc").select("doc", "text", "places")
     rows = rows.mapInArrow(_sets(size), "place long, head long, doc long, set array<long>")
     rows = rows.repartition("place").sortWithinPartitions("place", "head", F.col("doc") != F.col("head"))
@@ -287,15 +321,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     shingle; words lower-cased in A-Z; shorter texts are one shingle). Null and blank texts link with nothing.
     Rows with one id are one document with the links of each. ids are integers; null is an id, the least.
 
-    1. Equal sets are one node. Every two sets that link share one of their first keys; keys held once are dropped.
-    2. Stars: each node is compared with the least node of each of its keys; components follow.
-    3. The rest: for every key still held by two components, a signature tree finds the pairs of different
-       components that sizes and bitmaps allow; all of these are compared. Large groups are dealt as pairs of blocks.
+    1. Equal sets are one node. Every two sets that link share a number of their first keys; keys held once are dropped.
+    2. Stars: each node is compared with the least nodes of its keys that it shares enough of them with; components follow.
+    3. The rest: for every key still held by two components, among documents that hold enough such keys, a signature
+       tree finds the pairs of different components that sizes and bitmaps allow; those found by as many keys as they need are compared. Large groups are dealt as pairs of blocks.
     Every pair that could link is compared or lies in one component already, so no link is lost.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    common = common_buckets(texts, size)
-    profiles = written(texts.mapInArrow(_profiles(size, percent, common), "doc long, n long, s1 long, s2 long, keys array<long>, sig binary"), "profiles")
+    counts = bucket_counts(texts, size)
+    profiles = written(texts.mapInArrow(_profiles(size, percent, counts), "doc long, n long, s1 long, s2 long, keys array<long>, need long, sig binary"), "profiles")
     nodes = profiles.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("node"))
     copies = profiles.where("n > 0").select("doc", "s1", "s2", "n").join(nodes, ["s1", "s2", "n"]).select(F.col("doc").alias("a"), F.col("node").alias("b"))
     copies = written(copies.where("a <> b"), "copies")
@@ -304,9 +338,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     heads = keys.groupBy("key").agg(F.min("doc").alias("head"), F.count("*").alias("rows")).where("rows > 1")
     shared = written(keys.join(heads, "key"), "shared")
 
-    kept = alone.select("doc", "n", "sig")
-    star = shared.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct()
-    star = star.join(kept.select(F.col("doc").alias("a"), F.col("n").alias("n"), F.col("sig").alias("sig")), "a")
+    kept = alone.select("doc", "n", "need", "sig")
+    star = shared.where("doc <> head").groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("times"))
+    star = star.join(kept.select(F.col("doc").alias("a"), "n", "need", "sig"), "a").where("times >= need")
     star = star.join(kept.select(F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2")), "b")
     star = written(star.mapInArrow(_bounded(percent), "a long, b long").distinct(), "stars")
     links = written(verified(star, texts, size, percent), "links")
@@ -314,14 +348,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
     label = first.select(F.col("a").alias("doc"), F.col("b").alias("comp"))
     rest = shared.select("key", "doc", "rows").join(label, "doc", "left").select("key", "doc", "rows", F.coalesce("comp", "doc").alias("comp"))
-    mixed_keys = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = rest.join(mixed_keys, "key").join(kept, "doc")
+    rest = written(rest, "rest")
+    for _ in range(2):
+        rest = written(_worth(rest, kept, percent), "rest")
+    rest = rest.join(kept, "doc")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j")))
-    rest = rest.select(F.explode(cells).alias("cell"), "key", "doc", "n", "comp", "sig").select(F.xxhash64("key", "cell.i", "cell.j").alias("cell"), "doc", "n", "comp", "sig")
-    rest = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_candidates(percent), "a long, b long")
-    rest = written(rest.join(star, ["a", "b"], "left_anti").distinct(), "rest")
+    cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j"), F.when(k == block, -1).otherwise(block).alias("block")))
+    rest = rest.select(F.explode(cells).alias("at"), "key", "doc", "n", "comp", "need", "sig")
+    rest = rest.select(F.xxhash64("key", "at.i", "at.j").alias("cell"), "doc", "n", "comp", "need", F.col("at.block").cast("long").alias("block"), "sig")
+    rest = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_candidates(percent), "a long, b long, need long, times long")
+    rest = rest.groupBy("a", "b", "need").agg(F.sum("times").alias("times")).where("times >= need").select("a", "b")
+    rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
     links = verified(rest, texts, size, percent)
     name = lambda c: label.select(F.col("doc").alias(c), F.col("comp").alias(f"{c}_comp"))
     links = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
@@ -333,6 +371,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     return out.select(shown(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(value).alias("component_id"))
 
 
+def _worth(rest: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, doc, ...) whose key is held by two components, of documents with as many such keys as the smallest partner would need."""
+    several = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = rest.join(several, "key")
+    least = F.floor((percent * F.col("n") + 99) / 100)
+    one = least - F.floor((percent * least + 99) / 100) + 1
+    enough = rest.groupBy("doc").agg(F.count("*").alias("held")).join(kept.select("doc", "n"), "doc").where(F.col("held") >= F.greatest(F.floor(one / PART), F.lit(1)))
+    return rest.join(enough.select("doc"), "doc", "left_semi")
+
+
 def _bounded(percent: int):
     """Pairs whose sizes and bitmaps allow a link."""
 
@@ -342,7 +390,7 @@ def _bounded(percent: int):
                 continue
             sides = {}
             for s in ("", "2"):
-                sig = np.frombuffer(b"".join(batch.column(f"sig{s}").to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
+                sig = np.frombuffer(b"".join(batch.column(f"sig{s}").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
                 n = numbers(batch.column(f"n{s}"))
                 sides[s] = (sig, n, n, n - ones(sig), numbers(batch.column("b" if s else "a")), numbers(batch.column("b" if s else "a")))
             i = np.arange(batch.num_rows)
