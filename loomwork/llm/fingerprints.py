@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .substrings import numbers
-from .textkit import mixed, ranges, raw, slices, span_hashes
+from .textkit import mixed, ranges, raw, slices, span_hashes, tidy
 
 #: Bytes of a window, windows among which the rarest is sought, and how often one must be it to be a feature.
 WINDOW, AREA, POPULAR = 64, 64, 16
@@ -63,7 +63,7 @@ def _histogram(batches):
 
 def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """The rank of every entropy step, the rarest among all windows of all documents first; ties: the lower entropy first."""
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(_histogram, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(_histogram), "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toPandas()
     n = found.set_index("step")["n"].reindex(range(STEPS), fill_value=0).to_numpy()
     rank = np.empty(STEPS, dtype=np.int64)
     rank[np.lexsort((-np.arange(STEPS), n))] = np.arange(STEPS)
@@ -205,7 +205,7 @@ def compare_next(docs: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text
             held = held.slice(held.num_rows - 1)
         # the row that is left is always marked last
 
-    return beside_next(docs, id_col, text_col).mapInArrow(run, COLUMNS)
+    return beside_next(docs, id_col, text_col).mapInArrow(tidy(run), COLUMNS)
 
 
 def _overlapping(batch: pa.RecordBatch):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import components
 from .substrings import numbers, whole_groups
-from .textkit import _TABLE, mixed, ranges, slices, span_hashes, words
+from .textkit import _TABLE, mixed, ranges, slices, span_hashes, tidy, words
 
 #: Bits of a signature.
 BITS = 2048
@@ -82,7 +82,7 @@ def bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
 
     BUCKETS numbers come to the driver and go to the tasks, however many documents there are.
     """
-    found = texts.mapInArrow(_tally(size), "chunk long, counts binary").repartition("chunk").mapInArrow(_summed, "chunk long, counts binary")
+    found = texts.mapInArrow(tidy(_tally(size)), "chunk long, counts binary").repartition("chunk").mapInArrow(tidy(_summed), "chunk long, counts binary")
     count = np.zeros((CHUNKS, BUCKETS // CHUNKS), dtype=np.int64)
     for chunk, counts in found.collect():
         count[chunk] += np.frombuffer(counts, dtype=np.int64)
@@ -152,8 +152,8 @@ def may_link(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, percent: int) ->
     sig2, low2, high2, slack2, c2, d2 = b
     ok = (100 * high[i] >= percent * low2[j]) & (100 * high2[j] >= percent * low[i]) & ~((c[i] == d[i]) & (c2[j] == d2[j]) & (c[i] == c2[j]))
     k = np.flatnonzero(ok)
-    for s in range(0, len(k), 1 << 16):  # so that memory stays bounded
-        q = k[s : s + (1 << 16)]
+    for s in range(0, len(k), 1 << 14):  # so that memory stays bounded
+        q = k[s : s + (1 << 14)]
         x, y = i[q], j[q]
         both = ones(sig[x] & sig2[y])
         most = np.minimum(np.minimum(high[x], high2[y]), np.minimum(slack[x], slack2[y]) + both)
@@ -309,9 +309,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, each:
     if pairs.count() <= BROADCAST:
         places = F.broadcast(places)
     rows = texts.join(places, "doc").select("doc", "text", "places")
-    rows = rows.mapInArrow(_sets(size), "place long, head long, doc long, set array<long>")
+    rows = rows.mapInArrow(tidy(_sets(size)), "place long, head long, doc long, set array<long>")
     rows = rows.repartition("place").sortWithinPartitions("place", "head", F.col("doc") != F.col("head"))
-    return rows.mapInArrow(_verify(percent), "a long, b long")
+    return rows.mapInArrow(tidy(_verify(percent)), "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 80) -> DataFrame:
@@ -329,7 +329,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = bucket_counts(texts, size)
-    profiles = written(texts.mapInArrow(_profiles(size, percent, counts), "doc long, n long, s1 long, s2 long, keys array<long>, need long, sig binary"), "profiles")
+    profiles = written(texts.mapInArrow(tidy(_profiles(size, percent, counts)), "doc long, n long, s1 long, s2 long, keys array<long>, need long, sig binary"), "profiles")
     nodes = profiles.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("node"))
     copies = profiles.where("n > 0").select("doc", "s1", "s2", "n").join(nodes, ["s1", "s2", "n"]).select(F.col("doc").alias("a"), F.col("node").alias("b"))
     copies = written(copies.where("a <> b"), "copies")
@@ -342,7 +342,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     star = shared.where("doc <> head").groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("times"))
     star = star.join(kept.select(F.col("doc").alias("a"), "n", "need", "sig"), "a").where("times >= need")
     star = star.join(kept.select(F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2")), "b")
-    star = written(star.mapInArrow(_bounded(percent), "a long, b long").distinct(), "stars")
+    star = written(star.mapInArrow(tidy(_bounded(percent)), "a long, b long").distinct(), "stars")
     links = written(verified(star, texts, size, percent), "links")
     first = components(links.union(copies))
 
@@ -357,7 +357,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j"), F.when(k == block, -1).otherwise(block).alias("block")))
     rest = rest.select(F.explode(cells).alias("at"), "key", "doc", "n", "comp", "need", "sig")
     rest = rest.select(F.xxhash64("key", "at.i", "at.j").alias("cell"), "doc", "n", "comp", "need", F.col("at.block").cast("long").alias("block"), "sig")
-    rest = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(_candidates(percent), "a long, b long, need long, times long")
+    rest = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_candidates(percent)), "a long, b long, need long, times long")
     rest = rest.groupBy("a", "b", "need").agg(F.sum("times").alias("times")).where("times >= need").select("a", "b")
     rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
     links = verified(rest, texts, size, percent)

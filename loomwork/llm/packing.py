@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import placed, ranked, written
-from .textkit import ranges, raw, slices
+from .textkit import CACHES, ranges, raw, slices, tidy
 
 #: Words whose ids a Python worker keeps.
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 1_000_000
 #: A control character that the encoder makes one id of its own; marks where a word ends in a list of words.
 MARK = "\x01"
 
@@ -33,6 +33,8 @@ class WordEncoder:
         self.mark = self._encode(MARK)
         if len(self.mark) != 1 or self._encode(f"a {MARK} b") != self._encode("a") + self.mark + self._encode("b"):
             raise ValueError("the tokenizer keeps white space; words can't be encoded by themselves")
+        #: The tokenizer lower-cases too; texts that may hold special tokens are left as they are.
+        self.folds = self._encode("ABCXYZ I\u0307") == self._encode("abcxyz i\u0307")
         self._clear()
 
     def _encode(self, text: str) -> list[int]:
@@ -64,6 +66,8 @@ class WordEncoder:
         """(ids of all texts in a row, first id of each text and the number of all)."""
         buf, offsets = raw(column)
         data, cuts = buf.tobytes(), offsets.tolist()
+        if self.folds and b"<|" not in data:
+            data = data.lower()  # A-Z only
         if len(self.known) > KEPT_WORDS:
             self._clear()
         listed, first = [], [0]
@@ -87,6 +91,9 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+CACHES.append(_encoder.cache_clear)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. A document's ids and then end_id; longer ones are cut every capacity ids."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -109,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run, keeps=True), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def sweeps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .textkit import mixed, ranges, runs, slices, span_hashes, word_hashes, words
+from .textkit import mixed, ranges, runs, slices, span_hashes, tidy, word_hashes, words
 
 #: An anchor held by so many slices of the input is hot: its windows are dealt out one by one.
 HOT = 100
 #: The most hot anchors that are broadcast; more are joined by shuffle.
 BROADCAST = 100_000
-SLICE = 4 << 20
+SLICE = 1 << 20
 _NULL_ID = -(1 << 63)
 
 
@@ -228,21 +228,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wi
     """
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc")
     texts = docs.select(own, F.col(text_col).alias("text"))
-    found = texts.where("text is not null").mapInArrow(_anchors(window, gram), "key long, h long, doc long, pos int, sure boolean")
+    found = texts.where("text is not null").mapInArrow(tidy(_anchors(window, gram)), "key long, h long, doc long, pos int, sure boolean")
     found = found.repartition("key").sortWithinPartitions("key")
-    again = written(found.mapInArrow(_repeated, "h long, doc long, pos int, slices long"), "anchors")
+    again = written(found.mapInArrow(tidy(_repeated), "h long, doc long, pos int, slices long"), "anchors")
     hot = again.where(F.col("slices") >= HOT).select("h").distinct().withColumn("_hot", F.lit(1))
     if hot.count() <= BROADCAST:
         hot = F.broadcast(hot)
     again = again.join(hot, "h", "left").groupBy("doc").agg(F.collect_list(F.col("pos") * 2 + F.coalesce("_hot", F.lit(0))).alias("marks"))
     seeded = texts.where("text is not null").join(again, "doc").select("doc", "text", F.xxhash64("text").alias("th"), "marks")
-    found = seeded.mapInArrow(_windows(window, gram), "key long, doc long, th long, pos int, n int, hashes binary")
-    later = found.repartition("key").sortWithinPartitions("key").mapInArrow(_later, "doc long, th long, a int, b int")
+    found = seeded.mapInArrow(tidy(_windows(window, gram)), "key long, doc long, th long, pos int, n int, hashes binary")
+    later = found.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_later), "doc long, th long, a int, b int")
     later = later.groupBy("doc", "th").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     later = later.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "a", "b")
     rows = docs.select(own, F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"), *[F.col(c).alias(f"also_{i}") for i, c in enumerate(also)])
     rows = rows.join(later, (rows["doc"] == later["_doc"]) & (rows["th"] == later["_th"]), "left").drop("_doc", "_th")
     names = [*rows.columns[:-2], "n_words", "n_removed", "kept"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]), "n_words long, n_removed long, kept string"])
-    out = rows.mapInArrow(_cut(window, 1, names), schema)
+    out = rows.mapInArrow(tidy(_cut(window, 1, names)), schema)
     return out.select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias("doc_id"), "text", "th", "n_words", "n_removed", "kept", *[F.col(f"also_{i}").alias(c) for i, c in enumerate(also)])

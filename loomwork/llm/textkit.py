@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,14 +15,36 @@ _WIDTH = (1 << 64) - 1
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of at most so many bytes of text (or of one row), so that memory is bounded by the longest text."""
+#: What empties the caches that Python workers keep from task to task.
+CACHES: list[Callable[[], None]] = []
+
+
+def tidy(run, keeps: bool = False):
+    """run, a function over batches of a task, that leaves no memory behind: workers serve many stages.
+
+    Other stages' caches are emptied first (unless run keeps its own), and what was freed goes back to the system at the end.
+    """
+
+    def tidied(batches):
+        if not keeps:
+            for empty in CACHES:
+                empty()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return tidied
+
+
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Parts of at most so many rows and bytes of text (or of one row), so that memory is bounded by the longest text."""
     column = batch.column(text)
     ends = np.cumsum(np.diff(_offsets(column)), dtype=np.int64)
     first = 0
     while first < batch.num_rows:
         base = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, base + most, side="right")))
+        last = min(max(first + 1, int(np.searchsorted(ends, base + most, side="right"))), first + rows)
         yield batch.slice(first, last - first)
         first = last
 
