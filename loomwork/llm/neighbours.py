@@ -13,6 +13,8 @@ SHARD, BLOCK = 8192, 8192
 COLLIDE, VERIFY = 0.8, 0.12
 #: First half window, in standard deviations of a projection, and what it grows by.
 WINDOW, GROW = 1.3, 1.15
+#: A projection whose values deviate by no more than this share of the largest has no spread; its windows would not grow.
+FLAT = 1e-9
 
 
 def usable(vector: Column) -> Column:
@@ -35,6 +37,7 @@ class Index:
         self.need = int(np.ceil(COLLIDE * dims))
         values = np.column_stack([vectors, length]) @ self.base
         self.spread = values.std(axis=0)
+        self.flat = bool((self.spread <= FLAT * np.abs(values).max()).any())
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(values, order, axis=0).T.copy()
         self.kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
@@ -52,9 +55,13 @@ class Index:
         return count
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
-        """(query's place, ids, scores) of the k nearest found. The windows grow, as one radius after another, until enough vectors collide with a query."""
+        """(query's place, ids, scores) of the k nearest found. The windows grow, as one radius after another, until enough vectors collide with a query. If enough are all, or a projection has no spread, all are found."""
         at = np.column_stack([queries, np.zeros(len(queries))]) @ self.base
         enough = min(len(self.ids), 10 * k + int(VERIFY * len(self.ids)))
+        if enough == len(self.ids) or self.flat:
+            for place in range(len(queries)):
+                yield place, *self.verify(query_ids[place], queries[place], np.arange(len(self.ids)), k)
+            return
         todo, half = np.arange(len(queries)), WINDOW
         while len(todo):
             count = self.collisions(at[todo], half) >= self.need

@@ -285,6 +285,15 @@ def test_neighbours(spark):
     assert neighbours.nearest(few, few, k=20).count() == 6
 
 
+def test_neighbours_all_one_vector(spark):
+    rows = [(i, [float(i % 7 - 3), 2.0, 1.0]) for i in range(60)] + [(60, [1.0, 2.0])] + [(i, [0.5, 0.1, 0.2, 0.7]) for i in range(100, 500)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(d, d.where("vec_id % 20 = 0"), k=3).collect()
+    found = {q: sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == q) for q in (60, 100, 480)}
+    assert found == {60: [], 100: [(1, 101), (2, 102), (3, 103)], 480: [(1, 100), (2, 101), (3, 102)]}
+    assert sorted({r["query_id"] for r in got}) == [0, 20, 40, *range(100, 500, 20)]
+
+
 # 7: packing
 
 
