@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 #: Vectors of a shard and queries of a block; a task searches one shard for one block.
 SHARD, BLOCK = 8192, 8192
-#: Share of the projections in which a vector must collide with a query to be verified, and share of a shard to be verified.
+#: Share of the projections in which a vector must collide with a query to be verified, and share of a band to be verified.
 COLLIDE, VERIFY = 0.8, 0.12
 #: First half window, in standard deviations of a projection, and what it grows by.
 WINDOW, GROW = 1.3, 1.15
 #: A projection whose values deviate by no more than this share of the largest has no spread; its windows would not grow.
 FLAT = 1e-9
+#: The longest vector of a band over its shortest, at most.
+RATIO = 1.2
 
 
 def usable(vector: Column) -> Column:
@@ -23,30 +25,36 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-class Index:
-    """A shard's vectors, lifted by one dimension so that the nearest by inner product are the nearest, and each projection's values in order.
+def norms(vectors: np.ndarray) -> np.ndarray:
+    most = np.abs(vectors).max(axis=1)
+    return most * np.sqrt(((vectors / most[:, None]) ** 2).sum(axis=1))
+
+
+class Band:
+    """Vectors of similar norm over the longest of them, lifted by one dimension so that the nearest to a unit query are the nearest by inner product, and each projection's values in order.
 
     The projections are an orthonormal base of random direction.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
-        self.ids, self.vectors = ids, vectors
-        length = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
+    def __init__(self, vectors: np.ndarray, norm: np.ndarray):
+        unit = vectors / norm.max()
+        length = np.sqrt(np.maximum(1 - (unit**2).sum(axis=1), 0))
         dims = vectors.shape[1] + 1
+        self.n = len(vectors)
         self.base = np.linalg.qr(np.random.default_rng(dims).normal(size=(dims, dims)))[0]
         self.need = int(np.ceil(COLLIDE * dims))
-        values = np.column_stack([vectors, length]) @ self.base
+        values = np.column_stack([unit, length]) @ self.base
         self.spread = values.std(axis=0)
         self.flat = bool((self.spread <= FLAT * np.abs(values).max()).any())
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(values, order, axis=0).T.copy()
-        self.kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
-        self.rank = np.empty((dims, len(ids)), dtype=self.kind)
-        np.put_along_axis(self.rank, order.T, np.broadcast_to(np.arange(len(ids), dtype=self.kind), (dims, len(ids))), axis=1)
+        self.kind = np.uint16 if self.n < 1 << 16 else np.uint32
+        self.rank = np.empty((dims, self.n), dtype=self.kind)
+        np.put_along_axis(self.rank, order.T, np.broadcast_to(np.arange(self.n, dtype=self.kind), (dims, self.n)), axis=1)
 
     def collisions(self, at: np.ndarray, half: float) -> np.ndarray:
         """Queries x vectors: in how many projections a vector is within the query's window of the sorted array."""
-        count = np.zeros((len(at), len(self.ids)), dtype=np.uint16)
+        count = np.zeros((len(at), self.n), dtype=np.uint16)
         for k, values in enumerate(self.sorted):
             first = np.searchsorted(values, at[:, k] - half * self.spread[k], side="left")
             end = np.searchsorted(values, at[:, k] + half * self.spread[k], side="right")
@@ -54,22 +62,48 @@ class Index:
             count += (self.rank[k] - first.astype(self.kind)[:, None]) < (end - first).astype(self.kind)[:, None]
         return count
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
-        """(query's place, ids, scores) of the k nearest found. The windows grow, as one radius after another, until enough vectors collide with a query. If enough are all, or a projection has no spread, all are found."""
-        at = np.column_stack([queries, np.zeros(len(queries))]) @ self.base
-        enough = min(len(self.ids), 10 * k + int(VERIFY * len(self.ids)))
-        if enough == len(self.ids) or self.flat:
-            for place in range(len(queries)):
-                yield place, *self.verify(query_ids[place], queries[place], np.arange(len(self.ids)), k)
-            return
-        todo, half = np.arange(len(queries)), WINDOW
+    def search(self, units: np.ndarray, enough: int) -> np.ndarray:
+        """Queries x vectors: which are found. The windows grow, as one radius after another, until enough vectors collide with a query."""
+        at = np.column_stack([units, np.zeros(len(units))]) @ self.base
+        found = np.zeros((len(units), self.n), dtype=bool)
+        todo, half = np.arange(len(units)), WINDOW
         while len(todo):
             count = self.collisions(at[todo], half) >= self.need
             done = count.sum(axis=1) >= enough
-            for place, hit in zip(todo[done], count[done], strict=True):
-                yield place, *self.verify(query_ids[place], queries[place], np.flatnonzero(hit), k)
+            found[todo[done]] = count[done]
             todo = todo[~done]
             half *= GROW
+        return found
+
+
+class Index:
+    """A shard's vectors, the longest first, in bands of similar norm. Vectors of bands in which enough would be all, or with a projection that has no spread, are found by every query."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        norm = norms(vectors)
+        order = np.argsort(-norm, kind="stable")
+        self.ids, self.vectors, self.k, norm = ids[order], vectors[order], k, norm[order]
+        self.bands: list[tuple[slice, Band, int]] = []
+        self.always = np.ones(len(ids), dtype=bool)
+        first = int(np.isinf(norm).sum())
+        while first < len(ids):
+            own = slice(first, int(np.searchsorted(-norm, -norm[first] / RATIO, side="right")))
+            first = own.stop
+            n = own.stop - own.start
+            enough = 10 * k + int(VERIFY * n)
+            if enough < n and not (band := Band(self.vectors[own], norm[own])).flat:
+                self.bands.append((own, band, enough))
+                self.always[own] = False
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray):
+        """(query's place, ids, scores) of the k nearest found. Queries count by direction: their length does not change the order."""
+        units = queries / np.abs(queries).max(axis=1, keepdims=True)
+        units /= norms(units)[:, None]
+        found = np.tile(self.always, (len(queries), 1))
+        for own, band, enough in self.bands:
+            found[:, own] = band.search(units, enough)
+        for place, hit in enumerate(found):
+            yield place, *self.verify(query_ids[place], queries[place], np.flatnonzero(hit), self.k)
 
     def verify(self, query_id: int, query: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         found = found[self.ids[found] != query_id]
@@ -84,7 +118,7 @@ class Index:
         return self.ids[found][first], score[first]
 
 
-def _search(k: int, longest: float):
+def _search(k: int):
     def run(batches):
         cell, ids, vectors, index = None, [], [], None
         for batch in batches:
@@ -106,9 +140,9 @@ def _search(k: int, longest: float):
                     continue
                 if not ids:
                     continue
-                index = index or Index(np.concatenate(ids), np.concatenate(vectors), longest)
+                index = index or Index(np.concatenate(ids), np.concatenate(vectors), k)
                 for s in range(0, b - a, 8):
-                    for place, near, score in index.search(own[a + s : min(a + s + 8, b)], part[s : s + 8], k):
+                    for place, near, score in index.search(own[a + s : min(a + s + 8, b)], part[s : s + 8]):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), own[a + s + place])), pa.array(near), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     def gathered(batches):
@@ -134,13 +168,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     Every shard of at most about SHARD vectors is indexed and searched for every block of queries; shards grow in
     number with the vectors, not in size. The first k of each are merged. Recall is set by VERIFY: at least so
-    many of a shard's vectors, those that collide with the query in most projections, are compared exactly.
+    many of each band of a shard, those that collide with the query in most projections, are compared exactly.
     """
     clean = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     base, asked = clean(vectors).distinct(), clean(queries).groupBy("id").agg(F.min("v").alias("v"))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    n, longest = base.agg(F.count("*"), F.max(square)).first()
-    q = asked.count()
+    n, q = base.count(), asked.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-q // BLOCK))
     spread = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
     own = lambda count: F.pmod(F.xxhash64("id", "v"), F.lit(count)).cast("int")
@@ -148,7 +180,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     right = asked.select("id", "v", spread("s", shards), own(blocks).alias("b")).withColumn("kind", F.lit(1))
     both = left.unionByName(right).select(F.xxhash64(F.size("v"), "s", "b").alias("cell"), "kind", "id", "v")
     both = both.repartition(shards * blocks, "cell").sortWithinPartitions("cell", "kind")
-    found = both.mapInArrow(_search(k, float(longest or 0) ** 0.5), "query_id long, vec_id long, score double")
+    found = both.mapInArrow(_search(k), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -285,6 +285,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(few, few, k=20).count() == 6
 
 
+def test_neighbours_of_a_full_shard(spark):
+    """Short and long queries, and a few very long vectors among many."""
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(neighbours.SHARD, 64)), rng.normal(size=(48, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[[5, 600, 7000]] *= [[3], [5], [10]]
+    q /= 8 * np.linalg.norm(q, axis=1, keepdims=True)
+    q[:16] *= 0.01
+    q[16:32] *= 100
+    frame = lambda v, first: spark.createDataFrame([(first + i, r.tolist()) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(frame(x, 0), frame(q, 10_000), k=20).collect()
+    hits = Counter(r["query_id"] // 16 for r in got if r["vec_id"] in set(np.argsort(-(x @ q[r["query_id"] - 10_000]))[:20].tolist()))
+    assert len(got) == 20 * len(q) and len(hits) == 3
+    assert all(n >= 0.95 * 20 * 16 for n in hits.values())
+
+
 def test_neighbours_all_one_vector(spark):
     rows = [(i, [float(i % 7 - 3), 2.0, 1.0]) for i in range(60)] + [(60, [1.0, 2.0])] + [(i, [0.5, 0.1, 0.2, 0.7]) for i in range(100, 500)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
