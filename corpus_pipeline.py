@@ -20,10 +20,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of every class of near duplicates (five-word shingles, similarity 0.8), and one row for it."""
-    found = neardup.classes(docs, size=5, percent=80)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one document of every class of near duplicates (five-word shingles, similarity 0.8): that of the least id, then the least hash of the text.
+
+    Rows with the same id and text are one document and leave one row (the least); the same id with another text is another document.
+    """
+    own = ["doc_id", "text"]
+    th = F.xxhash64("text")
+    several = docs.groupBy("doc_id").agg(F.min(th).alias("lo"), F.max(th).alias("hi")).where("doc_id is not null and lo <> hi")
+    several = written(several.select("doc_id", F.lit(True).alias("_several")), "several")
+    if several.count() <= neardup.BROADCAST:
+        several = F.broadcast(several)
+    # an id of one text is its own node: in the order of ids the stars of neardup find most links
+    node = F.when(F.col("doc_id").isNull() | F.col("_several"), F.xxhash64(F.col("doc_id").isNull(), *own)).otherwise(F.col("doc_id"))
+    nodes = docs.join(several, "doc_id", "left").withColumn("_node", node)
+    found = neardup.classes(nodes.select("_node", "text"), "_node", size=5, percent=80).select(F.col("doc_id").alias("_node"), F.col("component_id").alias("_class")).distinct()
+    ids = nodes.select("_node", "doc_id").distinct()
+    kept = ids.join(found, "_node").groupBy("_class").agg(F.min(F.struct("doc_id", "_node")).getField("_node").alias("_kept"))
+    rows = nodes.join(kept, nodes["_node"] == kept["_kept"], "left_semi")
+    rest = [c for c in docs.columns if c not in own]
+    return rows.groupBy(*own).agg(F.min(F.struct(*rest)).alias("_rest")).select(*[F.col(c if c in own else f"_rest.{c}").alias(c) for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,15 +227,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wi
     all documents makes one row for each slice; windows around such an anchor are dealt by their own hash.
     """
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc")
-    texts = docs.select(own, F.col(text_col).alias("text"))
-    found = texts.where("text is not null").mapInArrow(tidy(_anchors(window, gram)), "key long, h long, doc long, pos int, sure boolean")
+    texts = docs.select(own, F.col(text_col).alias("text")).where("text is not null")
+    # marks find back to their text by 32 bits of id and text, so an id of many texts is no hot key; marks of another text with the same bits add windows to compare, no repeats
+    mark = (F.xxhash64("doc", "text").bitwiseAND(F.lit((1 << 32) - 1))).alias("mark")
+    found = texts.select(mark, "text").mapInArrow(tidy(_anchors(window, gram)), "key long, h long, doc long, pos int, sure boolean")
     found = found.repartition("key").sortWithinPartitions("key")
     again = written(found.mapInArrow(tidy(_repeated), "h long, doc long, pos int, slices long"), "anchors")
     hot = again.where(F.col("slices") >= HOT).select("h").distinct().withColumn("_hot", F.lit(1))
     if hot.count() <= BROADCAST:
         hot = F.broadcast(hot)
-    again = again.join(hot, "h", "left").groupBy("doc").agg(F.collect_list(F.col("pos") * 2 + F.coalesce("_hot", F.lit(0))).alias("marks"))
-    seeded = texts.where("text is not null").join(again, "doc").select("doc", "text", F.xxhash64("text").alias("th"), "marks")
+    again = again.join(hot, "h", "left").groupBy(F.col("doc").alias("mark")).agg(F.collect_list(F.col("pos") * 2 + F.coalesce("_hot", F.lit(0))).alias("marks"))
+    seeded = texts.select("doc", "text", mark).join(again, "mark").select("doc", "text", F.xxhash64("text").alias("th"), "marks")
     found = seeded.mapInArrow(tidy(_windows(window, gram)), "key long, doc long, th long, pos int, n int, hashes binary")
     later = found.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_later), "doc long, th long, a int, b int")
     later = later.groupBy("doc", "th").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))

@@ -256,6 +256,18 @@ def test_substrings_odd(spark, empty):
     assert got == [(-1, 30, 0), (1, 30, 30), (1, 30, 30), (2, 0, 0)]
 
 
+def test_substrings_of_one_id(spark, monkeypatch):
+    """Texts of one id don't take each other's anchors along."""
+    rng = random.Random(4)
+    passage = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(30)) for _ in range(50)]
+    rows = [(None, passage[k] + f" end{k} " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(20))) for k in range(50)] + [(k, passage[k]) for k in range(50)]
+    marks, real = [], substrings.written
+    monkeypatch.setattr(substrings, "written", lambda d, name: marks.append(real(d, name)) or marks[-1])
+    got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all((r["n_removed"], r["kept"]) == ((0, None) if r["doc_id"] is None else (30, "")) for r in got) and len(got) == 100
+    assert marks[0].groupBy("doc").count().agg({"count": "max"}).first()[0] < 30
+
+
 # 6: neighbours
 
 

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 
 from loomwork.llm import neardup
 
@@ -52,6 +53,24 @@ def test_stages(spark, tmp_path):
     assert cp.ORACLE_SQL is None and neardup.classes(two).count() == two.count()
 
 
+def test_ids_of_several_texts(spark, tmp_path):
+    """Null and shared ids: what goes is a copy or near copy of what stays."""
+    texts = [t for _, t, *_ in documents(seed=5, n=40)[:40]]
+    near = texts[0].split()
+    near = " ".join((near * 3)[:200])
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else 100 + k, t, "en", "a", k) for k, t in enumerate(texts)]
+    rows += [(None, texts[1], "en", "b", 1), (7, texts[1], "en", "a", 2), (7, texts[1], "de", "a", 3), (7, near, "en", "a", 4), (200, near + " tail", "en", "a", 5), (None, texts[2].upper(), "en", "a", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, cp.near_duplicates(spark, docs, str(tmp_path)).collect()), key=str)
+    gone = {(7, texts[1]), (102, texts[2]), (200, near + " tail")}
+    assert got == sorted([r for r in rows if r[:2] not in gone], key=str)
+    again = sorted(map(tuple, cp.near_duplicates(spark, docs.repartition(7), str(tmp_path)).collect()), key=str)
+    assert again == got
+
+    doubled = docs.unionByName(docs.withColumn("source", F.lit("c")))
+    assert sorted(map(tuple, cp.near_duplicates(spark, doubled, str(tmp_path)).collect()), key=str) == got
+
+
 def test_empty(spark, tmp_path):
     docs = frame(spark, []).select(*COLUMNS)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
