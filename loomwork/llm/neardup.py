@@ -331,9 +331,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     counts = bucket_counts(texts, size)
     profiles = written(texts.mapInArrow(tidy(_profiles(size, percent, counts)), "doc long, n long, s1 long, s2 long, keys array<long>, need long, sig binary"), "profiles")
     nodes = profiles.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("node"))
-    copies = profiles.where("n > 0").select("doc", "s1", "s2", "n").join(nodes, ["s1", "s2", "n"]).select(F.col("doc").alias("a"), F.col("node").alias("b"))
+    copies = profiles.where("n > 0").select("doc", "s1", "s2", "n").join(nodes, ["s1", "s2", "n"]).select(F.col("doc").alias("a"), F.col("node").alias("b"), "s1", "s2", "n")
     copies = written(copies.where("a <> b"), "copies")
-    alone = profiles.join(copies.select(F.col("a").alias("doc")).distinct(), "doc", "left_anti").where("n > 0")
+    own = ["doc", "s1", "s2", "n"]  # another text of a copy's id stays
+    alone = profiles.join(copies.withColumnRenamed("a", "doc").select(*own).distinct(), own, "left_anti").where("n > 0")
     keys = alone.select(F.explode("keys").alias("key"), "doc")
     heads = keys.groupBy("key").agg(F.min("doc").alias("head"), F.count("*").alias("rows")).where("rows > 1")
     shared = written(keys.join(heads, "key"), "shared")
@@ -344,7 +345,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     star = star.join(kept.select(F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2")), "b")
     star = written(star.mapInArrow(tidy(_bounded(percent)), "a long, b long").distinct(), "stars")
     links = written(verified(star, texts, size, percent), "links")
-    first = components(links.union(copies))
+    first = components(links.union(copies.select("a", "b")))
 
     label = first.select(F.col("a").alias("doc"), F.col("b").alias("comp"))
     rest = shared.select("key", "doc", "rows").join(label, "doc", "left").select("key", "doc", "rows", F.coalesce("comp", "doc").alias("comp"))

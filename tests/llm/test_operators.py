@@ -95,6 +95,14 @@ def test_classes_odd(spark, empty):
     assert sorted(map(tuple, neardup.classes(same).collect()), key=str) == sorted([(5, 1, None), (5, 1, None), (None, 1, None), (9, 0, 9)], key=str)
 
 
+def test_classes_of_ids_with_several_texts(spark):
+    """A copy takes only its own text out of the search, not the others of its id."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    d = spark.createDataFrame([(3, one), (5, one), (5, two), (7, two + " tail"), (9, "c d e f g h")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in neardup.classes(d).collect()}
+    assert got == {3: 3, 5: 3, 7: 3, 9: 9}
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(30)] + [(100, 50), (50, 70), (7, 7), (100, 50)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
