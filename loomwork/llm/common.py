@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; an own temporary one only where the session names none."""
+    """The folder that all executors share; an own temporary one only where a local session names none. A cluster's session must name it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="loomwork-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -39,6 +41,34 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def block_of(key: Column, blocks: int) -> Column:
+    """The block of a blocked Bloom filter that a key belongs to."""
+    return F.pmod(F.xxhash64(key), F.lit(blocks))
+
+
+def bits_of(key: Column, bits: int = 6) -> Column:
+    """The key's bits within its block of 64, from a second hash."""
+    h = F.xxhash64(key, F.lit("bits"))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
+    out = bit(0)
+    for i in range(1, bits):
+        out = out.bitwiseOR(bit(i))
+    return out
+
+
+def bloom(keys: DataFrame, column: str, blocks: int) -> DataFrame:
+    """One row, _bloom: the blocks (64 bits each) of a Bloom filter of a column's values. Its size follows from blocks alone, so it may be broadcast."""
+    found = keys.groupBy(block_of(F.col(column), blocks).alias("id")).agg(F.bit_or(bits_of(F.col(column))).alias("bits"))
+    every = keys.sparkSession.range(blocks).join(found, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("b"))
+    return every.agg(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["bits"]).alias("_bloom"))
+
+
+def may_hold(filter_: Column, key: Column, blocks: int) -> Column:
+    """Whether a filter of bloom() may hold the key; never false for one that it holds."""
+    mask = bits_of(key)
+    return F.element_at(filter_, (block_of(key, blocks) + 1).cast("int")).bitwiseAND(mask) == mask
+
+
 def ranked(df: DataFrame, group: str, bucket: Column, order: list[Column], rank: str = "rank") -> DataFrame:
     """Adds each row's place (from 0) within its group, ordered by bucket and then by order.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .substrings import numbers
-from .textkit import mixed, ranges, raw, slices, span_hashes, tidy
+from .textkit import byte_hashes, mixed, ranges, raw, slices, tidy
 
 #: Bytes of a window, windows among which the rarest is sought, and how often one must be it to be a feature.
 WINDOW, AREA, POPULAR = 64, 64, 16
@@ -95,7 +95,7 @@ def digests(column: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         h = mixed(h ^ grid[:, k]) + np.uint64(k)
     doc = np.searchsorted(offsets, at, side="right") - 1
     plain = np.setdiff1d(np.arange(texts), doc)
-    h = np.concatenate([h, span_hashes(b.astype(np.uint64), offsets[plain], offsets[plain + 1])])
+    h = np.concatenate([h, byte_hashes(b, offsets[plain], offsets[plain + 1])])
     doc, at = np.concatenate([doc, plain]), np.concatenate([at, offsets[plain]])
     order = np.lexsort((at, h, doc))
     first = np.ones(len(h), dtype=bool)

@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: exact links between documents, found by shared rare shingles and signature trees."""
+"""N-gram Jaccard join: exact links between documents by dual traversal of signature trees."""
 
 from __future__ import annotations
 
@@ -9,24 +9,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bloom, may_hold, written
 from .components import components
 from .substrings import numbers, whole_groups
-from .textkit import _TABLE, mixed, ranges, slices, span_hashes, tidy, words
+from .textkit import byte_hashes, mixed, ranges, slices, span_hashes, tidy, words
 
 #: Bits of a signature.
-BITS = 2048
+BITS = 512
 #: Buckets in which all shingles are counted to tell rare ones, and rows in which a task sends its counts.
 BUCKETS, CHUNKS = 1 << 20, 256
 #: Of so many keys that two sets must share one of, they must share a quarter of if each has a quarter more.
 PART = 4
-#: Documents of a leaf of the tree, children of a node, and rows of a group that one task joins with itself.
-LEAF, FAN, BLOCK = 16, 4, 4096
-#: The most pairs that are broadcast.
-BROADCAST = 500_000
+#: Keys of a bucket with so many shingles (one below a task's largest count) are grouped in parts first.
+HOT = 200
+#: Children of a node of a tree, and the largest groups in which the first round looks for all pairs.
+FAN, FULL = 4, 16
+#: Rows of one key that one task joins, and rows of a group that one task traverses with themselves.
+SPLIT, BLOCK = 1000, 4096
+#: Blocks (64 bits each) of the filter that texts pass before they are shuffled.
+BLOOM = 1 << 16
 _NULL_ID = -(1 << 63)
-_FOLDED = _TABLE.copy()
-_FOLDED[65:91] = _TABLE[97:123]
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
 
 
 def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +39,7 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     Words are lower-cased in A-Z. A text of fewer words than size has one shingle, its whole sequence; one without words none.
     """
     buf, starts, ends, first = words(column)
-    hashes = span_hashes(_FOLDED[buf], starts, ends)
+    hashes = byte_hashes(_FOLDED[buf], starts, ends)
     n = np.diff(first)
     short = np.minimum(n, size)
     count = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
@@ -94,6 +98,7 @@ def _profiles(size: int, percent: int, counts: np.ndarray):
 
     Under one order of all shingles, those of the emptiest buckets first, two sets of that similarity share one of the first
     n - ceil(n * similarity) + 1 of each, and with k - 1 more of each, k. A pair must share the lesser need of its two.
+    Keys of full buckets stand apart (hot).
     """
 
     def run(batches):
@@ -107,40 +112,57 @@ def _profiles(size: int, percent: int, counts: np.ndarray):
                 need = np.maximum(one // PART, 1)
                 keep = np.where(n > 0, one + need - 1, 0)
                 order = np.lexsort((h, level, doc))
-                keys = h[order][ranges(first[:-1], keep)]
+                own = order[ranges(first[:-1], keep)]
+                keys, full, owner = h[own].view(np.int64), level[own] >= HOT, np.repeat(np.arange(len(n)), keep)
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[k], minlength=len(n)))]).astype(np.int32)), pa.array(keys[k])) for k in (~full, full)]
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (mixed(h), mixed(h ^ np.uint64(0x5BD1E995)))]
                 bits = np.zeros(len(n) * BITS, dtype=bool)
                 bits[doc * BITS + ((h >> np.uint64(32)) % np.uint64(BITS)).astype(np.int64)] = True
                 sig = np.packbits(bits).tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n.astype(np.int64))]
+                    [part.column(0), part.column(2), part.column(3), pa.array(n.astype(np.int64))]
                     + [pa.array((s[first[1:]] - s[first[:-1]]).view(np.int64)) for s in sums]
-                    + [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(keys.view(np.int64))), pa.array(need.astype(np.int64)), pa.array([sig[i : i + BITS // 8] for i in range(0, len(sig), BITS // 8)], pa.binary())],
-                    names=["doc", "n", "s1", "s2", "keys", "need", "sig"],
+                    + [*lists, pa.array(need.astype(np.int64)), pa.array([sig[i : i + BITS // 8] for i in range(0, len(sig), BITS // 8)], pa.binary())],
+                    names=["doc", "id", "row", "n", "s1", "s2", "keys", "hot", "need", "sig"],
                 )
 
     return run
 
 
-
-
-
 def ones(bits: np.ndarray) -> np.ndarray:
     return np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
 
 
-class Tree:
-    """A signature tree over documents in the order given: per node the OR of the bitmaps, the range of sizes, the most shingles that share bits, and whether all are of one component. levels[0] are the documents themselves."""
+class Forest:
+    """A signature tree for each group of documents, all built at once; documents are in the order given, groups one after the other.
+
+    levels[0] are the documents, every node above stands for up to FAN in a row of the level below: the OR of their
+    bitmaps, the range of their sizes, the most shingles of one of them that share bits, the least and greatest
+    component. below[l] has the first and last child of the nodes of level l + 1; group is each node's group.
+    """
 
-    def __init__(self, sig: np.ndarray, n: np.ndarray, comp: np.ndarray):
+    def __init__(self, group: np.ndarray, sig: np.ndarray, n: np.ndarray, comp: np.ndarray):
         self.levels = [(sig, n, n, n - ones(sig), comp, comp)]
-        width = LEAF
-        while len(self.levels[-1][0]) > 1:
-            sig, low, high, slack, c, d = self.levels[-1]
-            at = np.arange(0, len(sig), width)
-            over = [np.bitwise_or.reduceat(sig, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at), np.minimum.reduceat(c, at), np.maximum.reduceat(d, at)]
-            self.levels.append(tuple(over))
-            width = FAN
+        self.group, self.below = [group], [(None, None)]
+        self.roots: list[np.ndarray] = [np.zeros(0, np.int64)]
+        at = np.arange(len(group))  # nodes that still get parents
+        while len(at):
+            own = self.group[-1][at]
+            new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            size = np.diff(new, append=len(own))
+            within = np.arange(len(own)) - np.repeat(new, size)
+            cut = np.flatnonzero(within % FAN == 0)
+            first = at[cut]
+            last = first + np.diff(cut, append=len(own))
+            # nodes without parents lie between groups only, so a parent's children stand in a row
+            sig, low, high, slack, c, d = (x[at] for x in self.levels[-1])
+            over = ((np.bitwise_or, sig), (np.minimum, low), (np.maximum, high), (np.maximum, slack), (np.minimum, c), (np.maximum, d))
+            self.levels.append(tuple(f.reduceat(x, cut) for f, x in over))
+            self.group.append(own[cut])
+            self.below.append((first, last))
+            above = np.repeat(-(-size // FAN), -(-size // FAN))  # nodes of each node's group
+            self.roots.append(np.flatnonzero(above == 1))
+            at = np.flatnonzero(above > 1)
 
 
 def may_link(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, percent: int) -> np.ndarray:
@@ -162,59 +184,50 @@ def may_link(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray, percent: int) ->
     return ok
 
 
-def traverse(tree: Tree, percent: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of documents of one tree that may link, by descending from the pair of roots; depth first in parts, so the frontier stays bounded."""
-    top = len(tree.levels) - 1
-    todo = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+def traverse(forest: Forest, percent: int, starred: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of documents of one group that may link, by descending from the pairs of roots; depth first in parts, so the frontier stays bounded.
+
+    Of starred groups (by number) only pairs with the first document are wanted: on that side the first child alone is visited.
+    """
+    todo = [(level, r, r) for level, r in enumerate(forest.roots) if len(r)]
     while todo:
         level, i, j = todo.pop()
-        if len(i) > most:
-            todo += [(level, i[most:], j[most:]), (level, i[:most], j[:most])]
-            continue
-        node = tree.levels[level]
-        keep = may_link(node, i, node, j, percent)
+        keep = may_link(forest.levels[level], i, forest.levels[level], j, percent)
         if level == 0:
-            keep &= i < j
             yield i[keep], j[keep]
             continue
         i, j = i[keep], j[keep]
-        width = LEAF if level == 1 else FAN
-        below = len(tree.levels[level - 1][0])
-        grid_i, grid_j = np.divmod(np.arange(width * width), width)
-        for s in range(0, len(i), max(1, most // width**2)):
-            x = (i[s : s + most // width**2, None] * width + grid_i).ravel()
-            y = (j[s : s + most // width**2, None] * width + grid_j).ravel()
-            ok = (x < below) & (y < below) & (x <= y)
+        first, last = forest.below[level]
+        wide = np.where(starred[forest.group[level][i]], 1, last[i] - first[i])
+        deep = last[j] - first[j]
+        ends = np.cumsum(wide * deep)
+        cuts = np.searchsorted(ends, np.arange(most, (ends[-1] if len(ends) else 0) + most, most), side="right")
+        for a, b in zip([0, *cuts], [*cuts, len(i)], strict=True):
+            if a == b:
+                continue
+            area = (wide * deep)[a:b]
+            at = np.repeat(np.arange(a, b), area)
+            k = ranges(np.zeros(b - a, np.int64), area)
+            x, y = first[i[at]] + k // deep[at], first[j[at]] + k % deep[at]
+            ok = x < y if level == 1 else x <= y
             todo.append((level - 1, x[ok], y[ok]))
 
 
 def _candidates(percent: int):
-    """Pairs of documents of two components in one group that may link: small groups are leaves, joined all at once; large ones get a tree. With each pair goes how many keys it was found by and how many it needs."""
+    """Pairs of documents of two components in one group that may link, by one tree a group. With each pair goes how many groups it was found in and how many it needs."""
 
     def run(batches):
         for t in whole_groups(batches):
-            cell, doc, n, comp, need, block = (numbers(t.column(i)) for i in range(6))
-            sig = np.frombuffer(b"".join(t.column(6).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-            order = np.lexsort((doc, n, comp, cell))
-            cell, doc, n, comp, need, block, sig = (x[order] for x in (cell, doc, n, comp, need, block, sig))
-            new = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-            size = np.diff(new, append=len(cell))
+            cell, doc, n, comp, need, block, head, star = (numbers(t.column(i)) for i in range(8))
+            sig = np.frombuffer(b"".join(t.column(8).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+            order = np.lexsort((doc, n, comp, ~head, cell))
+            cell, doc, n, comp, need, block, star, sig = (x[order] for x in (cell, doc, n, comp, need, block, star, sig))
+            new = np.concatenate([[True], cell[1:] != cell[:-1]])
             found = Found(doc, need, block)
-            leaf = (sig, n, n, n - ones(sig), comp, comp)
-            small = size <= LEAF
-            last = np.repeat(np.where(small, new + size, 0), size)  # end of the row's group if it is a leaf
-            for d in range(1, LEAF):
-                i = np.flatnonzero(np.arange(len(cell)) + d < last)
-                if not len(i):
-                    break
-                i = i[may_link(leaf, i, leaf, i + d, percent)]
-                found.add(i, i + d)
-            for s, c in zip(new[~small], size[~small], strict=True):
-                own = slice(s, s + c)
-                for i, j in traverse(Tree(sig[own], n[own], comp[own]), percent):
-                    found.add(s + i, s + j)
-                    if found.rows > 1 << 18:
-                        yield found.batch()
+            for i, j in traverse(Forest(np.cumsum(new) - 1, sig, n, comp), percent, star[new]):
+                found.add(i, j)
+                if found.rows > 1 << 18:
+                    yield found.batch()
             yield found.batch()
 
     return run
@@ -297,105 +310,122 @@ def _verify(percent: int):
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, each: int = 500) -> DataFrame:
     """Those of pairs (a, b), distinct, whose sets are similar enough.
 
-    The sets are made again from the texts of the documents in pairs and dealt by b; a b of very many pairs is
-    salted, with a copy of its set for every so many of them. Up to BROADCAST pairs are broadcast to the texts
-    (some tens of bytes each); with more, the texts are shuffled.
+    The sets are made again from the texts of the documents in pairs, which a Bloom filter of bounded size tells before
+    the texts are shuffled, and dealt by b; a b of very many pairs is salted, with a copy of its set for every so many of them.
     """
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
     dealt = pairs.join(salts, "b").select(F.col("a").alias("doc"), F.col("b").alias("head"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"))
     own = salts.select(F.col("b").alias("doc"), F.col("b").alias("head"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     places = dealt.union(own).select("doc", F.struct(F.xxhash64("head", "salt").alias("place"), "head").alias("at"))
     places = written(places.groupBy("doc").agg(F.collect_list("at").alias("places")), "places")
-    if pairs.count() <= BROADCAST:
-        places = F.broadcast(places)
-    rows = texts.join(places, "doc").select("doc", "text", "places")
+    wanted = texts.join(F.broadcast(bloom(places, "doc", BLOOM))).where(may_hold(F.col("_bloom"), F.col("doc"), BLOOM))
+    rows = wanted.select("doc", "text").join(places, "doc").select("doc", "text", "places")
     rows = rows.mapInArrow(tidy(_sets(size)), "place long, head long, doc long, set array<long>")
     rows = rows.repartition("place").sortWithinPartitions("place", "head", F.col("doc") != F.col("head"))
     return rows.mapInArrow(tidy(_verify(percent)), "a long, b long")
 
 
+def _apart(texts: DataFrame) -> tuple[DataFrame, bool]:
+    """texts (id, text) with doc, a number for every id and text: the id itself, or a hash of both for ids of several texts. And whether there are such ids."""
+    th = F.xxhash64("text")
+    several = texts.groupBy("id").agg(F.min(th).alias("lo"), F.max(th).alias("hi")).where("lo <> hi")
+    several = written(several.select("id", F.lit(True).alias("_several")), "several")
+    if several.isEmpty():
+        return texts.withColumn("doc", F.col("id")), False
+    return texts.join(several, "id", "left").withColumn("doc", F.when(F.col("_several"), F.xxhash64("id", "text")).otherwise(F.col("id"))).drop("_several"), True
+
+
+def _grouped(rows: DataFrame, parts) -> DataFrame:
+    """rows (key, doc, comp) of keys that two components hold, with the key's head (least doc) and number of rows.
+
+    Keys are grouped in so many parts first, and joined back part by part, so none of many rows meets in one task.
+    """
+    rows = rows.select("key", "doc", "comp", F.pmod(F.xxhash64("doc"), parts).cast("int").alias("part"))
+    some = rows.groupBy("key", "part").agg(F.min("doc").alias("head"), F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    whole = some.groupBy("key").agg(F.min("head").alias("head"), F.sum("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+    return rows.join(some.select("key", "part").join(whole, "key"), ["key", "part"]).select("key", "doc", "comp", "head", "rows")
+
+
+def _enough(rows: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """rows of documents with as many keys as the smallest partner would need."""
+    least = F.floor((percent * F.col("n") + 99) / 100)
+    one = least - F.floor((percent * least + 99) / 100) + 1
+    held = rows.groupBy("doc").agg(F.count("*").alias("held")).join(kept.select("doc", "n"), "doc")
+    return rows.join(held.where(F.col("held") >= F.greatest(F.floor(one / PART), F.lit(1))).select("doc"), "doc", "left_semi")
+
+
+def _pairs(cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the trees of cells find often enough."""
+    columns = ["cell", "doc", "n", "comp", "need", "block", "head", "star", "sig"]
+    found = cells.select(*columns).repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_candidates(percent)), "a long, b long, need long, times long")
+    return found.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles (size of its set), component_id (least doc_id that links reach).
 
     Two documents link if 100 * shared >= percent * union of their sets of size-word shingles (at least one
     shingle; words lower-cased in A-Z; shorter texts are one shingle). Null and blank texts link with nothing.
-    Rows with one id are one document with the links of each. ids are integers; null is an id, the least.
-
-    1. Equal sets are one node. Every two sets that link share a number of their first keys; keys held once are dropped.
-    2. Stars: each node is compared with the least nodes of its keys that it shares enough of them with; components follow.
-    3. The rest: for every key still held by two components, among documents that hold enough such keys, a signature
-       tree finds the pairs of different components that sizes and bitmaps allow; those found by as many keys as they need are compared. Large groups are dealt as pairs of blocks.
+    Rows with one id are one document with the links of each. ids are integers; null is an id, the least (-2^63 stands for it).
+
+    1. Equal sets are one node. Every two sets that link share a number of their keys, their first shingles under one
+       order, so every key's documents make a group; documents that share too few keys to link are left out.
+    2. Each group has a signature tree. A first traversal finds all pairs of small groups that sizes and bitmaps allow,
+       and in large ones those with the group's least document; they are compared, and components follow.
+    3. The groups still held by two components are traversed anew for all pairs of different components, and those found
+       in as many groups as they need are compared. Large groups are dealt as pairs of blocks.
     Every pair that could link is compared or lies in one component already, so no link is lost.
     """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts, apart = _apart(texts)
+    texts = texts.select("doc", "text", "id")
     counts = bucket_counts(texts, size)
-    profiles = written(texts.mapInArrow(tidy(_profiles(size, percent, counts)), "doc long, n long, s1 long, s2 long, keys array<long>, need long, sig binary"), "profiles")
-    nodes = profiles.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("node"))
-    copies = profiles.where("n > 0").select("doc", "s1", "s2", "n").join(nodes, ["s1", "s2", "n"]).select(F.col("doc").alias("a"), F.col("node").alias("b"), "s1", "s2", "n")
-    copies = written(copies.where("a <> b"), "copies")
-    own = ["doc", "s1", "s2", "n"]  # another text of a copy's id stays
-    alone = profiles.join(copies.withColumnRenamed("a", "doc").select(*own).distinct(), own, "left_anti").where("n > 0")
-    keys = alone.select(F.explode("keys").alias("key"), "doc")
-    heads = keys.groupBy("key").agg(F.min("doc").alias("head"), F.count("*").alias("rows")).where("rows > 1")
-    shared = written(keys.join(heads, "key"), "shared")
-
+    made = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(tidy(_profiles(size, percent, counts)), "doc long, id long, row long, n long, s1 long, s2 long, keys array<long>, hot array<long>, need long, sig binary")
+    profiles = written(made, "profiles")
+    live = profiles.where("n > 0")
+    parts = F.lit(max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    same = ["s1", "s2", "n"]
+    slim = live.select(*same, "doc", "row", F.pmod(F.xxhash64("row"), parts).alias("part"))
+    some = slim.groupBy(*same, "part").agg(F.min(F.struct("doc", "row")).alias("node"), F.count("*").alias("rows"))
+    whole = some.groupBy(*same).agg(F.min("node").alias("node"), F.sum("rows").alias("rows")).where("rows > 1")
+    copies = slim.join(some.select(*same, "part").join(whole, same), [*same, "part"]).where(F.col("row") != F.col("node.row"))
+    copies = written(copies.select("row", "doc", F.col("node.doc").alias("node")), "copies")
+    alone = live.join(copies.select("row"), "row", "left_anti")
     kept = alone.select("doc", "n", "need", "sig")
-    star = shared.where("doc <> head").groupBy(F.col("doc").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("times"))
-    star = star.join(kept.select(F.col("doc").alias("a"), "n", "need", "sig"), "a").where("times >= need")
-    star = star.join(kept.select(F.col("doc").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2")), "b")
-    star = written(star.mapInArrow(tidy(_bounded(percent)), "a long, b long").distinct(), "stars")
-    links = written(verified(star, texts, size, percent), "links")
-    first = components(links.union(copies.select("a", "b")))
-
-    label = first.select(F.col("a").alias("doc"), F.col("b").alias("comp"))
-    rest = shared.select("key", "doc", "rows").join(label, "doc", "left").select("key", "doc", "rows", F.coalesce("comp", "doc").alias("comp"))
-    rest = written(rest, "rest")
-    for _ in range(2):
-        rest = written(_worth(rest, kept, percent), "rest")
-    rest = rest.join(kept, "doc")
+
+    keys = lambda column: alone.select(F.explode(column).alias("key"), "doc", F.col("doc").alias("comp"))
+    cold = keys("keys")
+    heads = cold.groupBy("key").agg(F.min("doc").alias("head"), F.count("*").alias("rows")).where("rows > 1")
+    shared = cold.join(heads, "key").select("key", "doc", "comp", "head", "rows").unionByName(_grouped(keys("hot"), parts))
+    shared = written(_enough(written(shared, "shared"), kept, percent), "shared")
+    blocks = F.ceil(F.col("rows") / SPLIT).cast("int")
+    head = F.col("doc") == F.col("head")
+    block = F.explode(F.when(head, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), blocks).cast("int"))))
+    cells = shared.withColumn("at", block).select(F.xxhash64("key", "at").alias("cell"), "doc", "comp", F.lit(-1).cast("long").alias("block"), head.alias("head"), (F.col("rows") > FULL).alias("star"))
+    first = written(_pairs(cells.join(kept, "doc"), percent), "pairs")
+    known = copies.where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
+    if apart:
+        ids = profiles.select("id", "doc").distinct()
+        known = known.union(ids.join(ids.groupBy("id").agg(F.min("doc").alias("b")), "id").select(F.col("doc").alias("a"), "b").where("a <> b"))
+    label = components(written(verified(first, texts, size, percent), "links").union(known)).select(F.col("a").alias("doc"), F.col("b").alias("comp"))
+
+    rest = shared.drop("comp", "head").join(label, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    rest = written(_enough(written(_grouped(rest, F.ceil(F.col("rows") / SPLIT)), "shared"), kept, percent), "shared")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j"), F.when(k == block, -1).otherwise(block).alias("block")))
-    rest = rest.select(F.explode(cells).alias("at"), "key", "doc", "n", "comp", "need", "sig")
-    rest = rest.select(F.xxhash64("key", "at.i", "at.j").alias("cell"), "doc", "n", "comp", "need", F.col("at.block").cast("long").alias("block"), "sig")
-    rest = rest.repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_candidates(percent)), "a long, b long, need long, times long")
-    rest = rest.groupBy("a", "b", "need").agg(F.sum("times").alias("times")).where("times >= need").select("a", "b")
-    rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    links = verified(rest, texts, size, percent)
+    cells = rest.select(F.explode(cells).alias("at"), "key", "doc", "comp")
+    cells = cells.select(F.xxhash64("key", "at.i", "at.j").alias("cell"), "doc", "comp", F.col("at.block").cast("long").alias("block"), F.lit(False).alias("head"), F.lit(False).alias("star"))
+    second = written(_pairs(cells.join(kept, "doc"), percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    links = verified(second, texts, size, percent)
     name = lambda c: label.select(F.col("doc").alias(c), F.col("comp").alias(f"{c}_comp"))
     links = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
-    second = components(links).select(F.col("a").alias("comp"), F.col("b").alias("least"))
-
-    out = profiles.select("doc", "n").join(label, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).join(second, "comp", "left")
-    value = F.coalesce("least", "comp")
-    shown = lambda c: F.when(c != _NULL_ID, c)
-    return out.select(shown(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), shown(value).alias("component_id"))
-
-
-def _worth(rest: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, doc, ...) whose key is held by two components, of documents with as many such keys as the smallest partner would need."""
-    several = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = rest.join(several, "key")
-    least = F.floor((percent * F.col("n") + 99) / 100)
-    one = least - F.floor((percent * least + 99) / 100) + 1
-    enough = rest.groupBy("doc").agg(F.count("*").alias("held")).join(kept.select("doc", "n"), "doc").where(F.col("held") >= F.greatest(F.floor(one / PART), F.lit(1)))
-    return rest.join(enough.select("doc"), "doc", "left_semi")
-
-
-def _bounded(percent: int):
-    """Pairs whose sizes and bitmaps allow a link."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sides = {}
-            for s in ("", "2"):
-                sig = np.frombuffer(b"".join(batch.column(f"sig{s}").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
-                n = numbers(batch.column(f"n{s}"))
-                sides[s] = (sig, n, n, n - ones(sig), numbers(batch.column("b" if s else "a")), numbers(batch.column("b" if s else "a")))
-            i = np.arange(batch.num_rows)
-            keep = may_link(sides[""], i, sides["2"], i, percent)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
-
-    return run
+    joined = components(links).select(F.col("a").alias("comp"), F.col("b").alias("least"))
+
+    out = profiles.select("id", "doc", "n").join(label, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")).join(joined, "comp", "left")
+    out = out.select("id", "n", F.coalesce("least", "comp").alias("comp"))
+    if apart:  # components are named by the least number; the least id names them now
+        out = out.join(out.groupBy("comp").agg(F.min("id").alias("least")), "comp").select("id", "n", F.col("least").alias("comp"))
+    shown = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
+    return out.select(shown("id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("comp").alias("component_id"))

@@ -11,8 +11,8 @@ import pyarrow as pa
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, *range(9, 14)]] = True
 _PRIME = 0x9E3779B97F4A7C15
-_WIDTH = (1 << 64) - 1
-_TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: The longest spans of values that a polynomial hashes.
+SHORT = 64
 
 
 #: What empties the caches that Python workers keep from task to task.
@@ -89,11 +89,60 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span; equal spans have equal hashes wherever they stand."""
+    """A 64-bit hash of values[start:end] for each span; equal spans have equal hashes wherever they stand.
+
+    values are 64-bit hashes. A polynomial serves spans of up to SHORT values; on longer ones it would collide
+    for regular sequences of two values (some 1,024 of them), so these are hashed as trees.
+    """
     p, inverse = powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values * p[: len(values)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    out = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    long = np.flatnonzero(ends - starts > SHORT)
+    if len(long):
+        n = ends[long] - starts[long]
+        out[long] = _trees(values[ranges(starts[long], n)], n, n)
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mixed(a * np.uint64(_PRIME) + b)
+
+
+def _trees(leaves: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each run of counts leaves (all runs one after the other; an empty run: that of nothing) and of its size: neighbours are joined pair by pair until one is left."""
+    out = np.zeros(len(counts), dtype=np.uint64)
+    todo = np.flatnonzero(counts > 0)
+    n = counts[todo]
+    while len(todo):
+        first = np.cumsum(n) - n
+        done = n == 1
+        out[todo[done]] = leaves[first[done]]
+        todo, n, first = todo[~done], n[~done], first[~done]
+        if not len(todo):
+            break
+        half = (n + 1) // 2
+        within = ranges(np.zeros(len(n), np.int64), half)
+        left = np.repeat(first, half) + 2 * within
+        pair = 2 * within + 1 < np.repeat(n, half)
+        above = leaves[left]
+        above[pair] = _joined(above[pair], leaves[left[pair] + 1])
+        leaves, n = above, half
+    return mixed(out + mixed(sizes.astype(np.uint64) + np.uint64(_PRIME)))
+
+
+def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of buf[start:end] for each span of bytes: its blocks of 8 bytes, joined as a tree."""
+    size = ends - starts
+    blocks = (size + 7) // 8
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the 8 bytes from each byte on
+    within = ranges(np.zeros(len(size), np.int64), blocks)
+    values = eights[np.repeat(starts, blocks) + 8 * within]
+    left = np.repeat(size, blocks) - 8 * within
+    tail = left < 8
+    values[tail] &= (np.uint64(1) << (8 * left[tail]).astype(np.uint64)) - np.uint64(1)
+    return _trees(mixed(values + np.uint64(_PRIME)), blocks, size)
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +164,7 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, first word of each text and the number of all words)."""
     buf, starts, ends, first = words(column)
-    return span_hashes(_TABLE[buf], starts, ends), first
+    return byte_hashes(buf, starts, ends), first
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

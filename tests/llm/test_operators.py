@@ -69,7 +69,8 @@ def test_classes_of_blocks_and_trees(spark, monkeypatch):
         base[rng.randrange(80)] = f"x{k}"
         rows.append((k, " ".join(base)))
     monkeypatch.setattr(neardup, "BLOCK", 24)
-    monkeypatch.setattr(neardup, "BROADCAST", 0)
+    monkeypatch.setattr(neardup, "SPLIT", 10)
+    monkeypatch.setattr(neardup, "HOT", 3)
     got = sorted(map(tuple, neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), size=3, percent=80).collect()))
     assert got == brute_classes(rows, 3, 80)
 
@@ -82,11 +83,15 @@ def test_tree_prunes_no_pair():
     for i, s in enumerate(sets):
         sig[i, s % neardup.BITS] = True
     n = np.array([len(s) for s in sets])
-    tree = neardup.Tree(np.packbits(sig, axis=1), n, np.arange(len(sets)))
-    found = {(i, j) for a, b in neardup.traverse(tree, 90) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    group = np.repeat(np.arange(4), [1, 2, 40, len(sets) - 43])
+    forest = neardup.Forest(group, np.packbits(sig, axis=1), n, np.arange(len(sets)))
+    pairs = lambda star: {(i, j) for a, b in neardup.traverse(forest, 90, np.array([False, False, False, star]), most=50) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
+    found = pairs(False)
+    assert pairs(True) == {(i, j) for i, j in found if group[i] < 3 or i == 43}
     want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))}
+    want = {(i, j) for i, j in want if group[i] == group[j]}
     assert want and want <= found
-    assert len(found) < len(sets) * (len(sets) - 1) / 4
+    assert all(group[i] == group[j] for i, j in found) and len(found) < len(sets) * (len(sets) - 1) / 4
 
 
 def test_classes_odd(spark, empty):
@@ -103,6 +108,24 @@ def test_classes_of_ids_with_several_texts(spark):
     assert got == {3: 3, 5: 3, 7: 3, 9: 9}
 
 
+def regular(n, a, b):
+    """The sequence of n letters (a power of two) on which polynomial hashes collide with its complement."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_classes_of_long_texts_and_words(spark):
+    """Words that differ although regular, texts of 20,000 words, columns with the operator's own names."""
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    near, far = list(long), list(long)
+    near[77] = "other"
+    far[::5] = ["x"] * 4000
+    texts = [regular(n, *ab) for n in (1024, 2048, 4096) for ab in ("ab", "ba")] + [" ".join(t) for t in (long, near, far, long[:10_000], ["pad"] * 20_000)]
+    rows = [(k, t, 1, 2, "c", "d") for k, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, doc long, key long, _several string, head string")
+    assert sorted(map(tuple, neardup.classes(d).collect())) == brute_classes([r[:2] for r in rows], 5, 80)
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(30)] + [(100, 50), (50, 70), (7, 7), (100, 50)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
