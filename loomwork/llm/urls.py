@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bloom, may_hold, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits set for a key within its block of 64.
-BITS = 6
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -18,20 +18,6 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks))
-
-
-def _mask(key: Column) -> Column:
-    """Six bits of 64, from a second hash."""
-    h = F.xxhash64(key, F.lit("bits"))
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int"))
-    out = bit(0)
-    for i in range(1, BITS):
-        out = out.bitwiseOR(bit(i))
-    return out
-
-
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", *, blocks: int = 1 << 14) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict.
 
@@ -40,30 +26,32 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     equally long ones that with the longer host, then the lesser verdict; repeated rules count once, rules
     with a null do not count. No fitting rule: rule null, verdict allow. Null url: empty host and path.
 
-    Each distinct (host, path) is looked up once: its possible rules are the host's suffixes by label with
-    the path's prefixes of the lengths that rules have. The filter, blocks rows of 64 bits, passes possible hits to
-    the hash join, which removes false positives. The filter's size is set by blocks (16 bytes each), not by the
-    pages, so it is broadcast; about 8 rules per block keep false positives below 1 in 50. The join with the rules and the join back are left to
-    adaptive execution: small measured sides are broadcast, hot hosts are split.
+    A page's possible rules are the host's suffixes by label with the path's prefixes of the lengths that rules have.
+    Where a page is read, the filter (blocks of 64 bits, one row, so its size is set by blocks and not by the rules;
+    some 8 rules a block keep false positives below 1 in 50) leaves the possible hits of these; pages without go
+    no further. The others' distinct (host, path) meet the rules in an exact hash join, which removes false positives;
+    it and the join back to these pages are left to adaptive execution: small measured sides are broadcast, hot hosts are split.
     """
     host, path = parts(F.col(url_col))
-    seen = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rules = rules.select("host", "path", "verdict").dropna().groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
-    rules = rules.select(F.concat("host", "path").alias("_key"), F.length("host").alias("_host_n"), F.length("path").alias("_n"), "verdict")
-    filter_ = rules.groupBy(_block(F.col("_key"), blocks).alias("_at")).agg(F.bit_or(_mask(F.col("_key"))).alias("_bits"))
-    lengths = rules.agg(F.array_sort(F.collect_set("_n")).alias("_lengths"))
+    rules = rules.select(F.concat("host", "path").alias("_key"), F.length("host").alias("_host_n"), "verdict")
+    rules = written(rules, "rules")
+    lengths = rules.agg(F.array_sort(F.collect_set(F.length("_key") - F.col("_host_n"))).alias("_lengths"))
+    sieve = written(bloom(rules, "_key", blocks).crossJoin(lengths), "sieve")  # one row
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    one = seen.where("host <> ''").select("host", "path").distinct()
-    one = one.join(F.broadcast(lengths)).withColumn("_suffix", F.explode(suffixes))
-    fits = F.filter("_lengths", lambda n: n <= F.length("path"))
-    tried = one.withColumn("_n", F.explode(fits)).withColumn("_key", F.concat("_suffix", F.substring("path", F.lit(1), F.col("_n"))))
-    tried = tried.withColumn("_host_n", F.length("_suffix")).withColumn("_at", _block(F.col("_key"), blocks)).withColumn("_mask", _mask(F.col("_key")))
-    possible = tried.join(F.broadcast(filter_), "_at").where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"))
-    hits = possible.join(rules, ["_key", "_host_n", "_n"])
+    starts = F.transform(F.filter("_lengths", lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
+    keys = F.flatten(F.transform(suffixes, lambda h: F.transform(starts, lambda p: F.struct(F.concat(h, p).alias("key"), F.length(h).alias("host_n")))))
+    possible = F.filter(keys, lambda k: may_hold(F.col("_bloom"), k["key"], blocks))
+    seen = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).join(F.broadcast(sieve))
+    seen = seen.select("page_id", "host", "path", F.when(F.col("host") != "", possible).otherwise(F.array().cast("array<struct<key:string,host_n:int>>")).alias("_possible"))
+
+    tried = seen.where(F.size("_possible") > 0).groupBy("host", "path").agg(F.first("_possible").alias("_possible")).select("host", "path", F.explode("_possible").alias("_k"))
+    hits = tried.join(rules, (F.col("_k.key") == rules["_key"]) & (F.col("_k.host_n") == rules["_host_n"]))
     order = F.struct(F.length("_key").alias("n"), F.col("_host_n").alias("host_n"))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct(F.col("_key").alias("rule"), "verdict"), order).alias("_best"))
-    best = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "_best.rule", "_best.verdict")
-    out = seen.join(best, (seen["host"] == best["_h"]) & (seen["path"] == best["_p"]), "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    shown = ["page_id", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit("allow")).alias("verdict")]
+    none = F.lit(None).cast("struct<rule:string,verdict:string>").alias("_best")
+    missed = seen.where(F.size("_possible") == 0).select("page_id", "host", "path", none).select(*shown)
+    return seen.where(F.size("_possible") > 0).drop("_possible").join(best, ["host", "path"], "left").select(*shown).unionByName(missed)
