@@ -69,25 +69,33 @@ def may_hold(filter_: Column, key: Column, blocks: int) -> Column:
     return F.element_at(filter_, (block_of(key, blocks) + 1).cast("int")).bitwiseAND(mask) == mask
 
 
-def ranked(df: DataFrame, group: str, bucket: Column, order: list[Column], rank: str = "rank") -> DataFrame:
-    """Adds each row's place (from 0) within its group, ordered by bucket and then by order.
+#: Rows of a group that are ranked in one part.
+RANKED = 100_000
 
-    A group is sorted bucket by bucket, so that one holding a third of all rows is dealt over as many tasks
-    as it has buckets; the buckets' starts come from counts (groups x buckets rows). df must give the same
-    rows when read twice, as a written table does.
+
+def ranked(df: DataFrame, group: str, counts: dict[int, int], bucket: Column, order: list[Column], salt: Column, rank: str = "rank") -> DataFrame:
+    """Adds each row's place (from 0) within its group, ordered by bucket, then by part, then by order.
+
+    counts: the rows of every group; their number must not depend on that of the rows, as they are broadcast. A group is
+    sorted bucket by bucket, and a bucket of a group of many rows in so many parts (by hash of salt) that one holds about RANKED of
+    its rows, so that a group holding a third of all rows is dealt over as many tasks as it needs; where a part starts
+    comes from counts of the parts. df must give the same rows when read twice, as a written table does.
     """
-    rows = df.withColumn("_bucket", bucket)
-    before = Window.partitionBy("_group").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    spark = df.sparkSession
+    parts = spark.createDataFrame([(g, -(-n // RANKED)) for g, n in counts.items()], "_g long, _parts long")
+    rows = df.join(F.broadcast(parts), F.col(group) == F.col("_g")).drop("_g")
+    rows = rows.withColumn("_bucket", bucket.cast("long")).withColumn("_part", F.pmod(F.xxhash64(salt), F.col("_parts")))
+    before = Window.partitionBy("_group").orderBy("_b", "_p").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        rows.groupBy(F.col(group).alias("_group"), F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
-        .select("_group", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        rows.groupBy(F.col(group).alias("_group"), F.col("_bucket").alias("_b"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+        .select("_group", "_b", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    own = Window.partitionBy(group, "_bucket").orderBy(*order)
+    own = Window.partitionBy(group, "_bucket", "_part").orderBy(*order)
     rows = rows.withColumn("_own", F.row_number().over(own))
     return (
-        rows.join(starts, (F.col(group) == F.col("_group")) & (F.col("_bucket") == F.col("_b")))
+        rows.join(starts, (F.col(group) == F.col("_group")) & (F.col("_bucket") == F.col("_b")) & (F.col("_part") == F.col("_p")))
         .withColumn(rank, (F.col("_start") + F.col("_own") - 1).cast("long"))
-        .drop("_group", "_b", "_bucket", "_own", "_start")
+        .drop("_group", "_b", "_p", "_bucket", "_part", "_parts", "_own", "_start")
     )
 
 

@@ -170,18 +170,19 @@ def sweeps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
     return plan
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, salts: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one end_id. Pieces never share a sequence's places and leave no gap before them.
     Rows that share an id each get their own places. No documents: no rows.
 
-    Bulk-synchronous: pieces of one length are interchangeable, so each sweep matches a whole length at once
-    and settles who gets which sequence by rank. Only the counts by length (capacity rows at most) reach the
-    driver; ranks are dealt over (length, salt), so one very common length is no hot task.
+    Bulk-synchronous: pieces of one length are interchangeable, so documents and gaps are sorted as classes, and each sweep
+    matches a whole length at once with the gaps that follow it and settles who gets which sequence by rank. Only the counts
+    by length (capacity rows at most) reach the driver, which makes the sweeps on them. A class is ranked in as many
+    parts as its count asks for; pieces of capacity fill a sequence each, in any order.
     """
     rows = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
     counts = {int(n): int(c) for n, c in rows.groupBy("length").count().collect()}
-    rows = ranked(rows, "length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")])
+    rows = ranked(rows, "length", counts, F.lit(0), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], F.struct("doc_id", "piece", "ids_crc32"))
     rows = placed(rows, "length", sweeps(counts, capacity), ["sequence_id", "offset"])
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
