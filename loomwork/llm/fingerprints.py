@@ -13,87 +13,102 @@ from pyspark.sql import functions as F
 from .substrings import numbers
 from .textkit import byte_hashes, mixed, ranges, raw, slices, tidy
 
-#: Bytes of a window, windows among which the rarest is sought, and how often one must be it to be a feature.
-WINDOW, AREA, POPULAR = 64, 64, 16
+#: For each scale: bytes of a window, windows among which the rarest is sought, how often one must be it to be a feature, and the texts that have such features (bytes from, and below).
+SCALES = ((64, 64, 16, 512, 1 << 62), (16, 8, 3, 0, 1024))
 #: Bits of a filter, bits set for a feature, features of a filter.
 BITS, SET, FEATURES = 2048, 5, 160
 #: Entropies are told apart in this many steps.
 STEPS = 768
-#: Buckets of neighbouring ids for every shuffle partition.
-BUCKETS = 4
+#: Buckets of neighbouring ids for every shuffle partition, from which ranges of even bytes are made.
+BUCKETS = 8
 _SCALE = 1 << 10
-_COST = np.array([0] + [round(c * np.log2(c) * _SCALE) for c in range(1, WINDOW + 1)], dtype=np.int64)
+_COST = np.array([0] + [round(c * np.log2(c) * _SCALE) for c in range(1, 65)], dtype=np.int64)
 _GAIN = np.diff(_COST)
 
 
-def steps(b: np.ndarray) -> np.ndarray:
+def steps(b: np.ndarray, window: int) -> np.ndarray:
     """The entropy step of the window at each byte: the sum of c * log2(c) over its byte counts c falls as the entropy rises.
 
     The sum changes from one window to the next by what the entering and the leaving byte add, which follows
-    from how often each occurs among the 63 bytes before and after it; all sums are of integers.
+    from how often each occurs among the window - 1 bytes before and after it; all sums are of integers.
     """
     n = len(b)
-    if n < WINDOW:
+    if n < window:
         return np.zeros(0, dtype=np.int64)
     before, after = np.zeros(n, dtype=np.uint8), np.zeros(n, dtype=np.uint8)
-    for d in range(1, WINDOW):
+    for d in range(1, window):
         same = (b[d:] == b[:-d]).view(np.uint8)
         before[d:] += same
         after[:-d] += same
-    total = np.empty(n - WINDOW + 1, dtype=np.int64)
-    total[0] = _COST[np.bincount(b[:WINDOW], minlength=256)].sum()
-    total[1:] = _GAIN[before[WINDOW:]] - _GAIN[after[:-WINDOW]]
-    return np.cumsum(total) * STEPS // (_COST[WINDOW] + 1)
+    total = np.empty(n - window + 1, dtype=np.int64)
+    total[0] = _COST[np.bincount(b[:window], minlength=256)].sum()
+    total[1:] = _GAIN[before[window:]] - _GAIN[after[:-window]]
+    return np.cumsum(total) * STEPS // (_COST[window] + 1)
 
 
-def _inside(offsets: np.ndarray) -> np.ndarray:
-    """Where windows lie within one text."""
-    n = np.maximum(np.diff(offsets) - WINDOW + 1, 0)
-    return ranges(offsets[:-1], n)
+def _of_scale(b: np.ndarray, offsets: np.ndarray, scale: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of the texts that have features of a scale, where each of these begins, its number, and where windows lie within one text."""
+    window, _, _, least, below = scale
+    size = np.diff(offsets)
+    own = np.flatnonzero((size >= max(least, window)) & (size < below))
+    if len(own) < len(size):
+        b = b[ranges(offsets[own], size[own])]
+    first = np.cumsum(size[own]) - size[own]
+    return b, first, own, ranges(first, size[own] - window + 1)
 
 
 def _histogram(batches):
-    count = np.zeros(STEPS, dtype=np.int64)
+    count = np.zeros((len(SCALES), STEPS), dtype=np.int64)
     for batch in batches:
         for part in slices(batch, 0):
-            b, offsets = raw(part.column(0))
-            count += np.bincount(steps(b)[_inside(offsets)], minlength=STEPS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(STEPS)), pa.array(count)], names=["step", "n"])
+            for k, scale in enumerate(SCALES):
+                b, _, _, inside = _of_scale(*raw(part.column(0)), scale)
+                count[k] += np.bincount(steps(b, scale[0])[inside], minlength=STEPS)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(count.size)), pa.array(count.ravel())], names=["step", "n"])
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The rank of every entropy step, the rarest among all windows of all documents first; ties: the lower entropy first."""
+    """For each scale the rank of every entropy step, the rarest among all its windows of all documents first; ties: the lower entropy first."""
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(_histogram), "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toPandas()
-    n = found.set_index("step")["n"].reindex(range(STEPS), fill_value=0).to_numpy()
-    rank = np.empty(STEPS, dtype=np.int64)
-    rank[np.lexsort((-np.arange(STEPS), n))] = np.arange(STEPS)
+    n = found.set_index("step")["n"].reindex(range(len(SCALES) * STEPS), fill_value=0).to_numpy().reshape(-1, STEPS)
+    rank = np.empty_like(n, dtype=np.int64)
+    for own, counted in zip(rank, n, strict=True):
+        own[np.lexsort((-np.arange(STEPS), counted))] = np.arange(STEPS)
     return rank
 
 
-def digests(column: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(filters of all texts in a row, each BITS / 64 numbers; first filter of each text and the number of all).
-
-    Of each AREA windows in a row the rarest (the leftmost of equals) is noted; windows noted POPULAR times
-    are features, each once. A text without features has one: its hash. Every FEATURES of them begin a filter.
-    """
-    b, offsets = raw(column)
-    texts = len(offsets) - 1
-    inside = _inside(offsets)
-    worth = np.full(len(b) + AREA, np.iinfo(np.int64).max)
+def _features(b: np.ndarray, offsets: np.ndarray, scale: tuple[int, ...], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place) of the features of one scale."""
+    window, area, popular, *_ = scale
+    b, first, own, inside = _of_scale(b, offsets, scale)
+    worth = np.full(len(b) + area, np.iinfo(np.int64).max)
     if len(inside):
-        worth[inside] = (rank[steps(b)[inside]] << 32) | inside
+        worth[inside] = (rank[steps(b, window)[inside]] << 32) | inside
     width = 1
-    while width < AREA:  # the least of width windows becomes that of twice as many
+    while width < area:  # the least of width windows becomes that of twice as many
         worth = np.minimum(worth[:-width], worth[width:])
         width *= 2
     noted = worth[inside] & 0xFFFFFFFF
     new = np.flatnonzero(np.diff(noted, prepend=-1))
-    at = noted[new[np.diff(new, append=len(noted)) >= POPULAR]]
-    grid = b[at[:, None] + np.arange(WINDOW)].view(np.uint64) if len(at) else np.zeros((0, 8), np.uint64)
-    h = np.zeros(len(at), dtype=np.uint64)
+    at = noted[new[np.diff(new, append=len(noted)) >= popular]]
+    grid = b[at[:, None] + np.arange(window)].view(np.uint64) if len(at) else np.zeros((0, window // 8), np.uint64)
+    h = np.full(len(at), window, dtype=np.uint64)
     for k in range(grid.shape[1]):
         h = mixed(h ^ grid[:, k]) + np.uint64(k)
-    doc = np.searchsorted(offsets, at, side="right") - 1
+    k = np.searchsorted(first, at, side="right") - 1
+    return h, own[k], offsets[own[k]] + at - first[k]
+
+
+def digests(column: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(filters of all texts in a row, each BITS / 64 numbers; first filter of each text and the number of all).
+
+    Of each area of windows in a row the rarest (the leftmost of equals) is noted; windows noted often enough
+    are features, each once. Short texts have features of the small scale, long ones of the large one, those between of both.
+    A text without features has one: its hash. Every FEATURES of them begin a filter.
+    """
+    b, offsets = raw(column)
+    texts = len(offsets) - 1
+    h, doc, at = (np.concatenate(x) for x in zip(*(_features(b, offsets, scale, r) for scale, r in zip(SCALES, rank, strict=True)), strict=True))
     plain = np.setdiff1d(np.arange(texts), doc)
     h = np.concatenate([h, byte_hashes(b, offsets[plain], offsets[plain + 1])])
     doc, at = np.concatenate([doc, plain]), np.concatenate([at, offsets[plain]])
@@ -101,7 +116,7 @@ def digests(column: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first = np.ones(len(h), dtype=bool)
     first[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     keep = order[first]
-    keep = keep[np.lexsort((at[keep], doc[keep]))]
+    keep = keep[np.lexsort((h[keep], at[keep], doc[keep]))]
     h, doc = h[keep], doc[keep]
     begin = np.searchsorted(doc, np.arange(texts + 1))
     chain = np.concatenate([[0], np.cumsum(-(-np.diff(begin) // FEATURES))])
@@ -153,37 +168,44 @@ def digest(docs: DataFrame, rank: np.ndarray, text_col: str = "text", into: str
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc, text, last) dealt and sorted so that the row after each of a partition is the next document by descending id, and the first after the last.
 
-    Ids are dealt in ranges, taken from quantiles; the first document of each range is also sent after the end of
-    the range before it, marked last, which has no turn of its own there. Only the ranges' bounds and first
-    ids reach the driver (BUCKETS for every shuffle partition). Of rows with one id, those with the lesser text
-    hash come first. Null ids come after all others.
+    Ids are dealt in one range for each shuffle partition, of even bytes as far as ids allow (rows of one id, and null is one, stay
+    together), made of buckets between quantiles; the first document of each range is also sent after the end of
+    the range before it, marked last, which has no turn of its own there. Only the buckets' bounds, first ids and
+    bytes reach the driver (BUCKETS for every shuffle partition). Of rows with one id, those with the lesser text
+    hash come first. Null ids come after all others (-2^63 is taken for null).
     """
     spark = docs.sparkSession
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(own.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = BUCKETS * parts
     cuts = rows.agg(F.percentile_approx("doc", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else None
     bounds = np.unique(np.array(cuts or [], dtype=np.int64))[::-1]
-
-    def bucket(doc: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds) - np.searchsorted(bounds[::-1], doc.to_numpy(), side="left"))
-
-    number = F.pandas_udf(bucket, "long")
-    first = {r[0]: r[1] for r in rows.select(number("doc").alias("b"), "doc").groupBy("b").agg(F.max("doc")).collect()}
-    order = sorted(first)
-    sent = {first[b]: order[k - 1] for k, b in enumerate(order)}  # the first one goes to the end of the last range
-    heads, ends = np.array(sorted(sent), dtype=np.int64), np.array([sent[d] for d in sorted(sent)], dtype=np.int64)
+    bucket = lambda d: len(bounds) - np.searchsorted(bounds[::-1], d, side="left")
+
+    number = F.pandas_udf(lambda doc: pd.Series(bucket(doc.to_numpy())), "long")
+    sizes = rows.select(number("doc").alias("b"), "doc", (F.octet_length("text") + 100).cast("long").alias("bytes"))
+    found = sorted((r[0], r[1], r[2]) for r in sizes.groupBy("b").agg(F.max("doc"), F.sum("bytes")).collect())
+    before = np.cumsum([0] + [r[2] for r in found])
+    ranges_ = np.zeros(len(bounds) + 1, dtype=np.int64)  # the range of each bucket: by the bytes up to its middle
+    heads: list[tuple[int, int]] = []  # first id and number of each range
+    for (b, first, size), start in zip(found, before, strict=False):
+        ranges_[b] = (2 * start + size) * parts // (2 * before[-1])
+        if not heads or heads[-1][1] != ranges_[b]:
+            heads.append((first, int(ranges_[b])))
+    # each range's first one goes to the end of the range before, that of the first to the end of the last
+    sent = sorted((h[0], heads[k - 1][1]) for k, h in enumerate(heads))
+    firsts, ends = (np.array([x[i] for x in sent], dtype=np.int64) for i in (0, 1))
 
     def places(doc: pd.Series) -> pd.Series:
         d = doc.to_numpy()
-        b = len(bounds) - np.searchsorted(bounds[::-1], d, side="left")
-        k = np.minimum(np.searchsorted(heads, d), len(heads) - 1)
-        return pd.Series([[x] if h != y else [x, -1 - e] for x, y, h, e in zip(b.tolist(), d.tolist(), heads[k].tolist(), ends[k].tolist(), strict=True)])
+        r = ranges_[bucket(d)]
+        k = np.minimum(np.searchsorted(firsts, d), len(firsts) - 1)
+        return pd.Series([[x] if h != y else [x, -1 - e] for x, y, h, e in zip(r.tolist(), d.tolist(), firsts[k].tolist(), ends[k].tolist(), strict=True)])
 
     at = F.explode(F.pandas_udf(places, "array<long>")("doc"))
     rows = rows.withColumn("_at", at).select(F.when(F.col("_at") < 0, -1 - F.col("_at")).otherwise(F.col("_at")).alias("range"), (F.col("_at") < 0).alias("last"), "doc", "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "range").sortWithinPartitions("range", "last", F.desc("doc"), F.xxhash64("text"), "text")
+    return rows.repartitionById(parts, F.col("range").cast("int")).sortWithinPartitions("range", "last", F.desc("doc"), F.xxhash64("text"), "text")
 
 
 COLUMNS = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

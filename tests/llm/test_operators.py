@@ -458,31 +458,35 @@ def test_langid(spark):
 # 9: fingerprints
 
 
-def brute_steps(b):
+def brute_steps(b, window):
     out = []
-    for i in range(len(b) - 63):
-        s = sum(int(fingerprints._COST[c]) for c in Counter(b[i : i + 64]).values())
-        out.append(s * fingerprints.STEPS // (int(fingerprints._COST[64]) + 1))
+    for i in range(len(b) - window + 1):
+        s = sum(int(fingerprints._COST[c]) for c in Counter(b[i : i + window]).values())
+        out.append(s * fingerprints.STEPS // (int(fingerprints._COST[window]) + 1))
     return out
 
 
-def test_entropy_steps():
+@pytest.mark.parametrize("window", [64, 16])
+def test_entropy_steps(window):
     rng = random.Random(1)
     b = bytes(rng.choice(b"aaab cde") for _ in range(500))
-    assert fingerprints.steps(np.frombuffer(b, np.uint8)).tolist() == brute_steps(b)
+    assert fingerprints.steps(np.frombuffer(b, np.uint8), window).tolist() == brute_steps(b, window)
 
 
 def brute_features(text, rank):
-    b = text.encode()
-    r = [(int(rank[s]), i) for i, s in enumerate(brute_steps(b))]
-    noted = Counter(min(r[i : i + fingerprints.AREA])[1] for i in range(len(r)))
-    return {b[i : i + 64] for i, n in noted.items() if n >= fingerprints.POPULAR} or {b}
+    b, out = text.encode(), set()
+    for (window, area, popular, least, below), own in zip(fingerprints.SCALES, rank, strict=True):
+        if least <= len(b) < below:
+            r = [(int(own[s]), i) for i, s in enumerate(brute_steps(b, window))]
+            noted = Counter(min(r[i : i + area])[1] for i in range(len(r)))
+            out |= {b[i : i + window] for i, n in noted.items() if n >= popular}
+    return out or {b}
 
 
 def test_digests():
     rng = random.Random(2)
-    texts = ["".join(rng.choice("abcdefgh é\n") for _ in range(n)) for n in (0, 10, 70, 300, 4000, 30_000)] + ["a" * 2000]
-    rank = np.random.default_rng(1).permutation(fingerprints.STEPS)
+    texts = ["".join(rng.choice("abcdefgh é\n") for _ in range(n)) for n in (0, 10, 70, 300, 600, 4000, 30_000)] + ["a" * 2000]
+    rank = np.stack([np.random.default_rng(k).permutation(fingerprints.STEPS) for k in range(2)])
     filters, chain = fingerprints.digests(pa.array(texts + texts), rank)
     shown = fingerprints.strings(filters, chain)
     assert shown[: len(texts)] == shown[len(texts) :] and shown == [fingerprints.strings(*fingerprints.digests(pa.array([t]), rank))[0] for t in texts + texts]
@@ -491,7 +495,19 @@ def test_digests():
     same = fingerprints.likeness(filters, chain, filters, chain)
     assert np.allclose(same, 1)
     other = fingerprints.likeness(filters, chain, *fingerprints.digests(pa.array(texts[1:] + texts[:1] + texts[1:] + texts[:1]), rank))
-    assert (other[3:5] < 0.2).all() and ((other >= 0) & (other <= 1)).all()
+    assert (other[3:6] < 0.2).all() and ((other >= 0) & (other <= 1)).all()
+
+
+def test_half_edits_of_short_texts_are_near():
+    rng = random.Random(5)
+    rank = np.stack([np.arange(fingerprints.STEPS)] * 2)
+    for n in (80, 150, 400, 900, 1500, 3000):
+        texts = ["".join(rng.choice("abcdefghijklmnop qrstuvwxyz") for _ in range(n)) for _ in range(30)]
+        edited = [t[: n - n // 2] + u[: n // 2] for t, u in zip(texts, texts[1:] + texts[:1], strict=True)]
+        own = fingerprints.digests(pa.array(texts), rank)
+        near = fingerprints.likeness(*own, *fingerprints.digests(pa.array(edited), rank))
+        far = fingerprints.likeness(*own, *fingerprints.digests(pa.array(texts[1:] + texts[:1]), rank))
+        assert near.mean() > 0.35 and (near > 0).mean() > 0.9 and far.mean() < 0.1
 
 
 def test_beside_next(spark, docs, rows, empty):
@@ -532,6 +548,40 @@ def test_shards(spark, docs, rows, empty):
     assert sharding.shard(empty).count() == 0 and sharding.shard(docs.limit(3)).count() == 3
 
 
+def clockwise(keys, shards, points, capacity):
+    """Each key's shard: from its place on clockwise to the first node whose shard has room, nodes in turn, those that come from farther first."""
+    nodes = sharding.ring(shards, points)
+    left, waiting, out = list(capacity), [], {}
+    by = defaultdict(list)
+    for pos, key in sorted(keys):
+        by[next((i for i, (p, _) in enumerate(nodes) if p >= pos), 0)].append((pos, key))
+    for step in range(2 * len(nodes)):
+        if step < len(nodes):
+            waiting += sorted(by[step])
+        shard = nodes[step % len(nodes)][1]
+        while waiting and left[shard]:
+            out[waiting.pop(0)[1]] = shard
+            left[shard] -= 1
+    return out
+
+
+def test_shards_are_those_of_the_walk(spark, docs, rows):
+    pos = {r[0]: r[1] for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64("text"), 32)).collect()}
+    for slack, shards in ((0, 7), (0.25, 7), (0.25, 8)):
+        got = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, shards=shards, points=5, parts=1 << 20, slack=slack).collect()}
+        total = int(len(rows) * (1 + slack))
+        want = clockwise([(p, d) for d, p in pos.items()], shards, 5, [total // shards + (s < total % shards) for s in range(shards)])
+        several = {p for p, n in Counter(pos.values()).items() if n > 1}  # equal texts go by the id's hash
+        assert all(got[d] == want[d] for d in pos if pos[d] not in several)
+        assert Counter(got.values()) == Counter(want.values())
+
+
+def test_few_documents_move(spark):
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.sha1(F.col("id").cast("string")).alias("text"))
+    a, b = ({r["doc_id"]: r["shard"] for r in sharding.shard(d, shards=n, slack=0.25).collect()} for n in (40, 41))
+    assert sum(b[k] != s for k, s in a.items()) < 0.04 * len(a) and sum(b[k] not in (s, 40) for k, s in a.items()) < 0.01 * len(a)
+
+
 def test_few_move():
     a, b = ([s for _, s in sharding.ring(n, 64)] for n in (40, 41))
     assert len(a) == 40 * 64 and [s for s in b if s != 40] == a
