@@ -271,12 +271,20 @@ def brute_cut(rows, window):
 def test_substrings(docs, rows, monkeypatch, window, gram, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
     monkeypatch.setattr(substrings, "SLICE", 2000)
-    got = {}
+    got, repeats = {}, {}
     for r in substrings.dedup(docs, window=window, gram=gram, also=("size", "rank")).collect():
         kept = r["kept"] if r["kept"] is not None else " ".join(x.decode() for x in (r["text"] or "").encode().split())
         assert (r["kept"] is None) == (r["n_removed"] == 0) and (r["size"], r["rank"]) == (7, 1)
         got[r["doc_id"]] = (r["n_words"], r["n_removed"], kept)
+        repeats[r["doc_id"]] = [tuple(x) for x in r["repeats"]]
     assert got == brute_cut(rows, window)
+    texts = {d: (t or "").encode().split() for d, t, *_ in rows}
+    for d, found in repeats.items():
+        assert len({i for a, n, *_ in found for i in range(a, a + n)}) == got[d][1]
+        for a, n, source, b in found:
+            assert n >= window and (source, b) < (d, a) and texts[d][a : a + n] == texts[source][b : b + n]
+        assert not any((s, b - a) == (s2, b2 - a2) and a <= a2 <= a + n - window + 1 for i, (a, n, s, b) in enumerate(found) for a2, _, s2, b2 in found[i + 1 :])
+    assert any(n > 2 * window for found in repeats.values() for _, n, *_ in found)
 
 
 def test_substrings_odd(spark, empty):
@@ -287,6 +295,25 @@ def test_substrings_odd(spark, empty):
     assert got == [(-1, 30, 0), (1, 30, 30), (1, 30, 30), (2, 0, 0)]
 
 
+def test_substrings_of_long_texts_and_words(spark):
+    rng = random.Random(9)
+    one, two = regular(2048, "a", "b"), regular(2048, "b", "a")
+    tail = " ".join(f"t{i}" for i in range(19))
+    long = [f"w{rng.randrange(10**6)}" for _ in range(20_000)]
+    texts = [f"{one} {tail}", f"{two} {tail}", " ".join(long), " ".join(long[5000:] + ["x"] * 5), f"{one} {tail} end"]
+    d = spark.createDataFrame([(k, t, 1, [2]) for k, t in enumerate(texts)], "doc_id long, text string, th long, found array<int>")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"] if r["kept"] is not None else r["text"]) for r in substrings.dedup(d).collect()}
+    assert got == brute_cut(list(enumerate(texts)), 20) and got[1][1] == 0
+
+
+def test_groups_of_many_rows():
+    keys = np.repeat([1, 2, 3, 4], [5, 1000, 3, 1])
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50])], names=["k"]) for i in range(0, len(keys), 50)]
+    parts = [t.column(0).to_numpy() for t in substrings.whole_groups(iter(batches), most=100, enough=10)]
+    assert np.concatenate(parts).tolist() == keys.tolist() and max(map(len, parts)) < 200
+    assert all((p == 2).sum() == 0 or (p == 2).sum() >= 10 for p in parts) and all((p == k).sum() in (0, n) for p in parts for k, n in ((1, 5), (3, 3)))
+
+
 def test_substrings_of_one_id(spark, monkeypatch):
     """Texts of one id don't take each other's anchors along."""
     rng = random.Random(4)
