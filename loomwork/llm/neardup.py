@@ -15,7 +15,7 @@ from .substrings import numbers, whole_groups
 from .textkit import byte_hashes, mixed, ranges, slices, span_hashes, tidy, words
 
 #: Bits of a signature.
-BITS = 512
+BITS = 2048
 #: Buckets in which all shingles are counted to tell rare ones, and rows in which a task sends its counts.
 BUCKETS, CHUNKS = 1 << 20, 256
 #: Of so many keys that two sets must share one of, they must share a quarter of if each has a quarter more.
