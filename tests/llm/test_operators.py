@@ -482,6 +482,46 @@ def test_langid(spark):
     assert {tuple(r["guess"]) for r in langid.predict(train.limit(5), none, into="guess").collect()} == {("und", 0.0, False)}
 
 
+def brute_vector(text, idf):
+    b = bytes(x if x >= 128 or 97 <= x <= 122 else 32 for x in (text or "").lower().encode())
+    count = Counter()
+    factors = [int(f) for f in langid._FACTORS]
+    for n in langid.GRAMS:
+        for i in range(len(b) - n + 1):
+            if b[i : i + n].strip(b" "):
+                h = sum(x * f for x, f in zip(b[i : i + n], factors, strict=False)) % 2**64
+                count[(h * factors[4]) % 2**64 >> 51] += 1
+    v = {k: np.log1p(c) * float(idf[k]) for k, c in count.items()}
+    size = sum(x * x for x in v.values()) ** 0.5
+    return {k: x / size for k, x in v.items()}
+
+
+def test_nearest_centroid(spark):
+    rng = random.Random(6)
+    stems = {"aa": ["ka", "mo", "tiri", "bu"], "bb": ["sch", "ung", "eit", "öl"]}
+    rows = [(k, speech(rng, stems[lang], rng.randint(1, 40)).title(), lang) for k, lang in enumerate(random.Random(2).choices(list(stems), k=80))]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(d)
+    for r in langid.predict(d, model, into="guess").collect():
+        v = brute_vector(r["text"], model.idf)
+        near = [sum(x * float(c[k]) for k, x in v.items()) for c in model.centroids]
+        assert r["guess"]["score"] == pytest.approx(max(near), abs=1e-4) and max(x for x, lang in zip(near, model.languages, strict=True) if lang == r["guess"]["lang"]) >= max(near) - 1e-4
+
+
+def test_far_languages_are_rejected(spark):
+    """An unlearned language of the same script and letters at random go, although a few such texts stand among the learned ones; learned languages stay."""
+    rng = random.Random(7)
+    stems = {"aa": ["ka", "mo", "tiri", "bu", "re", "na"], "bb": ["sch", "ung", "eit", "ber", "lich", "ge"], "cc": ["qui", "eau", "vre", "ille", "xon", "dor"]}
+    text = lambda lang: speech(rng, stems[lang], rng.randint(2, 80))
+    junk = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(20, 400)))
+    rows = [(k, text(lang), lang) for k, lang in enumerate(random.Random(1).choices(["aa", "bb"], k=600))] + [(1000 + k, junk(), "aa") for k in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    fresh = [("known", text(rng.choice(["aa", "bb"]))) for _ in range(300)] + [("far", text("cc")) for _ in range(100)] + [("junk", junk()) for _ in range(100)]
+    out = langid.predict(spark.createDataFrame(fresh, "kind string, text string"), model)
+    gone = {r["kind"]: r["share"] for r in out.groupBy("kind").agg(F.avg(F.col("language.rejected").cast("int")).alias("share")).collect()}
+    assert gone["known"] <= 0.01 and gone["far"] >= 0.8 and gone["junk"] >= 0.9
+
+
 # 9: fingerprints
 
 
