@@ -28,9 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     th = F.xxhash64("text")
     several = docs.groupBy("doc_id").agg(F.min(th).alias("lo"), F.max(th).alias("hi")).where("doc_id is not null and lo <> hi")
     several = written(several.select("doc_id", F.lit(True).alias("_several")), "several")
-    if several.count() <= neardup.BROADCAST:
-        several = F.broadcast(several)
-    # an id of one text is its own node: in the order of ids the stars of neardup find most links
+    # an id of one text is its own node: in the order of ids the first documents of large groups find most links
     node = F.when(F.col("doc_id").isNull() | F.col("_several"), F.xxhash64(F.col("doc_id").isNull(), *own)).otherwise(F.col("doc_id"))
     nodes = docs.join(several, "doc_id", "left").withColumn("_node", node)
     found = neardup.classes(nodes.select("_node", "text"), "_node", size=5, percent=80).select(F.col("doc_id").alias("_node"), F.col("component_id").alias("_class")).distinct()
