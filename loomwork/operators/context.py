@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fixed, text
 
 #: A block begins only if so many characters are left for it.
 LEAST = 180
@@ -52,18 +52,46 @@ def split_budget(local: DataFrame, web: DataFrame, budget: int, web_needed: str
     return own.unionByName(part(web, True, budget - int(budget * share)).withColumn("source_kind", F.lit("web")))
 
 
-#: Which blocks come first: question flags and chunk types -> priority.
-def priority(chunk_type: Column, analytic: Column, relationship: Column) -> Column:
+def _table(kind: Column, values: dict[str, float], other: float | None) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), kind), F.lit(other))
+
+
+def priority(chunk_type: Column, intent: Column, relationship: Column, of_oem: Column) -> Column:
+    """The priority of a chunk in the selection of context. of_oem: the row names primary OEMs, or its category is OEM."""
+    linked = F.when(of_oem & chunk_type.isin("company_profile", "row_full"), fixed.SELECTION_OEM_ROW).otherwise(_table(chunk_type, fixed.SELECTION_LINKED, None))
     return (
-        F.when(chunk_type == "structured_match_summary", 5)
-        .when(analytic & (chunk_type == "derived_analytic_summary"), 4)
-        .when(chunk_type == "structured_row_match", 3)
-        .when(relationship & chunk_type.isin("supply_chain_theme", "company_profile"), 2)
-        .when(chunk_type.isin("row_full", "note_reference", "document_chunk"), 1)
-        .otherwise(0)
+        F.when((chunk_type == "derived_analytic_summary") & intent.isin("aggregation", "comparison"), fixed.SELECTION_ANALYTIC_SUMMARY)
+        .when((chunk_type == "note_reference") & (intent == "definition"), fixed.SELECTION_DEFINITION_NOTE)
+        .otherwise(F.coalesce(F.when(relationship, linked), _table(chunk_type, fixed.SELECTION_PRIORITY, 0.0)))
     )
 
 
+def compact_priority(chunk_type: Column, definition: Column, relationship: Column, of_oem: Column) -> Column:
+    """The priority of a chunk in compact context. of_oem: the row names primary OEMs."""
+    linked = F.when(of_oem & chunk_type.isin("company_profile", "row_full"), fixed.COMPACT_OEM_ROW).otherwise(_table(chunk_type, fixed.COMPACT_LINKED, None))
+    return F.when((chunk_type == "note_reference") & definition, fixed.COMPACT_DEFINITION_NOTE).otherwise(F.coalesce(F.when(relationship, linked), _table(chunk_type, fixed.COMPACT_PRIORITY, fixed.COMPACT_OTHER)))
+
+
+def compact_selection(hits: DataFrame, limit: int = 8) -> DataFrame:
+    """Which chunks go into each question's compact context; rank from 1.
+
+    hits: q_id, chunk_id, chunk_type, row_key, company, final_score, priority, and of the question definition, several
+    (it asks for several records) and broad (it is broad or about relationships: at least COMPACT_BROAD chunks). By
+    priority, then score, then chunk_id: notes for definitions only, the first alone; of a company's rows and views only the
+    first unless several are asked for; of a row_key the first of what is left.
+    """
+    order = [F.desc("priority"), F.desc("final_score"), F.col("chunk_id")]
+    place = lambda *keys: F.row_number().over(Window.partitionBy("q_id", *keys).orderBy(*order))
+    there = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    note = F.col("chunk_type") == "note_reference"
+    rows = hits.where(~note | F.col("definition")).withColumn("_note", F.when(note, place("chunk_type"))).where("_note is null or _note = 1")
+    view = F.col("chunk_type").isin("row_full", "company_profile", "supply_chain_theme", "location_theme")
+    rows = rows.withColumn("_company", place("company")).where(~(there("company") & view & ~F.col("several") & (F.col("_company") > 1)))
+    rows = rows.withColumn("_row", place("row_key")).where(~there("row_key") | (F.col("_row") == 1))
+    most = F.when(F.col("broad"), F.greatest(F.lit(limit), F.lit(fixed.COMPACT_BROAD))).otherwise(limit)
+    return rows.withColumn("rank", place()).where(F.col("rank") <= most).drop("_note", "_company", "_row")
+
+
 def rag_prompt(question: Column, context: Column) -> Column:
     return F.concat(F.lit("Answer from the evidence below and cite it as [E n]. If it does not suffice, begin with \"Insufficient evidence:\".\n\nEvidence:\n"), context, F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..functions.stems import stem
 from ..functions.text import normalized
 
 
@@ -21,7 +22,7 @@ def reference_metrics(rows: DataFrame, answer: str = "answer", reference: str =
 
 
 def rouge_l(answer: Column, reference: Column) -> Column:
-    """F-measure of the longest common subsequence of a-z0-9 words (unstemmed), rounded to 4 places; blanks and nulls: 0.
+    """F-measure of the longest common subsequence of a-z0-9 words, rounded to 4 places; words of over three letters count by their stems. Blanks and nulls: 0.
 
     Bit-parallel: for every word of the answer one step over the reference's words as bits of a whole number.
     """
@@ -40,7 +41,7 @@ def rouge_l(answer: Column, reference: Column) -> Column:
     def run(answers: pd.Series, references: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(answers, references, strict=True):
-            a, b = (x or "").split(), (y or "").split()
+            a, b = ([stem(w) if len(w) > 3 else w for w in (v or "").split()] for v in (x, y))
             out.append(round(2 * lcs(a, b) / (len(a) + len(b)), 4) if a and b else 0.0)
         return pd.Series(out, dtype=float)
 

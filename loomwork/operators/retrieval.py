@@ -97,7 +97,7 @@ def fused(dense_hits: DataFrame, lexical_hits: DataFrame, *, rrf: int = 60, dens
     return both.select("q_id", "chunk_id", F.coalesce("dense_score", F.lit(0.0)).alias("dense_score"), F.coalesce("lexical_score", F.lit(0.0)).alias("lexical_score"), (part(dense_weight, "dense_rank") + part(lexical_weight, "lexical_rank")).alias("final_score"))
 
 
-_LINKING = ("linked to", "suppliers linked to", "connected to", "connected to each", "linked to each", "supplier network", "supply to", "for each", "full set")
+_LINKING = fixed.RELATIONSHIP
 
 
 def boost(question: str = "question", role_terms: Sequence[str] = ()) -> Column:
@@ -144,7 +144,16 @@ def capped(hits: DataFrame, group: str, cap: int, limit: int, *, score: str = "f
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(*order))).where(F.col("rank") <= limit).drop("_n")
 
 
-def select(hits: DataFrame, *, cap: int = 4, limit: int = 12) -> DataFrame:
+def company_cap(question: Column, cap: int, broad: Column) -> Column:
+    """How many chunks of a company may be selected: at least 4 for broad and relationship questions, 3 for those about places and repeated records."""
+    padded = F.concat(F.lit(" "), text.normalized(question), F.lit(" "))
+    places = F.lit(False)
+    for term in fixed.PLACES:
+        places = places | F.contains(padded, F.lit(f" {term} "))
+    return F.when(broad, F.greatest(F.lit(cap), F.lit(4))).when(places, F.greatest(F.lit(cap), F.lit(3))).otherwise(cap)
+
+
+def select(hits: DataFrame, *, cap: int | Column = 4, limit: int = 12) -> DataFrame:
     """Context for each question: pinned summaries first; then, each row_key once, summaries of other states than the question's left out where its own state has one, at most cap of a company, limit in all.
 
     hits: q_id, chunk_id, row_key, company, state, chunk_type, analysis_type, question_state, final_score, priority.

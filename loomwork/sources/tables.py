@@ -102,8 +102,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError(f"no reader for .{suffix}")
 
 
+#: The most columns that a file of items may have.
+MOST_COLUMNS = 10_000
+
+
 def read_json_items(spark: SparkSession, path: str) -> DataFrame:
-    """The items of a JSON file as columns; of {id: item} the id becomes a column. Items are objects of any values, or texts (column question)."""
+    """The items of a JSON file as columns; of {id: item} the id becomes a column. Items are objects of any values, or texts (column question). More than MOST_COLUMNS different keys are refused."""
     raw = spark.read.text(path, wholetext=True)
     body = F.coalesce(F.get_json_object("value", "$.questions"), F.col("value"))
     listed = F.from_json(body, "array<string>")
@@ -112,7 +116,9 @@ def read_json_items(spark: SparkSession, path: str) -> DataFrame:
     items = raw.select(F.posexplode(as_items).alias("at", "item")).select("at", "item.*")
     obj = F.coalesce(F.from_json("value", "map<string,string>"), F.create_map(F.lit("question"), F.col("value")))
     items = items.select("at", F.when(F.col("key").isNull(), obj).otherwise(F.map_concat(F.map_filter(obj, lambda k, v: k != "id"), F.create_map(F.lit("id"), F.col("key")))).alias("m"))
-    names = sorted(r[0] for r in items.select(F.explode(F.map_keys("m"))).distinct().limit(200).collect())
+    names = sorted(r[0] for r in items.select(F.explode(F.map_keys("m"))).distinct().limit(MOST_COLUMNS + 1).collect())
+    if len(names) > MOST_COLUMNS:
+        raise ValueError(f"{path} has items of over {MOST_COLUMNS} different keys")
     return items.select("at", *[F.col("m")[n].alias(n) for n in names]).orderBy("at").drop("at")
 
 
