@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bloom, may_hold, written
@@ -20,12 +20,12 @@ BITS = 2048
 BUCKETS, CHUNKS = 1 << 20, 256
 #: Of so many keys that two sets must share one of, they must share a quarter of if each has a quarter more.
 PART = 4
-#: Keys of a bucket with so many shingles (one below a task's largest count) are grouped in parts first.
-HOT = 200
+#: Keys of a bucket with so many shingles, and so many times an average one's, are grouped in parts first.
+HOT, TIMES = 200, 4
 #: Children of a node of a tree, and the largest groups in which the first round looks for all pairs.
 FAN, FULL = 4, 16
 #: Rows of one key that one task joins, and rows of a group that one task traverses with themselves.
-SPLIT, BLOCK = 1000, 4096
+SPLIT, BLOCK = 500, 4096
 #: Blocks (64 bits each) of the filter that texts pass before they are shuffled.
 BLOOM = 1 << 16
 _NULL_ID = -(1 << 63)
@@ -93,7 +93,7 @@ def bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
     return np.minimum(count.ravel(), np.iinfo(np.int32).max).astype(np.int32)
 
 
-def _profiles(size: int, percent: int, counts: np.ndarray):
+def _profiles(size: int, percent: int, counts: np.ndarray, hot: int):
     """A row for each document: set size, two hashes of the set, its keys, how many of them it must share, its signature.
 
     Under one order of all shingles, those of the emptiest buckets first, two sets of that similarity share one of the first
@@ -113,7 +113,7 @@ def _profiles(size: int, percent: int, counts: np.ndarray):
                 keep = np.where(n > 0, one + need - 1, 0)
                 order = np.lexsort((h, level, doc))
                 own = order[ranges(first[:-1], keep)]
-                keys, full, owner = h[own].view(np.int64), level[own] >= HOT, np.repeat(np.arange(len(n)), keep)
+                keys, full, owner = h[own].view(np.int64), level[own] >= hot, np.repeat(np.arange(len(n)), keep)
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[k], minlength=len(n)))]).astype(np.int32)), pa.array(keys[k])) for k in (~full, full)]
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(x, dtype=np.uint64)]) for x in (mixed(h), mixed(h ^ np.uint64(0x5BD1E995)))]
                 bits = np.zeros(len(n) * BITS, dtype=bool)
@@ -214,16 +214,16 @@ def traverse(forest: Forest, percent: int, starred: np.ndarray, most: int = 1 <<
 
 
 def _candidates(percent: int):
-    """Pairs of documents of two components in one group that may link, by one tree a group. With each pair goes how many groups it was found in and how many it needs."""
+    """Pairs of documents of two components in one group that may link, by one tree a group. With each pair goes how many keys it shares there and how many it needs."""
 
     def run(batches):
         for t in whole_groups(batches):
-            cell, doc, n, comp, need, block, head, star = (numbers(t.column(i)) for i in range(8))
-            sig = np.frombuffer(b"".join(t.column(8).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+            cell, doc, n, comp, need, block, head, star, keys = (numbers(t.column(i)) for i in range(9))
+            sig = np.frombuffer(b"".join(t.column(9).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
             order = np.lexsort((doc, n, comp, ~head, cell))
-            cell, doc, n, comp, need, block, star, sig = (x[order] for x in (cell, doc, n, comp, need, block, star, sig))
+            cell, doc, n, comp, need, block, star, keys, sig = (x[order] for x in (cell, doc, n, comp, need, block, star, keys, sig))
             new = np.concatenate([[True], cell[1:] != cell[:-1]])
-            found = Found(doc, need, block)
+            found = Found(doc, need, block, keys)
             for i, j in traverse(Forest(np.cumsum(new) - 1, sig, n, comp), percent, star[new]):
                 found.add(i, j)
                 if found.rows > 1 << 18:
@@ -236,26 +236,26 @@ def _candidates(percent: int):
 class Found:
     """Pairs of rows, gathered and counted. block: below 0 for rows of a group joined with itself; else only pairs of two blocks count, as those of one are found elsewhere."""
 
-    def __init__(self, doc: np.ndarray, need: np.ndarray, block: np.ndarray):
-        self.doc, self.need, self.block = doc, need, block
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def __init__(self, doc: np.ndarray, need: np.ndarray, block: np.ndarray, keys: np.ndarray):
+        self.doc, self.need, self.block, self.keys = doc, need, block, keys
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.rows = 0
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
         keep = (self.block[i] < 0) | (self.block[i] != self.block[j])
         i, j = i[keep], j[keep]
         a, b = self.doc[i], self.doc[j]
-        self.parts.append((np.maximum(a, b), np.minimum(a, b), np.minimum(self.need[i], self.need[j])))
+        self.parts.append((np.maximum(a, b), np.minimum(a, b), np.minimum(self.need[i], self.need[j]), self.keys[i]))
         self.rows += len(i)
 
     def batch(self) -> pa.RecordBatch:
         none = np.zeros(0, np.int64)
-        a, b, need = (np.concatenate([none, *x]) for x in (zip(*self.parts, strict=True) if self.parts else ((), (), ())))
+        a, b, need, keys = (np.concatenate([none, *x]) for x in (zip(*self.parts, strict=True) if self.parts else ((), (), (), ())))
         order = np.lexsort((b, a))
-        a, b, need = a[order], b[order], need[order]
+        a, b, need, keys = a[order], b[order], need[order], keys[order]
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else none
         self.parts, self.rows = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[new], b[new], need[new], np.diff(new, append=len(a)))], names=["a", "b", "need", "times"])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[new], b[new], need[new], np.add.reduceat(keys, new) if len(a) else none)], names=["a", "b", "need", "times"])
 
 
 def _sets(size: int):
@@ -336,27 +336,28 @@ def _apart(texts: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _grouped(rows: DataFrame, parts) -> DataFrame:
-    """rows (key, doc, comp) of keys that two components hold, with the key's head (least doc) and number of rows.
+    """rows (key, doc, comp, keys) of keys that two components hold, with the key's head (least doc), number of rows, and a hash of its documents (any order).
 
     Keys are grouped in so many parts first, and joined back part by part, so none of many rows meets in one task.
     """
-    rows = rows.select("key", "doc", "comp", F.pmod(F.xxhash64("doc"), parts).cast("int").alias("part"))
-    some = rows.groupBy("key", "part").agg(F.min("doc").alias("head"), F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    whole = some.groupBy("key").agg(F.min("head").alias("head"), F.sum("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
-    return rows.join(some.select("key", "part").join(whole, "key"), ["key", "part"]).select("key", "doc", "comp", "head", "rows")
+    rows = rows.select("key", "doc", "comp", "keys", F.pmod(F.xxhash64("doc"), parts).cast("int").alias("part"))
+    some = rows.groupBy("key", "part").agg(F.min("doc").alias("head"), F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("x"))
+    sums = [F.min("head").alias("head"), F.sum("rows").alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_xor("x").alias("x")]
+    whole = some.groupBy("key").agg(*sums).where("lo <> hi").drop("lo", "hi")
+    return rows.join(some.select("key", "part").join(whole, "key"), ["key", "part"]).drop("part")
 
 
 def _enough(rows: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     """rows of documents with as many keys as the smallest partner would need."""
     least = F.floor((percent * F.col("n") + 99) / 100)
     one = least - F.floor((percent * least + 99) / 100) + 1
-    held = rows.groupBy("doc").agg(F.count("*").alias("held")).join(kept.select("doc", "n"), "doc")
+    held = rows.groupBy("doc").agg(F.sum("keys").alias("held")).join(kept.select("doc", "n"), "doc")
     return rows.join(held.where(F.col("held") >= F.greatest(F.floor(one / PART), F.lit(1))).select("doc"), "doc", "left_semi")
 
 
 def _pairs(cells: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the trees of cells find often enough."""
-    columns = ["cell", "doc", "n", "comp", "need", "block", "head", "star", "sig"]
+    columns = ["cell", "doc", "n", "comp", "need", "block", "head", "star", "keys", "sig"]
     found = cells.select(*columns).repartition("cell").sortWithinPartitions("cell").mapInArrow(tidy(_candidates(percent)), "a long, b long, need long, times long")
     return found.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where("times >= need").select("a", "b")
 
@@ -369,18 +370,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     Rows with one id are one document with the links of each. ids are integers; null is an id, the least (-2^63 stands for it).
 
     1. Equal sets are one node. Every two sets that link share a number of their keys, their first shingles under one
-       order, so every key's documents make a group; documents that share too few keys to link are left out.
+       order, so every key's documents make a group; documents that share too few keys to link are left out. Keys with
+       the same documents make one group, which counts as so many keys.
     2. Each group has a signature tree. A first traversal finds all pairs of small groups that sizes and bitmaps allow,
        and in large ones those with the group's least document; they are compared, and components follow.
-    3. The groups still held by two components are traversed anew for all pairs of different components, and those found
-       in as many groups as they need are compared. Large groups are dealt as pairs of blocks.
+    3. The groups still held by two components are traversed anew for all pairs of different components, and those that
+       share as many keys as they need are compared. Large groups are dealt as pairs of blocks.
     Every pair that could link is compared or lies in one component already, so no link is lost.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts, apart = _apart(texts)
     texts = texts.select("doc", "text", "id")
     counts = bucket_counts(texts, size)
-    made = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(tidy(_profiles(size, percent, counts)), "doc long, id long, row long, n long, s1 long, s2 long, keys array<long>, hot array<long>, need long, sig binary")
+    hot = max(HOT, int(TIMES * counts.mean()))  # so that a key of the others holds a small part of all rows, at any size
+    made = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(tidy(_profiles(size, percent, counts, hot)), "doc long, id long, row long, n long, s1 long, s2 long, keys array<long>, hot array<long>, need long, sig binary")
     profiles = written(made, "profiles")
     live = profiles.where("n > 0")
     parts = F.lit(max(32, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -394,15 +397,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     alone = live.join(copies.select("row"), "row", "left_anti")
     kept = alone.select("doc", "n", "need", "sig")
 
-    keys = lambda column: alone.select(F.explode(column).alias("key"), "doc", F.col("doc").alias("comp"))
-    cold = keys("keys")
-    heads = cold.groupBy("key").agg(F.min("doc").alias("head"), F.count("*").alias("rows")).where("rows > 1")
-    shared = cold.join(heads, "key").select("key", "doc", "comp", "head", "rows").unionByName(_grouped(keys("hot"), parts))
-    shared = written(_enough(written(shared, "shared"), kept, percent), "shared")
+    keys = lambda column: alone.select(F.explode(column).alias("key"), "doc")
+    one = lambda c: c.over(Window.partitionBy("key"))
+    cold = keys("keys").select("key", "doc", one(F.min("doc")).alias("head"), one(F.count("*")).alias("rows"), one(F.bit_xor(F.xxhash64("doc"))).alias("x")).where("rows > 1")
+    full = _grouped(keys("hot").withColumn("comp", F.col("doc")).withColumn("keys", F.lit(1).cast("long")), parts)
+    shared = cold.withColumn("keys", F.lit(1).cast("long")).unionByName(full.drop("comp"))
+    shared = _enough(written(shared, "shared"), kept, percent)
+    shared = shared.groupBy("x", "rows", "head", "doc").agg(F.min("key").alias("key"), F.sum("keys").alias("keys"))
+    shared = written(shared.select("key", "keys", "doc", F.col("doc").alias("comp"), "head", "rows"), "shared")
     blocks = F.ceil(F.col("rows") / SPLIT).cast("int")
     head = F.col("doc") == F.col("head")
     block = F.explode(F.when(head, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), blocks).cast("int"))))
-    cells = shared.withColumn("at", block).select(F.xxhash64("key", "at").alias("cell"), "doc", "comp", F.lit(-1).cast("long").alias("block"), head.alias("head"), (F.col("rows") > FULL).alias("star"))
+    cells = shared.withColumn("at", block).select(F.xxhash64("key", "at").alias("cell"), "doc", "comp", "keys", F.lit(-1).cast("long").alias("block"), head.alias("head"), (F.col("rows") > FULL).alias("star"))
     first = written(_pairs(cells.join(kept, "doc"), percent), "pairs")
     known = copies.where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
     if apart:
@@ -410,13 +416,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         known = known.union(ids.join(ids.groupBy("id").agg(F.min("doc").alias("b")), "id").select(F.col("doc").alias("a"), "b").where("a <> b"))
     label = components(written(verified(first, texts, size, percent), "links").union(known)).select(F.col("a").alias("doc"), F.col("b").alias("comp"))
 
-    rest = shared.drop("comp", "head").join(label, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    rest = shared.drop("comp").join(label, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     rest = written(_enough(written(_grouped(rest, F.ceil(F.col("rows") / SPLIT)), "shared"), kept, percent), "shared")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, block).alias("i"), F.greatest(k, block).alias("j"), F.when(k == block, -1).otherwise(block).alias("block")))
-    cells = rest.select(F.explode(cells).alias("at"), "key", "doc", "comp")
-    cells = cells.select(F.xxhash64("key", "at.i", "at.j").alias("cell"), "doc", "comp", F.col("at.block").cast("long").alias("block"), F.lit(False).alias("head"), F.lit(False).alias("star"))
+    cells = rest.select(F.explode(cells).alias("at"), "key", "keys", "doc", "comp")
+    cells = cells.select(F.xxhash64("key", "at.i", "at.j").alias("cell"), "doc", "comp", "keys", F.col("at.block").cast("long").alias("block"), F.lit(False).alias("head"), F.lit(False).alias("star"))
     second = written(_pairs(cells.join(kept, "doc"), percent).join(first, ["a", "b"], "left_anti"), "pairs")
     links = verified(second, texts, size, percent)
     name = lambda c: label.select(F.col("doc").alias(c), F.col("comp").alias(f"{c}_comp"))
