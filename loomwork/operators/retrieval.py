@@ -29,11 +29,15 @@ def ranked(scores: DataFrame, keys: Sequence[str], score: str, chunk: str = "chu
     return out.where(F.col(rank) <= limit) if limit else out
 
 
-def lexical(questions: DataFrame, chunks: DataFrame, k: int = 30, company: str | None = None, sheet: str | None = None) -> DataFrame:
+#: Rows that a part of a dense search holds at most, by measured count.
+PART_ROWS = 20_000
+
+
+def lexical(questions: DataFrame, chunks: DataFrame, k: int = 30, company: str | None = None, sheet: str | None = None, digits: int | None = None) -> DataFrame:
     """q_id, chunk_id, lexical_score, lexical_rank: the sum of the idf of shared tokens, + 2.5 if the question names the chunk's company and + 0.5 for its sheet.
 
     questions (q_id, question, perhaps several rows per q_id: the best counts), chunks (chunk_id, tokens). Tokens meet in an
-    equi-join, so only chunks that share one are scored; the idf goes with the questions' few tokens.
+    equi-join, so only chunks that share one are scored; the idf goes with the questions' few tokens. digits: scores are rounded before they are ranked.
     """
     asked = questions.select("q_id", "question", F.explode(text.tokens(F.col("question"))).alias("token"))
     asked = asked.join(idf(chunks).select("token", "idf"), "token")
@@ -46,18 +50,18 @@ def lexical(questions: DataFrame, chunks: DataFrame, k: int = 30, company: str |
         for c, w in bonus:
             name = text.normalized(F.col(c))
             scores = scores.withColumn("s", F.col("s") + F.when((name != "") & F.contains(padded, F.concat(F.lit(" "), name, F.lit(" "))), w).otherwise(0.0))
-    best = scores.groupBy("q_id", "chunk_id").agg(F.max("s").alias("lexical_score")).where("lexical_score > 0")
+    best = scores.groupBy("q_id", "chunk_id").agg((F.max("s") if digits is None else F.round(F.max("s"), digits)).alias("lexical_score")).where("lexical_score > 0")
     return ranked(best, ["q_id"], "lexical_score", rank="lexical_rank", limit=k)
 
 
 def dense(queries: DataFrame, chunks: DataFrame, k: int = 30, *, query: Sequence[str] = ("q_id",), vector: str = "embedding", chunk: str = "chunk_id", parts: int | None = None) -> DataFrame:
     """Exact top k by cosine: the query columns, chunk_id, dense_score, dense_rank. Zero vectors score 0.
 
-    Queries are stated, not all pairs: they go in blocks to parts of the chunks, each part keeps its own top k by one
-    matrix product a block, and these are merged.
+    Queries are stated, not all pairs: they go in blocks to parts of the chunks (about PART_ROWS rows each, if there are
+    more than the shuffle partitions take), each part keeps its own top k by one matrix product a block, and these are merged.
     """
     spark = chunks.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // PART_ROWS))
     left = chunks.select(F.col(chunk).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts).cast("long")))
     right = queries.select(F.to_json(F.struct(*query), {"ignoreNullFields": "false"}).alias("q"), F.col(vector).cast("array<double>").alias("v")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     kind, id_kind = queries.select(*query).schema.simpleString(), left.schema["chunk_id"].dataType.simpleString()

@@ -246,8 +246,7 @@ def chunk_uuid5(spark, d):
 def lexical_topk(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), text.tokens(F.col("text")).alias("tokens"))
     q = t(spark, d, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
-    scored = retrieval.lexical(q, docs, k=40).withColumn("lexical_score", F.round("lexical_score", 6)).drop("lexical_rank")
-    return retrieval.ranked(scored, ["q_id"], "lexical_score", rank="lexical_rank", limit=10)
+    return retrieval.lexical(q, docs, k=10, digits=6)
 
 
 def _dense(spark, d, k):
@@ -273,9 +272,8 @@ def dense_topk(spark, d):
 def rrf_fusion(spark, d):
     e = t(spark, d, "embeddings")
     own = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "label")
-    same = own.join(e.select(F.col("vec_id").alias("chunk_id"), "label"), "label")
-    order = Window.partitionBy("q_id").orderBy("chunk_id")
-    by_label = same.withColumn("lexical_rank", F.row_number().over(order)).where("lexical_rank <= 20").select("q_id", "chunk_id", F.lit(1.0).alias("lexical_score"), "lexical_rank")
+    first = e.select(F.col("vec_id").alias("chunk_id"), "label").withColumn("lexical_rank", F.row_number().over(Window.partitionBy("label").orderBy("chunk_id"))).where("lexical_rank <= 20")
+    by_label = own.join(first, "label").select("q_id", "chunk_id", F.lit(1.0).alias("lexical_score"), "lexical_rank")
     out = retrieval.fused(_dense(spark, d, 20), by_label)
     return out.select("q_id", "chunk_id", F.round("final_score", 8).alias("final_score"))
 
