@@ -15,7 +15,7 @@ from .common import placed, ranked, written
 from .textkit import CACHES, ranges, raw, slices, tidy
 
 #: Words whose ids a Python worker keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 #: A control character that the encoder makes one id of its own; marks where a word ends in a list of words.
 MARK = "\x01"
 
