@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import placed, ranked, written
 from .textkit import CACHES, ranges, raw, slices, tidy
 
-#: Words whose ids a Python worker keeps.
-KEPT_WORDS = 500_000
+#: Words whose ids a Python worker keeps (some 180 bytes each).
+KEPT_WORDS = 1_000_000
 #: A control character that the encoder makes one id of its own; marks where a word ends in a list of words.
 MARK = "\x01"
 
@@ -23,12 +23,13 @@ MARK = "\x01"
 class WordEncoder:
     """Ids of whole texts from a tokenizer none of whose tokens holds white space, so that a text's ids are its words' ids one after the other.
 
-    Each distinct word goes to the tokenizer once; words and ids met before are kept, up to KEPT_WORDS.
+    Each distinct word goes to the tokenizer once; words and ids met before are kept, up to kept.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._encode(MARK)
         if len(self.mark) != 1 or self._encode(f"a {MARK} b") != self._encode("a") + self.mark + self._encode("b"):
@@ -68,7 +69,7 @@ class WordEncoder:
         data, cuts = buf.tobytes(), offsets.tolist()
         if self.folds and b"<|" not in data:
             data = data.lower()  # A-Z only
-        if len(self.known) > KEPT_WORDS:
+        if len(self.known) > self.kept:
             self._clear()
         listed, first = [], [0]
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -86,20 +87,20 @@ class WordEncoder:
 
 
 @lru_cache(2)
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, kept: int = KEPT_WORDS) -> WordEncoder:
     """One for all tasks of a Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, kept)
 
 
 CACHES.append(_encoder.cache_clear)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT_WORDS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. A document's ids and then end_id; longer ones are cut every capacity ids."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, kept)
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             for part in slices(batch, 1):
@@ -170,18 +171,18 @@ def sweeps(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, i
     return plan
 
 
-def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT_WORDS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one end_id. Pieces never share a sequence's places and leave no gap before them.
-    Rows that share an id each get their own places. No documents: no rows.
+    Rows that share an id each get their own places. No documents: no rows. kept: words whose ids a Python worker keeps.
 
     Bulk-synchronous: pieces of one length are interchangeable, so documents and gaps are sorted as classes, and each sweep
     matches a whole length at once with the gaps that follow it and settles who gets which sequence by rank. Only the counts
     by length (capacity rows at most) reach the driver, which makes the sweeps on them. A class is ranked in as many
     parts as its count asks for; pieces of capacity fill a sequence each, in any order.
     """
-    rows = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    rows = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, kept), "pieces")
     counts = {int(n): int(c) for n, c in rows.groupBy("length").count().collect()}
     rows = ranked(rows, "length", counts, F.lit(0), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], F.struct("doc_id", "piece", "ids_crc32"))
     rows = placed(rows, "length", sweeps(counts, capacity), ["sequence_id", "offset"])
