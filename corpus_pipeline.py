@@ -53,8 +53,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of all documents into sequences."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    """Packs the tokens of all documents into sequences. Workers that served the other stages keep fewer words."""
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), kept=500_000)
 
 
 STAGES = [
