@@ -454,6 +454,21 @@ def context_budget(spark, d):
     return out.select("conv_id", "turn", "text", F.col("used_before").cast("bigint").alias("used_before"), F.col("tokens").cast("bigint").alias("tokens"))
 
 
+KINDS = ("structured_match_summary", "derived_analytic_summary", "structured_row_match", "company_profile", "row_full", "note_reference", "supply_chain_theme", "location_theme", "document_chunk")
+INTENTS = ("fact", "definition", "aggregation", "comparison")
+
+
+@query(f"""WITH p AS (SELECT p_partkey, ({list(KINDS)})[p_partkey % 9 + 1] AS chunk_type, ({list(INTENTS)})[p_size % 4 + 1] AS intent, p_partkey % 2 = 0 AS linked, p_size % 3 = 0 AS oem FROM part)
+  SELECT p_partkey, chunk_type, (CASE WHEN chunk_type = 'derived_analytic_summary' AND intent IN ('aggregation', 'comparison') THEN 2.7 WHEN chunk_type = 'note_reference' AND intent = 'definition' THEN 2.5
+  WHEN linked AND oem AND chunk_type IN ('company_profile', 'row_full') THEN 1.9 WHEN linked AND chunk_type = 'supply_chain_theme' THEN 2.8 WHEN linked AND chunk_type = 'structured_row_match' THEN 2.5
+  WHEN linked AND chunk_type = 'location_theme' THEN 2.1 WHEN linked AND chunk_type IN ('company_profile', 'row_full') THEN 1.6 WHEN chunk_type = 'structured_match_summary' THEN 3.0
+  WHEN chunk_type = 'derived_analytic_summary' THEN 1.7 WHEN chunk_type IN ('structured_row_match', 'company_profile', 'row_full') THEN 1.5 WHEN chunk_type = 'note_reference' THEN 1.0 ELSE 0.0 END)::DOUBLE AS priority FROM p""")
+def context_priority(spark, d):
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    p = t(spark, d, "part").select("p_partkey", "p_size", pick(KINDS, F.col("p_partkey") % 9).alias("chunk_type"))
+    return p.select("p_partkey", "chunk_type", context.priority(F.col("chunk_type"), pick(INTENTS, F.col("p_size") % 4), F.col("p_partkey") % 2 == 0, F.col("p_size") % 3 == 0).alias("priority"))
+
+
 @query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS total FROM events GROUP BY ALL")
 def event_windows(spark, d):
     e = t(spark, d, "events").withColumn("value", F.col("value").cast("decimal(18,4)"))
@@ -472,7 +487,14 @@ def head_counts(spark, d):
     return t(spark, d, "part").select("p_partkey", places.head_count(F.concat(F.lit("about "), F.format_number(F.col("p_size") * 100, 0))).alias("n"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT s_suppkey::INT AS row_number, s_name AS c, n_name AS l, r_name AS r, round(s_acctbal)::INT::VARCHAR AS e FROM {SUPPLIERS}),
+  v AS (SELECT row_number, unnest([{{'k': 'row_full', 't': concat('Company: ', c, ' | Category: Tier 1 | Location: ', l, ' | EV Supply Chain Role: ', r, ' | Employment: ', e)}},
+    {{'k': 'company_profile', 't': concat('Company: ', c, ' | Category: Tier 1 | EV Supply Chain Role: ', r, ' | Location: ', l, ' | Employment: ', e)}}, {{'k': 'identity_theme', 't': concat('Company: ', c, ' | Category: Tier 1')}},
+    {{'k': 'location_theme', 't': concat('Company: ', c, ' | Location: ', l, ' | Employment: ', e)}}, {{'k': 'supply_chain_theme', 't': concat('Company: ', c, ' | EV Supply Chain Role: ', r)}}, {{'k': 'product_theme', 't': concat('Company: ', c, ' | Category: Tier 1')}}]) AS v FROM s),
+  x AS (SELECT row_number, concat('supplier::Data::', row_number) AS row_key, v.k AS chunk_type, v.t AS text FROM v),
+  h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(sha1(concat_ws('::', row_key, chunk_type, text)))) AS h FROM x)
+  SELECT 'supplier' AS source_file, 'Data' AS sheet_name, row_number, row_key, chunk_type, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens,
+  substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(printf('%02x', (('0x' || substr(h, 17, 2))::INT & 63) | 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS chunk_id FROM h""")
 def row_chunks(spark, d):
     s = suppliers(spark, d)
     values = F.create_map(F.lit("Company"), F.col("s_name"), F.lit("Category"), F.lit("Tier 1"), F.lit("Location"), F.col("n_name"), F.lit("EV Supply Chain Role"), F.col("r_name"), F.lit("Employment"), F.round("s_acctbal").cast("int").cast("string"))

@@ -175,6 +175,25 @@ def test_context(spark):
     assert {r["source_kind"]: r["t"] for r in both.groupBy("source_kind").agg(F.sum("tokens").alias("t")).collect()} == {"local": 45, "web": 55}
 
 
+def test_compact_selection(spark):
+    names = "q_id int, chunk_id string, chunk_type string, row_key string, company string, final_score double, priority double, definition boolean, several boolean, broad boolean"
+    chunks = [("n1", "note_reference", "", "", 0.9, 3.0), ("n2", "note_reference", "", "", 0.8, 3.0), ("a1", "row_full", "r1", "A", 0.7, 1.0), ("a2", "company_profile", "r1", "A", 0.6, 2.0), ("a3", "identity_theme", "r2", "A", 0.5, 2.4), ("b1", "row_full", "r3", "B", 0.4, 1.0)]
+    ask = lambda q, definition, several: [(q, *c, definition, several, False) for c in chunks]
+    got = context.compact_selection(spark.createDataFrame(ask(1, True, True) + ask(2, False, False), names)).orderBy("q_id", "rank").collect()
+    assert [r["chunk_id"] for r in got if r["q_id"] == 1] == ["n1", "a3", "a2", "b1"]
+    assert [r["chunk_id"] for r in got if r["q_id"] == 2] == ["a3", "b1"]
+    kept = context.compact_selection(spark.createDataFrame([(1, f"c{k:02}", "document_chunk", "", "", 0.5, 1.4, False, False, k < 20) for k in range(20)], names), limit=8)
+    assert kept.count() == 15
+    caps = spark.createDataFrame([("Where is each location?", False), ("x", True), ("x", False)], "q string, broad boolean")
+    assert [r[0] for r in caps.select(retrieval.company_cap(F.col("q"), 2, F.col("broad"))).collect()] == [3, 4, 2]
+
+
+def test_stems():
+    from loomwork.functions.stems import stem
+
+    assert [stem(w) for w in ("caresses", "ponies", "agreed", "plastered", "motoring", "hopping", "relational", "conditional", "rate", "cease", "controll", "sky")] == ["caress", "poni", "agre", "plaster", "motor", "hop", "relat", "condit", "rate", "ceas", "control", "sky"]
+
+
 def test_evaluation(spark):
     claims = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "response_id int, claim_id int")
     replies = spark.createDataFrame([(1, {1: "supported"}), (2, None)], "response_id int, labels map<int,string>")
