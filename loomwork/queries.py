@@ -424,7 +424,38 @@ def html_title(spark, d):
     return t(spark, d, "pages").select("page_id", text.first_match(F.col("html"), r"(?is)<title[^>]*>(.*?)</title>").alias("title"))
 
 
-@query()
+def _decoded(sql: str) -> str:
+    """SQL for text with its entities decoded."""
+    for entity, plain in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&amp;", "'&'")):
+        sql = f"replace({sql}, '{entity}', {plain})"
+    return sql
+
+
+def _found(*patterns: str) -> str:
+    """SQL for group 1 of the first pattern that finds something in bare, tried in order."""
+    return "coalesce(" + ", ".join(f"nullif(trim(regexp_extract({column}, '{pattern}', 1)), '')" for column, pattern in (p.split("~", 1) for p in patterns)) + ")"
+
+
+def _without(sql: str, *tags: str) -> str:
+    """SQL for html without these elements."""
+    for tag in tags:
+        sql = rf"regexp_replace({sql}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', ' ', 'g')"
+    return sql
+
+
+def _meta(name: str) -> str:
+    return rf"html~(?is)<meta[^>]*(?:property|name)\s*=\s*[\"'']{name}[\"''][^>]*content\s*=\s*[\"'']([^\"'']*)[\"'']"
+
+
+HTML = f"""WITH b AS (SELECT *, {_without("html", "script", "style", "noscript", "svg", "picture", "header", "footer", "nav", "aside", "form")} AS bare FROM pages),
+  r AS (SELECT page_id, {_decoded(_found(_meta("og:title"), _meta("twitter:title"), "html~(?is)<title[^>]*>(.*?)</title>"))} AS title,
+  {_found(r"html~(?is)<link[^>]*rel\s*=\s*[\"'']canonical[\"''][^>]*href\s*=\s*[\"'']([^\"'']*)[\"'']", _meta("og:url"))} AS canonical_url,
+  coalesce({_found(*[rf"bare~(?is)<{tag}\b[^>]*>(.*)</{tag}>" for tag in ("article", "main", "body")])}, bare) AS root FROM b),
+  x AS (SELECT page_id, title, canonical_url, {_decoded(r"regexp_replace(regexp_replace(root, '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g'), '\r\n?', chr(10), 'g')")} AS t FROM r)
+  SELECT page_id, title, canonical_url, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda y: trim(regexp_replace(y, '\\s+', ' ', 'g'))), lambda y: y <> ''), chr(10)) AS text FROM x"""
+
+
+@query(HTML)
 def html_extract(spark, d):
     h = F.col("html")
     return t(spark, d, "pages").select("page_id", text.html_title(h).alias("title"), text.html_url(h).alias("canonical_url"), text.html_text(h).alias("text"))
@@ -441,7 +472,23 @@ def json_props(spark, d):
     return t(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query()
+def _units(sql: str) -> str:
+    """SQL for units without list marks, edge spaces and what is punctuation only."""
+    return rf"list_filter(list_transform({sql}, lambda u: trim(regexp_replace(regexp_replace(u, '\s+', ' ', 'g'), '^(?:[-*•]\s+|\d+[.)]\s+)', ''))), lambda u: regexp_replace(u, '[\s;,.]+', '', 'g') <> '')"
+
+
+ABBREVIATED = "|".join(a.replace(".", r"\.") for a in segments.ABBREVIATIONS)
+
+
+@query(rf"""WITH l AS (SELECT conv_id, turn, b, n, string_split(blocks[b], chr(10))[n] AS line FROM (SELECT *, unnest(range(1, len(string_split(blocks[b], chr(10))) + 1)) AS n FROM
+    (SELECT *, unnest(range(1, len(blocks) + 1)) AS b FROM (SELECT conv_id, turn, regexp_split_to_array(coalesce(text, ''), '\n\s*\n') AS blocks FROM conversations)))),
+  p AS (SELECT *, {_units(r"regexp_split_to_array(regexp_replace(line, '^\[|\]$', '', 'g'), '\s*;\s*|\]\s*,?\s*\[')")} AS parts FROM l WHERE trim(line) <> ''),
+  g AS (SELECT *, regexp_replace(line, '(?i)\b({ABBREVIATED})\.(\s)', '\1' || chr(30) || '\2', 'g') AS guarded FROM p),
+  c AS (SELECT *, replace(regexp_replace(regexp_replace(guarded, '([.!?]["'')\]]*)\s+([^a-z\s])', '\1' || chr(10) || '\2', 'g'), ';\s+', ';' || chr(10), 'g'), chr(30), '.') AS cut FROM g),
+  e AS (SELECT conv_id, turn, b, n, CASE WHEN len(parts) >= 2 AND len(list_filter(parts, lambda x: contains(x, '|'))) >= 2 THEN parts WHEN regexp_matches(line, '^\s*(?:[-*•]|\d+[.)])\s+') THEN {_units("[line]")}
+    ELSE {_units("string_split(cut, chr(10))")} END AS u FROM c),
+  a AS (SELECT conv_id, turn, flatten(list(u ORDER BY b, n)) AS u FROM e GROUP BY conv_id, turn)
+  SELECT conv_id, turn, unnest(range(len(u)))::INT AS unit_index, unnest(u) AS unit FROM a""")
 def segment_units(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", F.posexplode(segments.units(F.col("text"))).alias("unit_index", "unit"))
 
@@ -569,10 +616,10 @@ def retrieval_logs(spark, d):
     return log.select("q_id", F.array_join(F.transform("hits", lambda x: x["chunk_id"].cast("string")), ",").alias("ids"))
 
 
-@query("""WITH m AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('click', 'error', 'view') AND value > 60), g AS (SELECT user_id, list(event_type) AS l FROM m GROUP BY 1)
+@query("""WITH m AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('click', 'error', 'view')), g AS (SELECT user_id, list(event_type) AS l FROM m GROUP BY 1)
   SELECT count(*) FILTER (WHERE list_contains(l, 'click')) AS click_keys, count(*) FILTER (WHERE list_contains(l, 'error')) AS error_keys, count(*) FILTER (WHERE list_contains(l, 'view')) AS view_keys, count(*) FILTER (WHERE len(l) = 3) AS in_all, count(*) AS in_any FROM g""")
 def key_coverage(spark, d):
-    e = t(spark, d, "events").where("value > 60")
+    e = t(spark, d, "events")
     return reports.coverage({k: e.where(F.col("event_type") == k) for k in ("click", "error", "view")}, "user_id")
 
 
