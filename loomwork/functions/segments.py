@@ -12,7 +12,7 @@ _MARK = "\x1e"
 
 def sentences(text: Column) -> Column:
     """Units that end in . ! ? or ; before a space; not after an abbreviation, and not before a lower-case word (but after ;)."""
-    guarded = F.regexp_replace(text, r"(?i)\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.(?=\s)", f"$1{_MARK}")
+    guarded = F.regexp_replace(text, r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.(?=\s)", f"$1{_MARK}")
     cut = F.regexp_replace(F.regexp_replace(guarded, r"([.!?][\"')\]]*)\s+(?=[^a-z\s])", "$1\n"), r";\s+", ";\n")
     return _clean(F.split(F.replace(cut, F.lit(_MARK), F.lit(".")), "\n"))
 

@@ -483,7 +483,7 @@ ABBREVIATED = "|".join(a.replace(".", r"\.") for a in segments.ABBREVIATIONS)
 @query(rf"""WITH l AS (SELECT conv_id, turn, b, n, string_split(blocks[b], chr(10))[n] AS line FROM (SELECT *, unnest(range(1, len(string_split(blocks[b], chr(10))) + 1)) AS n FROM
     (SELECT *, unnest(range(1, len(blocks) + 1)) AS b FROM (SELECT conv_id, turn, regexp_split_to_array(coalesce(text, ''), '\n\s*\n') AS blocks FROM conversations)))),
   p AS (SELECT *, {_units(r"regexp_split_to_array(regexp_replace(line, '^\[|\]$', '', 'g'), '\s*;\s*|\]\s*,?\s*\[')")} AS parts FROM l WHERE trim(line) <> ''),
-  g AS (SELECT *, regexp_replace(line, '(?i)\b({ABBREVIATED})\.(\s)', '\1' || chr(30) || '\2', 'g') AS guarded FROM p),
+  g AS (SELECT *, regexp_replace(regexp_replace(line, '(?i)(^|[^\pL\pN_])({ABBREVIATED})\.(\s)', '\1\2' || chr(30) || '\3', 'g'), '(?i)(^|[^\pL\pN_])({ABBREVIATED})\.(\s)', '\1\2' || chr(30) || '\3', 'g') AS guarded FROM p),
   c AS (SELECT *, replace(regexp_replace(regexp_replace(guarded, '([.!?]["'')\]]*)\s+([^a-z\s])', '\1' || chr(10) || '\2', 'g'), ';\s+', ';' || chr(10), 'g'), chr(30), '.') AS cut FROM g),
   e AS (SELECT conv_id, turn, b, n, CASE WHEN len(parts) >= 2 AND len(list_filter(parts, lambda x: contains(x, '|'))) >= 2 THEN parts WHEN regexp_matches(line, '^\s*(?:[-*•]|\d+[.)])\s+') THEN {_units("[line]")}
     ELSE {_units("string_split(cut, chr(10))")} END AS u FROM c),
