@@ -69,6 +69,21 @@ def may_hold(filter_: Column, key: Column, blocks: int) -> Column:
     return F.element_at(filter_, (block_of(key, blocks) + 1).cast("int")).bitwiseAND(mask) == mask
 
 
+def running(df: DataFrame, order: str, size: str, into: str, shift: int) -> DataFrame:
+    """df with the sum of size over all rows of lesser order (a column of distinct non-negative longs).
+
+    In two levels: rows whose orders agree but for the last shift bits are summed within a task, and only their totals
+    meet in one. df is read twice and must give the same rows.
+    """
+    block = F.shiftright(F.col(order), shift)
+    totals = df.groupBy(block.alias("_block")).agg(F.sum(size).alias("_total"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("_block", block).join(totals, "_block")
+    return out.withColumn(into, F.col("_before") + F.coalesce(F.sum(size).over(within), F.lit(0))).drop("_block", "_before")
+
+
 #: Rows of a group that are ranked in one part.
 RANKED = 100_000
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, mixing, neardup, neighbours, packing, sharding, substrings, urls
-from .common import table
+from . import chat, fingerprints, langid, mixing, neardup, neighbours, packing, sharding, substrings, tokenfiles, urls
+from .common import shared_dir, table
 
 
 def vocabulary(name: str) -> str:
@@ -150,5 +151,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_chat, op3_mixing, op4_url_filter, op5_substrings, op6_neighbours, op7_packing, op8_language_id, op9_fingerprints, op10_sharding)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/loomwork/tokens-{uuid.uuid4().hex}"
+    tokenfiles.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    out = tokenfiles.read(spark, path)
+    return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_chat, op3_mixing, op4_url_filter, op5_substrings, op6_neighbours, op7_packing, op8_language_id, op9_fingerprints, op10_sharding, op11_token_files)}
 SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op2_chat": OP2_SQL, "op5_substrings": OP5_SQL, "op3_mixing": OP3_SQL, "op4_url_filter": OP4_SQL}
