@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, mixing, neardup, neighbours, packing, sharding, substrings, tokenfiles, urls
+from . import chat, fingerprints, langid, merkle, mixing, neardup, neighbours, packing, sharding, substrings, tokenfiles, urls
 from .common import shared_dir, table
 
 
@@ -158,5 +158,41 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_chat, op3_mixing, op4_url_filter, op5_substrings, op6_neighbours, op7_packing, op8_language_id, op9_fingerprints, op10_sharding, op11_token_files)}
-SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op2_chat": OP2_SQL, "op5_substrings": OP5_SQL, "op3_mixing": OP3_SQL, "op4_url_filter": OP4_SQL}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = merkle.leaf([F.try_add("n_chars", F.lit(1)) if c == "n_chars" else F.col(c) for c in fields])
+    out = merkle.manifest(table(spark, sf_dir, "documents"), fields, also={"claimed": F.when(hit, changed)})
+    out = out.withColumn("folded_root", merkle.fold(F.coalesce("claimed", "leaf"), F.col("steps")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("steps")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE f AS (SELECT doc_id, lang, n_chars,
+  coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+  coalesce(strlen(text) || ':' || text, '-') AS z,
+  list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1)))),
+    lambda c, b: list_reduce(list_prepend(xor(c::BIGINT, b::BIGINT), range(8)), lambda y, r: xor(y >> 1, (y & 1) * 3988292384))) AS crc FROM documents),
+d AS (SELECT doc_id, lang, n_chars, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf,
+  sha256(a || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || z) AS changed, xor(crc, 4294967295) % 7 = 0 AS hit FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS i, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM d),
+t(k, g, i, h) AS (SELECT 0, g, i, leaf FROM o UNION ALL
+  SELECT k + 1, g, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM t) WHERE c > 1 GROUP BY k, g, i // 2),
+s AS (SELECT g, max(k) AS k FROM t GROUP BY g),
+r AS (SELECT t.g, t.k, t.h FROM t JOIN s ON s.g = t.g AND s.k = t.k),
+u(k, i, h) AS (SELECT 0, g, h FROM r UNION ALL
+  SELECT k + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS c FROM u) WHERE c > 1 GROUP BY k, i // 2),
+top AS (SELECT max(k) AS k, max_by(h, k) AS root FROM u),
+w(doc_id, leaf, g, i, step, now, told) AS (
+  SELECT doc_id, leaf, o.g, CASE WHEN s.k = 0 THEN o.g ELSE i END, 0, CASE WHEN hit AND n_chars IS NOT NULL THEN changed ELSE leaf END, '' FROM o JOIN s ON s.g = o.g UNION ALL
+  SELECT w.doc_id, w.leaf, w.g, CASE WHEN step + 1 = s.k THEN w.g ELSE w.i // 2 END, step + 1,
+    sha256(CASE WHEN w.i % 2 = 1 THEN coalesce(n.h, m.h, '') || now ELSE now || coalesce(n.h, m.h, '') END), told || coalesce(n.h, m.h, '')
+  FROM w JOIN s ON s.g = w.g CROSS JOIN top LEFT JOIN t n ON step < s.k AND n.g = w.g AND n.k = step AND n.i = xor(w.i, 1)
+  LEFT JOIN u m ON step >= s.k AND m.k = step - s.k AND m.i = xor(w.i, 1) WHERE step < s.k + top.k)
+SELECT doc_id, leaf, r.h AS subroot, root, sha256(told) AS proof_sha256, now AS folded_root, now = root AS verified
+FROM w JOIN r ON r.g = w.g CROSS JOIN top WHERE step = r.k + top.k
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_chat, op3_mixing, op4_url_filter, op5_substrings, op6_neighbours, op7_packing, op8_language_id, op9_fingerprints, op10_sharding, op11_token_files, op13_merkle)}
+SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op2_chat": OP2_SQL, "op5_substrings": OP5_SQL, "op3_mixing": OP3_SQL, "op4_url_filter": OP4_SQL, "op13_merkle": OP13_SQL}
