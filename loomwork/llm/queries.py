@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, merkle, mixing, neardup, neighbours, packing, sharding, substrings, tokenfiles, urls
+from . import chat, fingerprints, langid, lexical, merkle, mixing, neardup, neighbours, packing, sharding, substrings, tokenfiles, urls
 from .common import shared_dir, table
 
 
@@ -158,6 +158,23 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lexical.ranked_search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumnRenamed("query", "item_id")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d),
+f AS (SELECT r, doc_id, n, t, count(*) AS tf FROM p GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, c GROUP BY t, docs),
+s AS (SELECT item_id, r, doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score FROM q JOIN f ON f.t = q.t JOIN w ON w.t = q.t, c GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -194,5 +211,5 @@ FROM w JOIN r ON r.g = w.g CROSS JOIN top WHERE step = r.k + top.k
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_chat, op3_mixing, op4_url_filter, op5_substrings, op6_neighbours, op7_packing, op8_language_id, op9_fingerprints, op10_sharding, op11_token_files, op13_merkle)}
-SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op2_chat": OP2_SQL, "op5_substrings": OP5_SQL, "op3_mixing": OP3_SQL, "op4_url_filter": OP4_SQL, "op13_merkle": OP13_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_duplicates, op2_chat, op3_mixing, op4_url_filter, op5_substrings, op6_neighbours, op7_packing, op8_language_id, op9_fingerprints, op10_sharding, op11_token_files, op12_lexical_search, op13_merkle)}
+SQL: dict[str, str] = {"op1_near_duplicates": OP1_SQL, "op2_chat": OP2_SQL, "op5_substrings": OP5_SQL, "op3_mixing": OP3_SQL, "op4_url_filter": OP4_SQL, "op12_lexical_search": OP12_SQL, "op13_merkle": OP13_SQL}

@@ -145,10 +145,9 @@ def byte_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return _trees(mixed(values + np.uint64(_PRIME)), blocks, size)
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buf, start, end of every word in buf, first word of each text and the number of all words)."""
-    buf, offsets = raw(column)
-    space = SPACES[buf]
+def spans(buf: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of every run of bytes that between doesn't hold, within the texts that offsets part."""
+    space = between[buf]
     ink = ~space
     before, after = np.empty_like(space), np.empty_like(space)
     if len(buf):
@@ -156,8 +155,13 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         after[-1], after[:-1] = True, space[1:]
         inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(buf))]
         before[inner], after[inner - 1] = True, True
-    starts = np.flatnonzero(ink & before)
-    ends = np.flatnonzero(ink & after) + 1
+    return np.flatnonzero(ink & before), np.flatnonzero(ink & after) + 1
+
+
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(buf, start, end of every word in buf, first word of each text and the number of all words)."""
+    buf, offsets = raw(column)
+    starts, ends = spans(buf, offsets)
     return buf, starts, ends, np.searchsorted(starts, offsets)
 
 
