@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import running
-from .packing import KEPT_WORDS, WordEncoder
+from .packing import WordEncoder
 from .packing import _encoder as word_encoder
 from .textkit import CACHES, slices, tidy
 
@@ -36,6 +36,8 @@ FRAME_IDS = 1 << 16
 FILE_IDS = 1 << 26
 #: Bytes of text of a task's range of documents, at most and (where shuffle partitions would idle) at least.
 RANGE_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
+#: Words whose ids a Python worker keeps: it does little else with its memory here.
+KEPT_WORDS = 2_000_000
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 TRAILER = struct.Struct("<8sIIQQ")  # name, data frames, index frames, documents, ids
 NAME = b"LOOMTOK1"
