@@ -21,10 +21,10 @@ from .textkit import byte_hashes, ranges, raw, slices, spans, tidy
 SHARD_TERMS, SHARD_DOCS = 1 << 22, 1 << 16
 #: Queries that are answered together in a shard.
 QUERIES = 1024
-#: Postings of a cell, between which blocks may end; cells of a block at most.
-CELL, LONGEST = 8, 64
-#: What a block costs in bound error: so many postings of the list's greatest score.
-BLOCK_COST = 8
+#: Cells of a list, between which blocks may end, and cells of a block at most.
+CELLS, LONGEST = 1024, 64
+#: What a block costs in bound error: the list's greatest score at so many documents.
+BLOCK_COST = 32
 #: ASCII letters and digits and all bytes of other characters make terms.
 OTHERS = np.ones(256, dtype=bool)
 OTHERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -106,38 +106,45 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(tidy(run), "query long, term long").distinct()
 
 
-def cuts(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Where blocks of posting lists start: first[k]:first[k + 1] of scores is list k; the result also ends with the number of all.
+def cell_size(n: np.ndarray) -> np.ndarray:
+    """Postings of a cell of lists of n postings: one, until a list has CELLS."""
+    return -(-n // CELLS)
 
-    Blocks are runs of cells of CELL postings. Of all ways to cut a list, with blocks of at most LONGEST cells, this is the one with the least sum of the blocks' bound
-    errors (greatest score times postings, less their scores) plus BLOCK_COST times the list's greatest score for every block. Lists of similar lengths are solved together.
+
+def cuts(scores: np.ndarray, docs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where blocks of posting lists start: first[k]:first[k + 1] of scores and docs is list k; the result also ends with the number of all.
+
+    A block bounds every document from its first to its last, those without the term too, so its error is its greatest score times those documents, less its scores. Of all
+    ways to cut a list between cells, with blocks of at most LONGEST cells, this is the one with the least sum of errors plus BLOCK_COST times the list's greatest score for every
+    block. Lists of similar lengths are solved together.
     """
     n = np.diff(first)
+    each = np.maximum(cell_size(n), 1)
+    cells = -(-n // each)
     out = [first]
-    cells = -(-n // CELL)
-    for size in range(1, int(cells.max(initial=0)).bit_length() + 1):
-        mine = np.flatnonzero((cells >= 1 << (size - 1)) & (cells < 1 << size) & (cells > 1))
-        for a in range(0, len(mine), max(1, (1 << 22) >> size)):
-            some = mine[a : a + max(1, (1 << 22) >> size)]
-            width = 1 << size
+    for size in range(2, int(cells.max(initial=0)).bit_length() + 1):
+        mine = np.flatnonzero((cells >= 1 << (size - 1)) & (cells < 1 << size))
+        step = max(1, (1 << 20) >> size)
+        for some in (mine[a : a + step] for a in range(0, len(mine), step)):
+            width = int(cells[some].max())
+            row = np.repeat(np.arange(len(some)), cells[some])
+            cell = ranges(np.zeros(len(some), np.int64), cells[some])
+            begin = first[some][row] + cell * each[some][row]
+            most, lo, hi = (np.zeros((len(some), width)) for _ in range(3))
             flat = ranges(first[some], n[some])
-            cell = (np.repeat(np.arange(len(some)) * width, n[some]) + ranges(np.zeros(len(some), np.int64), n[some]) // CELL)
-            most = np.zeros(len(some) * width)
-            np.maximum.at(most, cell, scores[flat])
-            most = most.reshape(len(some), width)
-            held = np.minimum(np.maximum(n[some, None] - np.arange(width) * CELL, 0), CELL).astype(np.float64)
+            most[row, cell] = np.maximum.reduceat(scores[flat], np.cumsum(np.append(0, np.minimum(each[some][row], first[some + 1][row] - begin)))[:-1])
+            lo[row, cell] = docs[begin]
+            hi[row, cell] = docs[np.minimum(begin + each[some][row], first[some + 1][row]) - 1] + 1
             price = BLOCK_COST * most.max(axis=1)
             best = np.zeros((len(some), width + 1))
             came = np.zeros((len(some), width + 1), dtype=np.int32)
-            # top[:, j], size_[:, j]: greatest score and postings of the block that starts LONGEST - j cells before the end
-            top, size_ = np.zeros((len(some), LONGEST)), np.zeros((len(some), LONGEST))
+            top, from_ = np.zeros((len(some), LONGEST)), np.zeros((len(some), LONGEST))  # of blocks by their first cell, the latest last
             for end in range(1, width + 1):
-                top[:, :-1], size_[:, :-1] = top[:, 1:], size_[:, 1:]
-                top[:, -1], size_[:, -1] = 0, 0
+                top[:, :-1], from_[:, :-1] = top[:, 1:], from_[:, 1:]
+                top[:, -1], from_[:, -1] = 0, lo[:, end - 1]
                 live = min(LONGEST, end)
                 np.maximum(top[:, -live:], most[:, end - 1, None], out=top[:, -live:])
-                size_[:, -live:] += held[:, end - 1, None]
-                total = best[:, end - live : end] + top[:, -live:] * size_[:, -live:]
+                total = best[:, end - live : end] + top[:, -live:] * (hi[:, end - 1, None] - from_[:, -live:])
                 took = total.argmin(axis=1)
                 best[:, end] = total[np.arange(len(some)), took] + price
                 came[:, end] = end - live + took
@@ -146,7 +153,7 @@ def cuts(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
             while len(left):
                 at[left] = came[left, at[left]]
                 left = left[at[left] > 0]
-                out.append(first[some[left]] + at[left] * CELL)
+                out.append(first[some[left]] + at[left] * each[some[left]])
     return np.unique(np.concatenate(out))
 
 
@@ -157,7 +164,7 @@ class Shard:
         """first: where each list starts (and the last ends); ids: place in the order of ids of every document of the shard."""
         self.docs, self.scores, self.first, self.ids = docs, scores, first, ids
         self.key = np.repeat(np.arange(len(first) - 1), np.diff(first)) << 32 | docs
-        start = cuts(scores.astype(np.float64), first)
+        start = cuts(scores.astype(np.float64), docs, first)
         self.block_lo = docs[start[:-1]]
         self.block_hi = docs[start[1:] - 1] + 1
         self.block_max = np.maximum.reduceat(scores, start[:-1]) if len(scores) else scores
