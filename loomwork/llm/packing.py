@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -75,11 +76,11 @@ class WordEncoder:
         for a, b in zip(cuts, cuts[1:], strict=False):
             listed += data[a:b].split()  # bytes split at ASCII white space only
             first.append(len(listed))
-        found = list(map(self.known.get, listed))
-        if None in found:
-            self._learn(list({w for w, k in zip(listed, found, strict=True) if k is None}))
-            found = [self.known[w] if k is None else k for w, k in zip(listed, found, strict=True)]
-        at = np.array(found, dtype=np.int64)
+        at = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn(list({listed[k] for k in new}))
+            at[new] = [self.known[listed[k]] for k in new]
         lengths = self.lengths[at]
         before = np.zeros(len(at) + 1, dtype=np.int64)
         np.cumsum(lengths, out=before[1:])
