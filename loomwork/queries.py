@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import fixed, places, scores, segments, text
 from .operators import analytics, context, evaluation, filters, reports, results, retrieval, rows, summaries
+from .plans import answers, questions
 from .streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -540,7 +541,7 @@ def head_counts(spark, d):
     {{'k': 'location_theme', 't': concat('Company: ', c, ' | Location: ', l, ' | Employment: ', e)}}, {{'k': 'supply_chain_theme', 't': concat('Company: ', c, ' | EV Supply Chain Role: ', r)}}, {{'k': 'product_theme', 't': concat('Company: ', c, ' | Category: Tier 1')}}]) AS v FROM s),
   x AS (SELECT row_number, concat('supplier::Data::', row_number) AS row_key, v.k AS chunk_type, v.t AS text FROM v),
   h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(sha1(concat_ws('::', row_key, chunk_type, text)))) AS h FROM x)
-  SELECT 'supplier' AS source_file, 'Data' AS sheet_name, row_number, row_key, chunk_type, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS tokens,
+  SELECT 'supplier' AS source_file, 'Data' AS sheet_name, row_number, row_key, chunk_type, text, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w, i: list_position(regexp_extract_all(lower(text), '[a-z0-9]+'), w) = i) AS tokens,
   substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(printf('%02x', (('0x' || substr(h, 17, 2))::INT & 63) | 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS chunk_id FROM h""")
 def row_chunks(spark, d):
     s = suppliers(spark, d)
@@ -628,3 +629,55 @@ def merged_metrics(spark, d):
     c = t(spark, d, "conversations").select("conv_id", "turn", F.col("turn").alias("score"))
     m = t(spark, d, "labels").select(F.col("doc_id").alias("conv_id"), F.col("toxic").cast("bigint").alias("score"), "quality")
     return reports.merge_metrics(c, m, ["conv_id"])
+
+
+def _asked(spark, d):
+    """One question for every company of _companies, by turns of six kinds, and the companies as canonical rows."""
+    blank = {c: F.lit("") for c in ("industry_group", "primary_facility_type", "supplier_or_affiliation_type", "classification_method")}
+    r = _companies(spark, d).withColumns(blank | {"row_key": F.lpad(F.regexp_extract("company", "[0-9]+", 0), 12, "0"), "location": F.col("county"), "employment": F.col("employment_num").cast("string")})
+    r = r.drop("county").withColumn("row_summary", F.concat(F.lit("Company: "), "company"))
+    text = {
+        0: F.concat(F.lit("How many companies are there by city for "), "category", F.lit("?")), 1: F.concat(F.lit("Total employment by category in "), "state", F.lit(", top 2")),
+        2: F.concat(F.lit("List all companies linked to "), "primary_oems"), 3: F.concat(F.lit("What is the category of "), "company", F.lit("?")),
+        4: F.concat(F.lit("Average employment by EV Supply Chain Role for "), "category", F.lit(" companies")), 5: F.concat(F.lit("Median employment of companies in "), "state"),
+    }
+    kind = F.col("row_key").cast("bigint") % 6
+    asked = F.coalesce(*[F.when(kind == k, v) for k, v in text.items()])
+    return r.select(F.col("row_key").cast("bigint").alias("q_id"), asked.alias("question")), r
+
+
+ASKED = COMPANIES.split(",\n  s AS")[0] + """, f AS (SELECT substr(company, 10)::BIGINT AS id, *, CASE WHEN yes THEN 'Yes' WHEN ind THEN 'Indirect' ELSE 'No' END AS evb, lower(replace(oem, '#', ' ')) AS o FROM r),
+q AS (SELECT id AS q_id, id % 6 AS k, category, state, oem, company FROM f),
+counts AS (SELECT category, county, count(*) AS n, row_number() OVER (PARTITION BY category ORDER BY count(*) DESC, county) AS at_ FROM f GROUP BY category, county),
+sums AS (SELECT scope, category, sum(emp) AS n, row_number() OVER (PARTITION BY scope ORDER BY sum(emp) DESC, category) AS at_ FROM (SELECT *, '' AS scope FROM f UNION ALL SELECT *, state FROM f WHERE state <> '') GROUP BY scope, category),
+means AS (SELECT category, role, avg(emp) AS n, row_number() OVER (PARTITION BY category ORDER BY avg(emp) DESC, role) AS at_ FROM f GROUP BY category, role),
+medians AS (SELECT scope, median(emp) AS n FROM (SELECT *, '' AS scope FROM f UNION ALL SELECT *, state FROM f WHERE state <> '') GROUP BY ALL),
+a AS (
+  SELECT q_id, 'group_count' AS rule, 0 AS "at", '' AS key, 'Counts by City:' AS line FROM q WHERE k = 0 UNION ALL
+  SELECT q_id, 'group_count', at_, '', '- ' || county || ': ' || n FROM q JOIN counts c ON c.category = q.category WHERE k = 0 UNION ALL
+  SELECT q_id, 'group_sum', 0, '', 'Total Employment by Category:' FROM q WHERE k = 1 UNION ALL
+  SELECT q_id, 'group_sum', at_, '', '- ' || s.category || ': ' || n FROM q JOIN sums s ON s.scope = q.state WHERE k = 1 AND at_ <= 2 UNION ALL
+  SELECT q_id, 'linked', 0, '', 'Linked companies:' FROM q WHERE k = 2 UNION ALL
+  SELECT q_id, 'linked', 1, lpad(f.id::VARCHAR, 12, '0'), '- Company: ' || f.company || ' | EV Supply Chain Role: ' || f.role || ' | Updated Location: ' || f.county || ' | Employment: ' || f.emp || ' | EV / Battery Relevant: ' || f.evb FROM q JOIN f ON f.oem = q.oem WHERE k = 2 UNION ALL
+  SELECT q_id, 'detail', 0, '', 'Matching rows:' FROM q WHERE k = 3 UNION ALL
+  SELECT q_id, 'detail', 1, lpad(q_id::VARCHAR, 12, '0'), '- Company: ' || company || ' | Category: ' || category FROM q WHERE k = 3 UNION ALL
+  SELECT q_id, 'group_mean', 0, '', 'Average Employment by EV Supply Chain Role:' FROM q WHERE k = 4 UNION ALL
+  SELECT q_id, 'group_mean', at_, '', '- ' || role || ': ' || printf('%.2f', round(n, 2)) FROM q JOIN means m ON m.category = q.category WHERE k = 4 UNION ALL
+  SELECT q_id, 'median', 1, '', 'Median Employment: ' || round_even(n, 0)::BIGINT FROM q JOIN medians m ON m.scope = q.state WHERE k = 5)"""
+
+
+@query(ASKED + ' SELECT q_id, rule, a."at"::BIGINT AS "at", key, line FROM a')
+def question_answers(spark, d):
+    asked, r = _asked(spark, d)
+    return answers.answers(questions.plans(asked, r), r)
+
+
+@query(ASKED + """, x AS (SELECT * FROM q WHERE k = 2 OR k = 3 OR state <> '' OR k IN (0, 4) OR (SELECT count(*) FROM f) <= 210),
+  m AS (SELECT q_id, f.id, f.company, row_number() OVER (PARTITION BY q_id ORDER BY f.id) AS place, count(*) OVER (PARTITION BY q_id) AS n, x.k FROM x JOIN f ON CASE x.k WHEN 2 THEN f.oem = x.oem WHEN 3 THEN f.company = x.company WHEN 0 THEN f.category = x.category WHEN 4 THEN f.category = x.category ELSE x.state IN ('', f.state) END)
+  SELECT q_id, place::INTEGER AS place, 'structured-row::' || lpad(id::VARCHAR, 12, '0') AS chunk_id, company, 0.99::DOUBLE AS final_score FROM m WHERE place <= CASE WHEN k = 2 THEN 20 ELSE 18 END
+  UNION ALL SELECT q_id, 0, 'structured-summary::' || substr(sha1(CASE k WHEN 0 THEN 'how many companies are there by city for ' || lower(category) WHEN 1 THEN 'total employment by category in ' || lower(state) || ' top 2'
+    WHEN 2 THEN 'list all companies linked to ' || lower(replace(oem, '#', ' ')) WHEN 3 THEN 'what is the category of ' || lower(replace(company, '#', ' ')) WHEN 4 THEN 'average employment by ev supply chain role for ' || lower(category) || ' companies'
+    ELSE 'median employment of companies in ' || lower(state) END), 1, 12), '', 1.0 FROM x""")
+def structured_matches(spark, d):
+    asked, r = _asked(spark, d)
+    return answers.structured(questions.plans(asked, r), r).select("q_id", "place", "chunk_id", "company", "final_score")

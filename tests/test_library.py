@@ -102,7 +102,7 @@ def test_analytics(wide):
     [
         ("How many companies are there per category?", "group_count"), ("Which county has the most companies?", "group_count"),
         ("Which counties have only one company?", "only_one"), ("Median employment in Georgia?", "median"), ("Which role is most concentrated in a county?", "most_concentrated"),
-        ("Show the top 2 companies by employment", "top_employment"), ("List companies by role", "listing"), ("Total employment by county", "group_sum"), ("Average employment per category", "group_mean"),
+        ("Show the top 2 companies by employment", "top_employment"), ("List companies by EV Supply Chain Role", "listing"), ("Total employment by county", "group_sum"), ("Average employment per category", "group_mean"),
         ("Companies with wire harness products", "product_mentions"), ("Companies with missing primary OEMs", "missing_oems"), ("Companies with more than one role", "several_roles"), ("Describe Beta", "rows"),
     ],
 )
@@ -117,7 +117,9 @@ def test_plan_parts(wide):
     assert (p.categories, p.states, p.oems, p.companies, p.threshold) == (["Tier 1"], ["Georgia"], ["Alpha"], [], (">=", 1000)) and p.relationship and p.queries[0].startswith("Which")
     p = planner.plan('Georgia companies outside "Troup County"?', wide)
     assert p.excluded_locations == ["Troup County"] and p.locations == [] and p.quoted == ["Troup County"]
-    assert planner.employment_threshold("at least 500 people") == (">=", 500) and planner.rank_limit("top 7", 3) == 7 and planner.group_field("companies in the county") == "county"
+    assert planner.employment_threshold("employment at least 500") == (">=", 500) and planner.employment_threshold("suppliers over 100 miles away") is None and planner.employment_threshold("Employment <= 1,500") == ("<=", 1500)
+    assert planner.group_field("How many companies per EV / Battery Relevant value?") == "ev_battery_relevant" and planner.group_field("count by state") is None and planner.group_field("by county and industry group") == "industry_group"
+    assert planner.rank_limit("top 7", 3) == 7 and planner.group_field("companies in the county") == "county"
     assert planner.plan("county list", wide).intent == "aggregation"
     named = lambda q: sorted(planner.plan(q, wide).locations)
     assert named("Who is in Troup County?") == ["LaGrange, Troup County", "Troup County"] and named("Companies in Georgia") == [] and named("Alabama?") == []
