@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a shard and queries of a block; a task searches one shard for one block.
 SHARD, BLOCK = 16384, 8192
-#: Share of the projections in which a vector must collide with a query to be verified, and share of a band to be verified.
-COLLIDE, VERIFY = 0.85, 0.05
+#: Share of the projections in which a vector must collide with a query to be verified; how much of a band is: this share of it and so many times k.
+COLLIDE, VERIFY, FLOOR = 0.85, 0.05, 10
 #: Half window of radius 0, in standard deviations of a projection, and what it grows by from radius to radius.
 WINDOW, GROW = 1.0, 1.05
 #: Buckets of a sorted array; windows begin and end with buckets. Queries that are searched at once.
@@ -117,7 +117,7 @@ class Index:
         while first < len(ids):
             own = slice(first, int(np.searchsorted(-norm, -norm[first] / RATIO, side="right")))
             n = own.stop - own.start
-            enough = 3 * k + int(VERIFY * n)
+            enough = FLOOR * k + int(VERIFY * n)
             band = Band(self.vectors[own], norm[own]) if enough < n else None
             self.bands.append((own, float(norm[first]), None if band is None or band.flat else band, enough))
             first = own.stop
@@ -204,7 +204,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     vectors of other lengths don't meet. Rows with one id: the best counts; as queries: the least vector. No rows: no rows.
 
     Every shard of at most about SHARD vectors is indexed and searched for every block of queries; shards grow in
-    number with the vectors, not in size. The first k of each are merged. Recall is set by VERIFY: about so
+    number with the vectors, not in size. The first k of each are merged. Recall is set by VERIFY and FLOOR: about so
     many of each band of a shard, those that collide with the query in most projections, are compared exactly.
     """
     clean = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))

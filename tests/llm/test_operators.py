@@ -669,3 +669,16 @@ def test_word_kernel():
             assert by.setdefault(x, h) == h
     assert len(set(by.values())) == len(by)
     assert hashlib.md5(hashes.tobytes()).hexdigest() == hashlib.md5(textkit.word_hashes(pa.array(texts[3:]))[0].tobytes()).hexdigest()
+
+
+@pytest.mark.parametrize("n", [300, 500, 1000, 2000, 4000, 16384])
+def test_neighbours_are_found_in_bands_of_any_size(n):
+    v = np.random.default_rng(n).normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    index, ids, hits, asked = neighbours.Index(np.arange(n), v, 20), np.arange(n), 0, np.arange(0, n, max(20, n // 64))
+    for q in np.array_split(asked, -(-len(asked) // 8)):
+        for place, near, _ in index.search(ids[q], v[q]):
+            score = v @ v[q[place]]
+            score[q[place]] = -np.inf
+            hits += len(set(np.argsort(-score, kind="stable")[:20].tolist()) & set(near.tolist()))
+    assert hits >= 0.95 * 20 * len(asked)

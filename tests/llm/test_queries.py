@@ -40,11 +40,13 @@ def test_same_rows(spark, duck, tmp_path, name):
     assert n > 0 and (more, less) == (0, 0)
 
 
-def test_neighbours(spark, duck):
-    rows = duck.sql("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_neighbours(spark, duck, size):
+    data = f"/root/testdata/{size}"
+    rows = duck.sql(f"SELECT vec_id, embedding FROM '{data}/embeddings.parquet' ORDER BY vec_id").fetchall()
     ids, vectors = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
     found = {}
-    for r in queries.op6_neighbours(spark, DATA).collect():
+    for r in queries.op6_neighbours(spark, data).collect():
         found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert set(found) == set(ids[ids % 20 == 0].tolist())
     hits = total = 0
@@ -57,7 +59,7 @@ def test_neighbours(spark, duck):
         assert all(abs(s - scores[np.flatnonzero(ids == v)[0]]) < 1e-9 for _, v, s in got)
         hits += len(set(best) & {v for _, v, _ in got})
         total += len(best)
-    assert hits >= 0.9 * total
+    assert hits >= 0.95 * total
 
 
 def test_packing(spark, documents):
