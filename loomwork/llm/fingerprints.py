@@ -127,27 +127,33 @@ def digests(column: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.packbits(bits).view(np.uint64).reshape(-1, BITS // 64), chain
 
 
+#: Pairs of filters that are compared at once.
+PAIRS = 1 << 16
+
+
 def likeness(a: np.ndarray, chain_a: np.ndarray, b: np.ndarray, chain_b: np.ndarray) -> np.ndarray:
     """For the texts of two digests, one to one: 0 to 1. Every filter of the shorter chain takes its best match in the other; the mean counts.
 
-    A match is the number of common bits beyond what chance gives, by the most there could be.
+    A match is the number of common bits beyond what chance gives, by the most there could be. Memory is bounded by PAIRS and one number a filter, whatever the texts' lengths.
     """
     na, nb = np.diff(chain_a), np.diff(chain_b)
-    pairs = na * nb
-    text = np.repeat(np.arange(len(na)), pairs)
-    k = ranges(np.zeros(len(na), np.int64), pairs)
-    i, j = k // nb[text], k % nb[text]
-    x, y = a[chain_a[:-1][text] + i], b[chain_b[:-1][text] + j]
-    ones_a, ones_b = (np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (x, y))
-    both = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
-    chance = ones_a * ones_b / BITS
-    room = np.minimum(ones_a, ones_b) - chance
-    match = np.where(room > 0, np.clip((both - chance) / np.where(room > 0, room, 1), 0, 1), (x == y).all(axis=1))
-    row = np.where(na[text] <= nb[text], i, j)  # the filter of the shorter chain
+    ends = np.cumsum(na * nb)
     short = np.minimum(na, nb)
     start = np.concatenate([[0], np.cumsum(short)])
     best = np.zeros(start[-1])
-    np.maximum.at(best, start[text] + row, match)
+    of_a, of_b = (np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (a, b))
+    for first in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+        pair = np.arange(first, min(first + PAIRS, int(ends[-1])))
+        text = np.searchsorted(ends, pair, side="right")
+        k = pair - (ends - na * nb)[text]
+        i, j = k // nb[text], k % nb[text]
+        at_a, at_b = chain_a[:-1][text] + i, chain_b[:-1][text] + j
+        x, y = a[at_a], b[at_b]
+        both = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
+        chance = of_a[at_a] * of_b[at_b] / BITS
+        room = np.minimum(of_a[at_a], of_b[at_b]) - chance
+        match = np.where(room > 0, np.clip((both - chance) / np.where(room > 0, room, 1), 0, 1), (x == y).all(axis=1))
+        np.maximum.at(best, start[text] + np.where(na[text] <= nb[text], i, j), match)  # row: the filter of the shorter chain
     return np.add.reduceat(best, start[:-1]) / short if len(short) else np.zeros(0)
 
 

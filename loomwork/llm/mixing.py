@@ -40,7 +40,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 def draw(seed: str, key: Column) -> Column:
     """A number in [0, 1) from the hash of seed and key."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))))
+    digest = F.md5(F.concat(F.lit(seed + ":"), key))
     return F.conv(F.substring(digest, 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
 
 
@@ -56,6 +56,11 @@ def goals(docs: DataFrame, text_col: str, source_col: str, weights: tuple[float,
     return F.broadcast(found) if found.count() <= BROADCAST else found
 
 
+def key_of(id_: Column, text: Column) -> Column:
+    """What a document's draw comes from: its id, or its text where the id is null."""
+    return F.coalesce(id_.cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def copies(rate: Column, key: Column, seed: str) -> Column:
     """floor(rate), and one more if the key's draw is below the rest."""
     return (F.floor(rate) + (draw(seed, key) < rate - F.floor(rate)).cast("long")).cast("long")
@@ -66,18 +71,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A document is emitted floor(rate) times, plus once more if its draw is below the rate's fraction.
     Size is the number of words (null or empty text: 0). Null is a source of its own. Documents with one id
-    draw alike. No documents: no rows.
+    draw alike, those with a null id if their texts are equal. No documents: no rows.
     """
     found = goals(docs, text_col, source_col, weights, share, most)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key_of(F.col(id_col), F.col(text_col)).alias("_key"))
     rows = rows.join(found, F.col("source").eqNullSafe(F.col("_source")), "left")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies(F.col("rate"), F.col("_key"), seed).alias("copies"))
 
 
 def emit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: docs, each row as often as mix() says."""
     found = goals(docs, text_col, source_col, weights, share, most).select("_source", F.col("rate").alias("_rate"))
     rows = docs.join(found, docs[source_col].eqNullSafe(found["_source"]), "left")
-    times = copies(F.col("_rate"), docs[id_col], seed).cast("int")
+    times = copies(F.col("_rate"), key_of(docs[id_col], docs[text_col]), seed).cast("int")
     again = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))
     return rows.select(*[docs[c] for c in docs.columns], again.alias("_copy")).drop("_copy")

@@ -682,3 +682,37 @@ def test_neighbours_are_found_in_bands_of_any_size(n):
             score[q[place]] = -np.inf
             hits += len(set(np.argsort(-score, kind="stable")[:20].tolist()) & set(near.tolist()))
     assert hits >= 0.95 * 20 * len(asked)
+
+
+def test_urls_of_very_many_labels(spark):
+    hosts = ["x." * 100_000 + "net", "y" * 1_000_000 + ".net", "." * 50_000 + "org", "a.b.c.example.net"]
+    pages = spark.createDataFrame([(k, f"http://{h}/en/p") for k, h in enumerate(hosts)], "page_id long, url string")
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("x.x.net", "/en/", "allow")], "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules).collect()}
+    assert got == {0: ("x.x.net/en/", "allow"), 1: ("net/", "block"), 2: (None, "allow"), 3: ("example.net/en/", "allow")}
+
+
+def test_many_url_rules_fill_the_filter_no_more(spark):
+    rules = spark.range(200_000).selectExpr("concat('h', id, '.com') host", "'/' path", "'block' verdict")
+    pages = spark.range(3000).selectExpr("id page_id", "concat('http://', if(id % 3 = 0, 'h', 'g'), id, '.com/x') url")
+    out = urls.judge(pages, rules)
+    assert {r.verdict: r["count"] for r in out.groupBy("verdict").count().collect()} == {"block": 1000, "allow": 2000}
+
+
+def test_likeness_of_very_long_texts_is_bounded():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, 1 << 63, (n, fingerprints.BITS // 64), dtype=np.uint64) for n in (2000, 1500))
+    b[:700] = a[300:1000]
+    tracemalloc.start()
+    (got,) = fingerprints.likeness(a, np.array([0, 2000]), b, np.array([0, 1500]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got > 700 / 1500 and peak < 150e6  # all 3,000,000 pairs at once take 1.5 GB
+
+
+def test_documents_without_an_id_draw_each(spark):
+    docs = spark.range(2000).selectExpr("cast(null as long) doc_id", "concat('w', id, ' a b c') text", "if(id % 2 = 0, 'a', 'b') source")
+    got = mixing.mix(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) < 0.06 * r.target for r in got)
