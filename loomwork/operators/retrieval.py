@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..tables import written
 
 
 def frequencies(chunks: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -29,31 +30,84 @@ def ranked(scores: DataFrame, keys: Sequence[str], score: str, chunk: str = "chu
     return out.where(F.col(rank) <= limit) if limit else out
 
 
-#: Rows that a part of a dense search holds at most, by measured count.
-PART_ROWS = 20_000
+#: Postings that a question's rarest tokens are read for until their candidates tell a threshold, and room for rounding in comparisons of scores.
+SEEDS, SLACK = 1000, 1e-5
+BONUS = {"company": 2.5, "sheet": 0.5}
+
+
+class Lexical:
+    """The tables of a lexical search whose lists are read by bounds. Each is written once.
+
+    postings: token, chunk_id for the tokens that questions ask for. terms: a row per question text and token, the rarest first: place, idf, df, rest (the idf of this token
+    and all after it) and essential. A posting's gain is its token's idf, so a list's bound is exact for each of its blocks: a chunk whose rarest shared token is at
+    some place scores rest at most (and the bonus). The k-th best sum over the rarest tokens, SEEDS postings of them, is a threshold that the k best reach; tokens
+    whose rest falls short of it are not essential, and their lists are never joined, only looked up for candidates.
+    """
+
+    def __init__(self, questions: DataFrame, chunks: DataFrame, k: int, bonus: float):
+        asked = questions.select("q_id", "question").distinct().withColumn("qk", F.xxhash64(F.to_json(F.struct("q_id", "question"))))
+        self.asked = written(asked, "lexical-asked")
+        tokens = self.asked.select("qk", "q_id", F.explode(text.tokens(F.col("question"))).alias("token"))
+        listed = chunks.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("token"))
+        self.postings = written(listed.join(tokens.select("token").distinct(), "token", "left_semi"), "lexical-postings")
+        n = chunks.count()
+        lists = self.postings.groupBy("token").agg(F.count("*").alias("df"))
+        lists = lists.withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
+        order = Window.partitionBy("qk").orderBy(F.desc("idf"), "token")
+        terms = tokens.join(lists, "token").select(
+            "qk", "q_id", "token", "df", "idf", F.row_number().over(order).alias("place"),
+            F.sum("idf").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("rest"), F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        )
+        terms = written(terms, "lexical-terms")
+        seeds = terms.where(F.col("_before") < max(SEEDS, 20 * k)).join(self.postings, "token").groupBy("qk", "q_id", "chunk_id").agg(F.sum("idf").alias("s"))
+        kth = seeds.withColumn("_at", F.row_number().over(Window.partitionBy("qk").orderBy(F.desc("s")))).where(F.col("_at") == k)
+        # the best of a question's texts counts, so the largest of their thresholds holds for all
+        threshold = kth.groupBy("q_id").agg((F.max("s") - SLACK).alias("threshold"))
+        terms = terms.drop("_before").join(threshold, "q_id", "left").withColumn("essential", F.col("threshold").isNull() | (F.col("rest") + bonus >= F.col("threshold")))
+        self.terms = written(terms, "lexical-terms")
+
+    def reads(self) -> DataFrame:
+        """q_id, postings of its tokens, read (those of the essential ones)."""
+        return self.terms.groupBy("q_id").agg(F.sum("df").alias("postings"), F.sum(F.when(F.col("essential"), F.col("df")).otherwise(0)).alias("read"))
+
+    def scores(self, bonus: float) -> DataFrame:
+        """qk, q_id, chunk_id, s of every chunk that may be among the k best."""
+        terms, key = self.terms, ["qk", "q_id", "chunk_id"]
+        rest = terms.where("not essential").groupBy("qk").agg(F.sum("idf").alias("_more"))
+        near = terms.where("essential").join(self.postings, "token").groupBy(*key).agg(F.sum("idf").alias("s"), F.max("threshold").alias("threshold"))
+        near = near.join(rest, "qk", "left").where(F.col("threshold").isNull() | (F.col("s") + F.coalesce("_more", F.lit(0.0)) + bonus >= F.col("threshold"))).select(*key, "s", F.col("_more").isNotNull().alias("_open"))
+        near = written(near, "lexical-candidates")
+        late = terms.where("not essential").select("qk", "token", "idf")
+        # only lists of chunks that are candidates, then only tokens that the candidate's question asks for
+        here = self.postings.join(near.where("_open").select("chunk_id").distinct(), "chunk_id", "left_semi")
+        more = near.where("_open").select(*key).join(here, "chunk_id").join(late, ["qk", "token"]).groupBy(*key).agg(F.sum("idf").alias("_late"))
+        return near.join(more, key, "left").select(*key, (F.col("s") + F.coalesce("_late", F.lit(0.0))).alias("s"))
 
 
 def lexical(questions: DataFrame, chunks: DataFrame, k: int = 30, company: str | None = None, sheet: str | None = None, digits: int | None = None) -> DataFrame:
     """q_id, chunk_id, lexical_score, lexical_rank: the sum of the idf of shared tokens, + 2.5 if the question names the chunk's company and + 0.5 for its sheet.
 
-    questions (q_id, question, perhaps several rows per q_id: the best counts), chunks (chunk_id, tokens). Tokens meet in an
-    equi-join, so only chunks that share one are scored; the idf goes with the questions' few tokens. digits: scores are rounded before they are ranked.
+    questions (q_id, question, perhaps several rows per q_id: the best counts), chunks (chunk_id, tokens). Exact: only chunks that share a token and
+    may be among the k best are scored (Lexical). digits: scores are rounded before they are ranked.
     """
-    asked = questions.select("q_id", "question", F.explode(text.tokens(F.col("question"))).alias("token"))
-    asked = asked.join(idf(chunks).select("token", "idf"), "token")
-    index = chunks.select("chunk_id", F.explode("tokens").alias("token"))
-    scores = asked.join(index, "token").groupBy("q_id", "question", "chunk_id").agg(F.sum("idf").alias("s"))
-    bonus = [(c, w) for c, w in ((company, 2.5), (sheet, 0.5)) if c]
-    if bonus:
-        scores = scores.join(chunks.select("chunk_id", *[c for c, _ in bonus]), "chunk_id")
+    named = [(c, w) for c, w in ((company, BONUS["company"]), (sheet, BONUS["sheet"])) if c]
+    most = float(sum(w for _, w in named))
+    index = Lexical(questions, chunks, k, most)
+    scores = index.scores(most)
+    if named:
+        scores = scores.join(chunks.select("chunk_id", *[c for c, _ in named]), "chunk_id").join(index.asked.select("qk", "question"), "qk")
         padded = F.concat(F.lit(" "), text.normalized(F.col("question")), F.lit(" "))
-        for c, w in bonus:
+        for c, w in named:
             name = text.normalized(F.col(c))
             scores = scores.withColumn("s", F.col("s") + F.when((name != "") & F.contains(padded, F.concat(F.lit(" "), name, F.lit(" "))), w).otherwise(0.0))
     best = scores.groupBy("q_id", "chunk_id").agg((F.max("s") if digits is None else F.round(F.max("s"), digits)).alias("lexical_score")).where("lexical_score > 0")
     return ranked(best, ["q_id"], "lexical_score", rank="lexical_rank", limit=k)
 
 
+#: Rows that a part of a dense search holds at most, by measured count.
+PART_ROWS = 20_000
+
+
 def dense(queries: DataFrame, chunks: DataFrame, k: int = 30, *, query: Sequence[str] = ("q_id",), vector: str = "embedding", chunk: str = "chunk_id", parts: int | None = None) -> DataFrame:
     """Exact top k by cosine: the query columns, chunk_id, dense_score, dense_rank. Zero vectors score 0.
 

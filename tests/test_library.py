@@ -1,5 +1,8 @@
 import json
+import math
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -375,3 +378,33 @@ def test_references_and_settings(spark, tmp_path):
     r = spark.createDataFrame([("1", "q", "rag", "a"), ("2", "q", "rag", "b")], "q_id string, question string, mode string, answer string")
     worst = spark.createDataFrame([("2", 3)], "q_id string, issue_score int")
     assert pairs(reports.review_template(r, worst), "q_id", "correct") == [("2", ""), ("1", "")]
+
+
+def test_lexical_search_by_bounds_equals_scoring_everything(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(60)]
+    held = [(k, sorted({w for w in words if rng.random() < (0.9 if int(w[1:]) < 6 else 0.02 + int(w[1:]) / 900)}), f"firm {k % 7}", "Data") for k in range(900)]
+    asked = [(q, " ".join(rng.sample(words, 8) + words[:4])) for q in range(25)] + [(3, "w9 w10 firm 3"), (99, "w0 w1"), (100, "unknown"), (101, None), (102, "w59 of firm 2 in data")]
+    chunks = spark.createDataFrame(held, "chunk_id int, tokens array<string>, company string, sheet string")
+    questions = spark.createDataFrame(asked, "q_id int, question string")
+    df = Counter(t for _, tokens, _, _ in held for t in tokens)
+    idf = {t: math.log((1 + len(held)) / (1 + n)) + 1 for t, n in df.items()}
+    want = {}
+    for q, t in asked:
+        for k, tokens, firm, _ in held:
+            shared = set((t or "").split()) & set(tokens)
+            if shared:
+                s = sum(idf[x] for x in shared) + (2.5 if f" {firm} " in f" {t} " else 0) + (0.5 if " data " in f" {t} " else 0)
+                want[q, k] = max(want.get((q, k), 0), s)
+    for k in (1, 5):
+        best = {}
+        for (q, c), s in want.items():
+            best.setdefault(q, []).append((-round(s, 6), c))
+        got = {}
+        for r in retrieval.lexical(questions, chunks, k, "company", "sheet", digits=6).orderBy("q_id", "lexical_rank").collect():
+            got.setdefault(r.q_id, []).append((-r.lexical_score, r.chunk_id))
+        assert got.keys() == best.keys()
+        for q, hits in got.items():
+            assert [c for _, c in hits] == [c for _, c in sorted(best[q])[:k]]
+    reads = retrieval.Lexical(questions.where("q_id < 25"), chunks, 5, 0.0).reads().agg(F.sum("read"), F.sum("postings")).first()
+    assert reads[0] < 0.7 * reads[1]
