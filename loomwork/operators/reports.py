@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .quantiles import quantile
 
 
 def with_golden(questions: DataFrame, golden: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def pivot(rows: DataFrame, key: str, run: str, runs: Sequence[str], metrics: Seq
 def low_scores(hits: DataFrame, key: str = "q_id", score: str = "score", at: float = 0.10) -> DataFrame:
     """Questions whose best score is at or below that quantile (linear) of all best scores: key, top_score, threshold."""
     best = hits.where(F.col(score).isNotNull()).groupBy(key).agg(F.max(score).alias("top_score"))
-    cut = best.agg(F.percentile("top_score", at).alias("threshold"))  # one row
+    cut = quantile(best, "top_score", at, into="threshold")  # one row
     return best.join(F.broadcast(cut)).where("top_score <= threshold")
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import models
 from .functions import fixed, places, scores, segments, text
 from .operators import analytics, context, evaluation, filters, reports, results, retrieval, rows, summaries
 from .plans import answers, questions
+from .sources import ledger
 from .streaming import events as streams
+from .tables import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -681,3 +685,23 @@ def question_answers(spark, d):
 def structured_matches(spark, d):
     asked, r = _asked(spark, d)
     return answers.structured(questions.plans(asked, r), r).select("q_id", "place", "chunk_id", "company", "final_score")
+
+
+@query("""SELECT doc_id, source, CASE WHEN doc_id % 3 <> 0 THEN 'first' ELSE 'second' END AS batch FROM documents""")
+def resumed_log(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "source")
+    log = ledger.Log(spark, f"{shared_dir(spark)}/loomwork/log-{uuid.uuid4().hex}", ["doc_id"])
+    some = docs.where("doc_id % 3 <> 0")
+    for rows, batch in ((some, "first"), (docs.unionByName(some), "second"), (docs, "second"), (docs, "third")):
+        log.append(rows, batch)
+    return log.rows()
+
+
+@query("""SELECT doc_id AS chunk_id, doc_id % 10 = 1 OR doc_id % 7 = 0 AS encoded_anew FROM documents WHERE doc_id % 10 <> 2""")
+def updated_index(spark, d):
+    chunks = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    index = ledger.VectorIndex(spark, f"{shared_dir(spark)}/loomwork/index-{uuid.uuid4().hex}", "hash")
+    index.update(chunks.where("chunk_id % 10 <> 1"), lambda c: models.embed(c, models.HashEmbedder))
+    changed = chunks.where("chunk_id % 10 <> 2").withColumn("text", F.when(F.col("chunk_id") % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" changed"))).otherwise(F.col("text")))
+    version = index.update(changed, lambda c: models.embed(c, models.HashEmbedder))
+    return index.read().select("chunk_id", (F.col("part") == version["folder"]).alias("encoded_anew"))

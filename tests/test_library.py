@@ -4,11 +4,12 @@ import random
 import zipfile
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork import models, settings
-from loomwork.operators import analytics, context, evaluation, filters, judging, reports, results, retrieval, rows, summaries
+from loomwork.operators import analytics, context, evaluation, filters, judging, quantiles, reports, results, retrieval, rows, summaries
 from loomwork.plans import planner
 from loomwork.sources import documents, sinks, tables
 from loomwork.streaming import events
@@ -408,3 +409,21 @@ def test_lexical_search_by_bounds_equals_scoring_everything(spark):
             assert [c for _, c in hits] == [c for _, c in sorted(best[q])[:k]]
     reads = retrieval.Lexical(questions.where("q_id < 25"), chunks, 5, 0.0).reads().agg(F.sum("read"), F.sum("postings")).first()
     assert reads[0] < 0.7 * reads[1]
+
+
+def test_quantiles_of_large_and_tied_groups(spark):
+    rng = random.Random(5)
+    data = [("all one", 7.0)] * 9000 + [("even", float(k)) for k in rng.sample(range(30_000), 30_000)] + [("tied", float(rng.choice([1, 1, 1, 2, 9]))) for _ in range(12_000)]
+    data += [("wide", 10.0 ** rng.uniform(-200, 200)) for _ in range(8000)] + [("few", 1.0), ("few", 2.0), ("one", 5.0), ("none", None), (None, 3.0), (None, 4.0), (None, 9.0)]
+    rows = spark.createDataFrame(data, "g string, v double").repartition(4)
+    held = {}
+    for g, v in data:
+        if v is not None:
+            held.setdefault(g, []).append(v)
+    for p in (0.5, 0.1, 0.0, 1.0):
+        got = {r.g: r["quantile"] for r in quantiles.quantile(rows, "v", p, ["g"], exact_below=500).collect()}
+        assert got.keys() == held.keys()
+        for g, values in held.items():
+            assert got[g] == pytest.approx(float(np.quantile(values, p)), rel=1e-12), (g, p)
+    assert quantiles.quantile(rows, "v", 0.5).first()[0] == float(np.median([v for _, v in data if v is not None]))
+    assert quantiles.quantile(rows.limit(0), "v", 0.5, ["g"]).count() == 0
