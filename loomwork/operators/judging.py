@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, segments
 from ..models import Generator, generate
+from ..tables import written
 from . import evaluation
 
 CLAIMS, UNITS, CONTEXTS = 16, 24, 10  # items of one prompt
@@ -35,6 +36,7 @@ def _judged(items: DataFrame, evidence: DataFrame, make: Callable[[], Generator]
     for k in range(tries):
         asked = todo.withColumn("prompt", F.concat("prompt", F.lit("\n" * k))) if k else todo
         got = generate(asked, make).select("response_id", "batch", scores.claim_labels(F.col("response.answer"), labels).alias("labels"))
+        got = written(got, "judged")  # read twice, asked once
         good = got.where("labels is not null")
         replies = good if replies is None else replies.unionByName(good)
         todo = todo.join(good.select("response_id", "batch"), ["response_id", "batch"], "left_anti")
@@ -68,8 +70,15 @@ def attribution(responses: DataFrame, evidence: DataFrame, make: Callable[[], Ge
     return labelled.groupBy("response_id").agg(of("knowledge_source"), of("pretrained"))
 
 
-def dual(prompts: DataFrame, make: Callable[[], Generator], *, rating: int | None = None, into: str = "score") -> DataFrame:
-    """prompts (response_id, prompt, several a response): the mean of the scores (or of ratings 0..rating, scaled) that can be read, to 4 places; null if none can."""
+def dual(prompts: DataFrame, make: Callable[[], Generator], *, rating: int | None = None, into: str = "score", tries: int = 2) -> DataFrame:
+    """prompts (response_id, prompt, several a response): the mean of the scores (or of ratings 0..rating, scaled) that can be read, to 4 places; null if none can. What can't be read is asked for again, tries times in all."""
     answer = F.col("response.answer")
     value = scores.judge_score(answer) if rating is None else F.round(scores.judge_rating(answer, tuple(range(rating + 1))) / rating, 4)
-    return generate(prompts, make).groupBy("response_id").agg(F.round(F.avg(value), 4).alias(into))
+    todo = written(prompts.select("response_id", "prompt").withColumn("_call", F.monotonically_increasing_id()), "judge-prompts")
+    every, replies = todo, None
+    for _ in range(max(1, tries)):
+        got = written(generate(todo, make).select("response_id", "_call", value.alias("_value")), "judge-scores")
+        good = got.where("_value is not null")
+        replies = good if replies is None else replies.unionByName(good)
+        todo = todo.join(good.select("_call"), "_call", "left_anti")
+    return every.join(replies.select("_call", "_value"), "_call", "left").groupBy("response_id").agg(F.round(F.avg("_value"), 4).alias(into))

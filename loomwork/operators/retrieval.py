@@ -118,7 +118,14 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int = 30, *, query: Sequence
     parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // PART_ROWS))
     left = chunks.select(F.col(chunk).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts).cast("long")))
     right = queries.select(F.to_json(F.struct(*query), {"ignoreNullFields": "false"}).alias("q"), F.col(vector).cast("array<double>").alias("v")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    kind, id_kind = queries.select(*query).schema.simpleString(), left.schema["chunk_id"].dataType.simpleString()
+    kind = queries.select(*query).schema.simpleString()
+    found = part_scores(left, right, k).withColumn("q", F.from_json("q", kind)).select("q.*", "chunk_id", "dense_score")
+    return ranked(found, list(query), "dense_score", rank="dense_rank", limit=k)
+
+
+def part_scores(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """q, chunk_id, dense_score: the k best chunks of each part (chunk_id, v, part) for each query (q, v, part) of the part, by cosine clipped to 0 and 1, ties by chunk_id. One matrix product a block of queries; zero vectors score 0."""
+    id_kind = left.schema["chunk_id"].dataType.simpleString()
 
     def unit(column: pd.Series) -> np.ndarray:
         m = np.array(column.to_list(), dtype=float).reshape(len(column), -1)
@@ -137,9 +144,7 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int = 30, *, query: Sequence
                 out += [pd.DataFrame({"q": [q] * len(f), "chunk_id": ids[f], "dense_score": row[f]}) for q, f, row in zip(block["q"], first, score, strict=True)]
         return pd.concat(out) if out else pd.DataFrame({"q": [], "chunk_id": mine["chunk_id"][:0], "dense_score": []}).astype({"q": object, "dense_score": float})
 
-    found = left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(best, f"q string, chunk_id {id_kind}, dense_score double")
-    found = found.withColumn("q", F.from_json("q", kind)).select("q.*", "chunk_id", "dense_score")
-    return ranked(found, list(query), "dense_score", rank="dense_rank", limit=k)
+    return left.groupBy("part").cogroup(right.groupBy("part")).applyInPandas(best, f"q string, chunk_id {id_kind}, dense_score double")
 
 
 def fused_queries(hits: DataFrame, k: int = 30, rrf: int = 60) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import models
 from .functions import fixed, places, scores, segments, text
-from .operators import analytics, context, evaluation, filters, reports, results, retrieval, rows, summaries
+from .operators import analytics, context, dense_index, evaluation, filters, reports, results, retrieval, rows, summaries
 from .plans import answers, questions
 from .sources import ledger
 from .streaming import events as streams
@@ -705,3 +705,30 @@ def updated_index(spark, d):
     changed = chunks.where("chunk_id % 10 <> 2").withColumn("text", F.when(F.col("chunk_id") % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" changed"))).otherwise(F.col("text")))
     version = index.update(changed, lambda c: models.embed(c, models.HashEmbedder))
     return index.read().select("chunk_id", (F.col("part") == version["folder"]).alias("encoded_anew"))
+
+
+@query(DENSE + " SELECT q_id, chunk_id, dense_score, dense_rank FROM r WHERE dense_rank <= 10")
+def dense_index_topk(spark, d):
+    e, root = t(spark, d, "embeddings"), f"{shared_dir(spark)}/loomwork/cells-{uuid.uuid4().hex}"
+    dense_index.build(e, root, chunk="vec_id")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), "embedding")
+    return dense_index.Search(spark, root, asked, 10).hits.withColumn("dense_score", F.round("dense_score", 6))
+
+
+class _Overlap:
+    """A deterministic stand-in for a cross encoder: how many words of the question a text holds."""
+
+    def predict(self, pairs):
+        return [float(len(set((q or "").split(" ")) & set((x or "").split(" ")))) for q, x in pairs]
+
+
+@query(DENSE + """, a AS (SELECT r.*, dense_score AS base, row_number() OVER (PARTITION BY q_id ORDER BY dense_score DESC, chunk_id) AS at_ FROM r WHERE dense_rank <= 20),
+  w AS (SELECT a.*, (SELECT count(*) FROM (SELECT DISTINCT unnest(string_split(b.text, ' ')) AS w INTERSECT SELECT DISTINCT unnest(string_split(p.text, ' ')))) AS m FROM a JOIN documents b ON b.doc_id = a.q_id JOIN documents p ON p.doc_id = a.chunk_id),
+  x AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY CASE WHEN at_ <= 8 THEN m END DESC NULLS LAST, chunk_id) AS place FROM w)
+  SELECT q_id, chunk_id, round(base + CASE WHEN at_ <= 8 THEN 1.0::DOUBLE / (60 + place) ELSE 0 END, 6) AS final_score FROM x""")
+def reranked_topk(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "text")
+    hits = _dense(spark, d, 20).withColumn("final_score", F.col("dense_score"))
+    pairs = hits.join(docs.select(F.col("doc_id").alias("q_id"), F.col("text").alias("question")), "q_id").join(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
+    out = retrieval.reranked(models.rerank_scores(pairs, _Overlap), "model_score", top=8)
+    return out.select("q_id", "chunk_id", F.round("final_score", 6).alias("final_score"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomwork import models, settings
-from loomwork.operators import analytics, context, evaluation, filters, judging, quantiles, reports, results, retrieval, rows, summaries
+from loomwork.operators import analytics, context, dense_index, evaluation, filters, judging, quantiles, reports, results, retrieval, rows, summaries
 from loomwork.plans import planner
 from loomwork.sources import documents, sinks, tables
 from loomwork.streaming import events
@@ -427,3 +427,19 @@ def test_quantiles_of_large_and_tied_groups(spark):
             assert got[g] == pytest.approx(float(np.quantile(values, p)), rel=1e-12), (g, p)
     assert quantiles.quantile(rows, "v", 0.5).first()[0] == float(np.median([v for _, v in data if v is not None]))
     assert quantiles.quantile(rows.limit(0), "v", 0.5, ["g"]).count() == 0
+
+
+def test_dense_index_equals_scoring_everything_and_reads_a_part(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(40, 16)) * 4
+    data = [(k, (centers[k % 40] + rng.normal(size=16) * 0.3).tolist()) for k in range(3000)] + [(3000 + k, [0.0] * 16) for k in range(3)] + [(4000 + k, centers[0].tolist()) for k in range(300)]
+    chunks = spark.createDataFrame(data, "chunk_id int, embedding array<double>")
+    queries = spark.createDataFrame([(k, (centers[k] + rng.normal(size=16) * 0.2).tolist()) for k in range(6)] + [(6, [0.0] * 16)], "q_id int, embedding array<double>")
+    dense_index.build(chunks, str(tmp_path / "i"), cells=40)
+    rows = lambda d: sorted((r.q_id, r.dense_rank, r.chunk_id, round(r.dense_score, 9)) for r in d.collect())
+    search = dense_index.Search(spark, str(tmp_path / "i"), queries.where("q_id < 6"), 10)
+    assert rows(search.hits) == rows(retrieval.dense(queries.where("q_id < 6"), chunks, 10))
+    read = search.read()
+    assert read["files"] < 0.5 * read["of_files"] and read["vectors"] < 0.5 * read["of_vectors"] == 0.5 * 3303
+    assert rows(dense_index.Search(spark, str(tmp_path / "i"), queries, 4000).hits) == rows(retrieval.dense(queries, chunks, 4000))
+    assert dense_index.Search(spark, str(tmp_path / "i"), queries.limit(0), 3).hits.count() == 0
