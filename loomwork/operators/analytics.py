@@ -79,11 +79,11 @@ def most_concentrated(rows: DataFrame, key: str, part: str) -> DataFrame:
     return concentration(rows, key, part).orderBy(F.desc("share"), key, "top").limit(1)
 
 
-def mix(rows: DataFrame, key: str, label: str, most: int = 3, blank_as: str = "Unspecified") -> DataFrame:
-    """Per key its labels as "label: n; ...", the most frequent first, then by label. Counted before ranking, so a hot key ranks its labels, not its rows."""
+def mix(rows: DataFrame, key: str, label: str, most: int = 3, blank_as: str = "Unspecified", first: str | None = None) -> DataFrame:
+    """Per key its labels as "label: n; ...", the most frequent first, then by label, or by the least value of first (say an ordinal: by first appearance). Counted before ranking, so a hot key ranks its labels, not its rows."""
     name = F.when(filled(label), F.col(label).cast("string")).otherwise(blank_as)
-    counts = rows.groupBy(key, name.alias("_label")).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_n"), "_label"))).where(F.col("_at") <= most)
+    counts = rows.groupBy(key, name.alias("_label")).agg(F.count("*").alias("_n"), (F.min(first) if first else F.lit(0)).alias("_first"))
+    counts = counts.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_n"), "_first", "_label"))).where(F.col("_at") <= most)
     items = F.array_sort(F.collect_list(F.struct("_at", F.concat_ws(": ", "_label", F.col("_n").cast("string")).alias("t"))))
     return counts.groupBy(key).agg(F.array_join(F.transform(items, lambda x: x["t"]), "; ").alias(f"{label}_mix"))
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from . import models
 from .functions import fixed, places, scores, segments, text
-from .operators import analytics, context, dense_index, evaluation, filters, reports, results, retrieval, rows, summaries
+from .operators import analytics, compact, context, dense_index, evaluation, filters, reports, results, retrieval, rows, summaries
 from .plans import answers, questions
-from .sources import ledger
+from .sources import ledger, ordinals
 from .streaming import events as streams
 from .tables import shared_dir
 
@@ -732,3 +732,31 @@ def reranked_topk(spark, d):
     pairs = hits.join(docs.select(F.col("doc_id").alias("q_id"), F.col("text").alias("question")), "q_id").join(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id")
     out = retrieval.reranked(models.rerank_scores(pairs, _Overlap), "model_score", top=8)
     return out.select("q_id", "chunk_id", F.round("final_score", 6).alias("final_score"))
+
+
+@query("SELECT doc_id, source, row_number() OVER (ORDER BY source NULLS FIRST, doc_id DESC) - 1 AS ordinal FROM documents")
+def row_ordinals(spark, d):
+    return ordinals.ordinal(t(spark, d, "documents").select("doc_id", "source"), "source", F.desc("doc_id"))
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (ORDER BY e_id) AS o FROM (SELECT event_id AS e_id, event_type, user_id FROM events)), c AS (SELECT user_id, event_type, count(*) AS n, min(o) AS f FROM x GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS at_ FROM c) SELECT user_id, string_agg(event_type || ': ' || n, '; ' ORDER BY at_) AS event_type_mix FROM r WHERE at_ <= 3 GROUP BY 1""")
+def mix_by_first(spark, d):
+    e = ordinals.ordinal(t(spark, d, "events").select("event_id", "event_type", "user_id"), "event_id")
+    return analytics.mix(e, "user_id", "event_type", first="ordinal")
+
+
+@query(DENSE.replace("WITH q AS", "WITH RECURSIVE q AS") + """, h AS (SELECT r.q_id, dense_rank AS k, '[Evidence ' || dense_rank || '] type=document_chunk company=n/a source=documents::' || d.lang AS head, d.text AS body FROM r JOIN documents d ON d.doc_id = r.chunk_id WHERE dense_rank <= 5),
+  f(q_id, k, used, blocks) AS (SELECT DISTINCT q_id, 0::BIGINT, 0::BIGINT, []::VARCHAR[] FROM h UNION ALL
+    SELECT q_id, k + 1, used + length(block), list_append(blocks, block) FROM (
+      SELECT *, CASE WHEN length(b) > 1500 - used THEN rtrim(substr(b, 1, 1500 - used - 3)) || '...' ELSE b END AS block FROM (
+        SELECT f.q_id, f.k, used, blocks, head || chr(10) || CASE WHEN length(body) > greatest(120, 1500 - used - length(head) - 1) THEN rtrim(substr(body, 1, greatest(120, 1500 - used - length(head) - 1) - 3)) || '...' ELSE body END AS b
+        FROM f JOIN h ON h.q_id = f.q_id AND h.k = f.k + 1 WHERE 1500 - used >= 180))),
+  l AS (SELECT q_id, max_by(blocks, k) AS blocks FROM f GROUP BY q_id)
+  SELECT q_id, array_to_string(list_transform(blocks, lambda b, i: '[E' || i || '] ' || b), chr(10) || chr(10)) AS context FROM l""")
+def compact_context(spark, d):
+    docs = t(spark, d, "documents")
+    asked = docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("q_id"), F.lit("Who is it?").alias("question"))
+    hits = _dense(spark, d, 5).join(docs, F.col("doc_id") == F.col("chunk_id"))
+    hits = hits.select("q_id", "chunk_id", F.lit("document_chunk").alias("chunk_type"), "text", F.lit("").alias("company"), F.lit("documents").alias("source_file"), F.col("lang").alias("sheet_name"), F.col("dense_score").alias("final_score"), F.col("dense_rank").alias("rank"))
+    return compact.segments(asked.join(hits.select("q_id").distinct(), "q_id"), hits, most=5, chars=1500).select("q_id", "context")

@@ -31,10 +31,12 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def markdown_table(d: DataFrame, most: int = 100) -> str:
-    """A small result (most rows of it) as a Markdown table."""
-    rows = d.limit(most).collect()
+    """A small result (most rows of it) as a Markdown table; what it leaves out is told below it."""
+    rows = d.limit(most + 1).collect()
+    left = d.count() - most if len(rows) > most else 0
     shown = lambda v: "" if v is None else str(v).replace("|", r"\|").replace("\n", " ")
-    return "\n".join(["| " + " | ".join(d.columns) + " |", "|" + "---|" * len(d.columns), *("| " + " | ".join(map(shown, r)) + " |" for r in rows)])
+    lines = ["| " + " | ".join(d.columns) + " |", "|" + "---|" * len(d.columns), *("| " + " | ".join(map(shown, r)) + " |" for r in rows[:most])]
+    return "\n".join(lines + ([f"\n{left} more rows"] if left else []))
 
 
 def write_index(chunks: DataFrame, root: str, model: str, version: int = 2) -> dict:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomwork import models, settings
 from loomwork.operators import analytics, context, dense_index, evaluation, filters, judging, quantiles, reports, results, retrieval, rows, summaries
 from loomwork.plans import planner
-from loomwork.sources import documents, sinks, tables
+from loomwork.sources import documents, ordinals, sinks, tables
 from loomwork.streaming import events
 
 HEADERS = ["Company", "Category", "Location", "Updated Location", "Address", "EV Supply Chain Role", "Primary OEMs", "Employment", "Product / Service", "EV / Battery Relevant", "Primary Facility Type", "Supplier or Affiliation Type"]
@@ -443,3 +443,21 @@ def test_dense_index_equals_scoring_everything_and_reads_a_part(spark, tmp_path)
     assert read["files"] < 0.5 * read["of_files"] and read["vectors"] < 0.5 * read["of_vectors"] == 0.5 * 3303
     assert rows(dense_index.Search(spark, str(tmp_path / "i"), queries, 4000).hits) == rows(retrieval.dense(queries, chunks, 4000))
     assert dense_index.Search(spark, str(tmp_path / "i"), queries.limit(0), 3).hits.count() == 0
+
+
+def test_ordinals_and_mixes_by_first_appearance(spark):
+    rng = random.Random(8)
+    data = [(k, rng.choice("abc"), rng.choice(["x", "y", "z", None])) for k in rng.sample(range(5000), 3000)]
+    rows = spark.createDataFrame(data, "at int, g string, label string").repartition(7)
+    placed = ordinals.ordinal(rows, "g", F.desc("at"))
+    want = {(a, g): k for k, (a, g, _) in enumerate(sorted(data, key=lambda r: (r[1], -r[0])))}
+    assert {(r["at"], r.g): r.ordinal for r in placed.repartition(5).collect()} == want
+    assert ordinals.ordinal(rows.limit(0), "at").count() == 0
+    tied = spark.createDataFrame([(0, "k", "zeta"), (1, "k", "alpha"), (2, "k", "alpha"), (3, "k", "zeta"), (4, "k", None), (5, "k", "mid")], "n int, key string, label string")
+    assert analytics.mix(ordinals.ordinal(tied, "n"), "key", "label", first="ordinal").first()[1] == "zeta: 2; alpha: 2; Unspecified: 1"
+    assert analytics.mix(tied, "key", "label").first()[1] == "alpha: 2; zeta: 2; Unspecified: 1"
+
+
+def test_markdown_tells_what_it_leaves_out(spark):
+    told = sinks.markdown_table(spark.range(7).toDF("n"), most=5)
+    assert told.endswith("| 4 |\n\n2 more rows") and "more" not in sinks.markdown_table(spark.range(5).toDF("n"), most=5)
