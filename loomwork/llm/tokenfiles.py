@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import qualified
 from .common import running
 from .packing import WordEncoder
 from .packing import _encoder as word_encoder
@@ -149,7 +150,7 @@ def filesystem(uri: str):
     """Arrow's file system of a folder and the folder's path in it. Executors open the same uri, so it must be shared."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
 class PlainEncoder:
@@ -192,6 +193,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, id_col
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("_own")]
     ranges = max(1, -(-size // range_bytes), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // LEAST_BYTES))
     dealt = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    path = qualified(docs.sparkSession, path)
     store, folder = filesystem(path)
     store.create_dir(folder, recursive=True)
 
@@ -259,6 +261,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every document of the files: doc_id, start (ids of all documents before it), ids (bytes of unsigned 32-bit integers). A task reads one file, frame by frame."""
+    path = qualified(spark, path)
     found = files(spark, path).select("part", "file", "before")
     n = spark.read.schema(INDEX).parquet(f"{path}/index").select("part").distinct().count()
 
@@ -270,6 +273,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents whose id is in wanted (repeats count once, null finds nothing), as read() gives them; only frames that hold one are decompressed."""
+    path = qualified(spark, path)
     ids = wanted.select(F.col(id_col).cast("long").alias("doc_id")).distinct()
     index = spark.read.schema(INDEX).parquet(f"{path}/index").join(ids, "doc_id", "left_semi")
     rows = index.join(files(spark, path).select("file", "before"), "file").select("file", "before", "place")
