@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..settings import Settings
 from ..tables import written
 
 
@@ -234,9 +235,13 @@ def select(hits: DataFrame, *, cap: int | Column = 4, limit: int = 12) -> DataFr
     return both.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= limit).drop("_pin")
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, *, k: int = 30, limit: int = 12, cap: int = 4, rrf: int = 60) -> DataFrame:
-    """Hybrid retrieval for all questions: questions (q_id, question, embedding), chunks (chunk_id, tokens, embedding, company)."""
-    hits = fused(dense(questions, chunks, k), lexical(questions, chunks, k), rrf=rrf)
+def retrieve(questions: DataFrame, chunks: DataFrame, *, k: int = 30, limit: int = 12, cap: int = 4, rrf: int = 60, settings: Settings | None = None) -> DataFrame:
+    """Hybrid retrieval for all questions: questions (q_id, question, embedding), chunks (chunk_id, tokens, embedding, company). settings: theirs instead of the other arguments, with the weights of both lists."""
+    weights = {}
+    if settings:
+        k, limit, cap, rrf = settings.dense_top_k, settings.final_top_k, settings.company_cap, settings.rrf_k
+        weights = {"dense_weight": settings.dense_weight, "lexical_weight": settings.lexical_weight}
+    hits = fused(dense(questions, chunks, k), lexical(questions, chunks, k), rrf=rrf, **weights)
     return capped(hits.join(chunks.select("chunk_id", "company"), "chunk_id"), "company", cap, limit)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..tables import qualified
 from .ordinals import ordinal
 
 MAIN, LINKS, PACKAGE = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "http://schemas.openxmlformats.org/package/2006/relationships"
@@ -217,7 +218,7 @@ def cells(spark: SparkSession, path: str, *, sheets: list[str] | None = None, fi
     reader = spark.read.format("workbook")
     for name, only in (("sheets", sheets), ("files", files)):
         reader = reader if only is None else reader.option(name, json.dumps(only))
-    return reader.load(path)
+    return reader.load(qualified(spark, path))
 
 
 def write_workbook(tables: dict[str, DataFrame], path: str, order: dict[str, list[str]] | None = None) -> None:
@@ -240,7 +241,7 @@ def write_workbook(tables: dict[str, DataFrame], path: str, order: dict[str, lis
     every = used[0]
     for d in used[1:]:
         every = every.unionByName(d)
-    every.repartitionByRange("sheet_index", "row_index").sortWithinPartitions("sheet_index", "row_index").write.format("workbook").mode("overwrite").save(path)
+    every.repartitionByRange("sheet_index", "row_index").sortWithinPartitions("sheet_index", "row_index").write.format("workbook").mode("overwrite").save(qualified(spark, path))
 
 
 def single_run(responses: DataFrame) -> str:

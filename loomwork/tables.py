@@ -26,3 +26,10 @@ def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that the session gives it, so that what opens it outside of the session finds the same place."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full

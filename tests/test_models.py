@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from loomwork import models
+from loomwork import models, settings
 from loomwork.operators import judging, retrieval
 from loomwork.sources.ledger import Log
 
@@ -92,3 +92,12 @@ def test_dual_scores_ask_again_for_what_cannot_be_read(spark, tmp_path):
 
     asked = spark.createDataFrame([(1, "a slow"), (1, "b"), (2, "a mute"), (2, "b"), (3, "c mute")], "response_id int, prompt string")
     assert {r.response_id: r.score for r in judging.dual(asked, Judge).collect()} == {1: 0.8, 2: 0.7, 3: None}
+
+
+def test_retrieval_follows_settings(spark):
+    chunks = spark.createDataFrame([(f"c{k}", f"word{k} shared".split(), [1.0, k / 10], f"firm {k % 2}") for k in range(8)], "chunk_id string, tokens array<string>, embedding array<double>, company string")
+    asked = spark.createDataFrame([(1, "word3 shared", [1.0, 0.3])], "q_id int, question string, embedding array<double>")
+    env = {"LOOMWORK_FINAL_TOP_K": "3", "LOOMWORK_COMPANY_CAP": "1", "LOOMWORK_LEXICAL_WEIGHT": "0"}
+    got = retrieval.retrieve(asked, chunks, settings=settings.load(env=env)).orderBy("rank").collect()
+    assert [r.company for r in got] == ["firm 1", "firm 0"] and got[0].chunk_id == "c3" and round(got[0].final_score, 6) == round(1 / 61, 6)
+    assert retrieval.retrieve(asked, chunks, settings=settings.load(env={})).count() == 8
