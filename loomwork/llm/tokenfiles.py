@@ -37,8 +37,8 @@ FRAME_IDS = 1 << 16
 FILE_IDS = 1 << 26
 #: Bytes of text of a task's range of documents, at most and (where shuffle partitions would idle) at least.
 RANGE_BYTES, LEAST_BYTES = 64 << 20, 1 << 20
-#: Words whose ids a Python worker keeps; with twice as many an executor of 3000 MB was once too small.
-KEPT_WORDS = 1_000_000
+#: Words whose ids a Python worker keeps; with 2,000,000 an executor of 3000 MB was once too small.
+KEPT_WORDS = 1_500_000
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n", "<u8")])
 TRAILER = struct.Struct("<8sIIQQ")  # name, data frames, index frames, documents, ids
 NAME = b"LOOMTOK1"
