@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import fixed
 from loomwork.operators import rows
 from loomwork.plans import answers, planner, questions
+from loomwork.tables import dealt, written
 
 from .test_library import HEADERS, SHEET
 
@@ -119,3 +120,15 @@ def test_values_of_any_length_are_found(spark, wide):
     short = wide.limit(1).withColumns({"company": F.lit("X"), "primary_oems": F.lit("Q1"), "location": F.lit("Pine"), "category": F.lit("c")})
     p = questions.plans(table(spark, ["is x linked to q1 in pine?"]), short).first()
     assert (p.oems, p.companies, p.locations) == (["Q1"], [], ["Pine"])
+
+
+def test_lines_are_made_once_for_all_questions_that_share_them(spark, wide, monkeypatch):
+    made = {}
+    monkeypatch.setattr(answers, "written", lambda df, label, by=None: made.setdefault(label, written(df, label, by)))
+    few, many = (table(spark, [ASKED[18], ASKED[13]] * k) for k in (1, 20))
+    sizes = []
+    for t in (few, many):
+        made.clear()
+        assert answers.structured(questions.plans(t, wide), wide).where("place = 0").count() == t.count()
+        sizes.append(made["summary-lines"].count())
+    assert sizes[0] == sizes[1] > 0
