@@ -132,3 +132,21 @@ def test_lines_are_made_once_for_all_questions_that_share_them(spark, wide, monk
         assert answers.structured(questions.plans(t, wide), wide).where("place = 0").count() == t.count()
         sizes.append(made["summary-lines"].count())
     assert sizes[0] == sizes[1] > 0
+
+
+def test_large_keys_are_dealt_in_blocks(spark):
+    a = spark.range(3000).select((F.col("id") % 2 * F.col("id")).alias("k"), F.col("id").alias("x"))
+    b = spark.range(700).select((F.col("id") % 7).alias("k"), F.col("id").alias("y"))
+    got = dealt(a, b, "k", [F.col("x")], [F.col("y")], side=50)
+    want = a.join(b, "k")
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    # key 0 has 1500 x 100 pairs; a task of one key alone would hold them all
+    aqe = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tasks = dealt(a, b, "k", [F.col("x")], [F.col("y")], side=50).where("k = 0").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe[0])
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", aqe[1])
+    assert sum(r[1] for r in tasks) == 150_000 and max(r[1] for r in tasks) < 75_000
