@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import placed, ranked, written
-from .textkit import CACHES, ranges, raw, slices, tidy
+from .textkit import CACHES, byte_hashes, ranges, raw, slices, spans, tidy
 
-#: Words whose ids a Python worker keeps (some 180 bytes each).
+#: Words whose ids a Python worker keeps (some 30 bytes each).
 KEPT_WORDS = 1_000_000
 #: A control character that the encoder makes one id of its own; marks where a word ends in a list of words.
 MARK = "\x01"
@@ -24,7 +23,7 @@ MARK = "\x01"
 class WordEncoder:
     """Ids of whole texts from a tokenizer none of whose tokens holds white space, so that a text's ids are its words' ids one after the other.
 
-    Each distinct word goes to the tokenizer once; words and ids met before are kept, up to kept.
+    Each distinct word goes to the tokenizer once; words met before are kept up to kept of them, as sorted 64-bit hashes with the place of their ids.
     """
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
@@ -43,48 +42,56 @@ class WordEncoder:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known, self.starts, self.lengths, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if b"\x01" not in w]
-        odd = [w for w in new if b"\x01" in w]
-        ids, lengths = [self.ids], [self.lengths]
+    def _learn(self, hashes: np.ndarray, new: list[bytes]) -> None:
+        """Keeps the words whose hashes, in ascending order, are these."""
+        plain = [k for k, w in enumerate(new) if b"\x01" not in w]
+        odd = [k for k, w in enumerate(new) if b"\x01" in w]
+        ids, lengths = [self.ids], []
         for k in range(0, len(plain), 4096):
             part = plain[k : k + 4096]
-            got = np.array(self._encode(f" {MARK} ".join(w.decode() for w in part) + f" {MARK}"), dtype=np.uint32)
+            got = np.array(self._encode(f" {MARK} ".join(new[i].decode() for i in part) + f" {MARK}"), dtype=np.uint32)
             ends = np.flatnonzero(got == self.mark[0])
             ids.append(np.delete(got, ends))
             lengths.append(np.diff(ends, prepend=-1) - 1)
-        for w in odd:
-            ids.append(np.array(self._encode(w.decode()), dtype=np.uint32))
+        for i in odd:
+            ids.append(np.array(self._encode(new[i].decode()), dtype=np.uint32))
             lengths.append(np.array([len(ids[-1])]))
-        for w in (*plain, *odd):
-            self.known[w] = len(self.known)
-        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths).astype(np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        lengths = np.concatenate(lengths).astype(np.int64)
+        order = np.empty(len(new), dtype=np.int64)
+        order[plain + odd] = np.arange(len(new))  # of each hash's word, among those encoded
+        starts = len(self.ids) + np.cumsum(lengths) - lengths
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.starts, self.lengths = np.insert(self.known, at, hashes), np.insert(self.starts, at, starts[order]), np.insert(self.lengths, at, lengths[order])
+        self.ids = np.concatenate(ids)
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the place of each hash among those known, whether it is there)."""
+        at = np.searchsorted(self.known, hashes)
+        return at, self.known[np.minimum(at, len(self.known) - 1)] == hashes if len(self.known) else np.zeros(len(hashes), dtype=bool)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, first id of each text and the number of all)."""
         buf, offsets = raw(column)
-        data, cuts = buf.tobytes(), offsets.tolist()
+        data = buf.tobytes()
         if self.folds and b"<|" not in data:
             data = data.lower()  # A-Z only
         if len(self.known) > self.kept:
             self._clear()
-        listed, first = [], [0]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            listed += data[a:b].split()  # bytes split at ASCII white space only
-            first.append(len(listed))
-        at = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            self._learn(list({listed[k] for k in new}))
-            at[new] = [self.known[listed[k]] for k in new]
-        lengths = self.lengths[at]
+        buf = np.frombuffer(data, dtype=np.uint8)
+        starts, ends = spans(buf, offsets)  # parted at ASCII white space only
+        every, one, back = np.unique(byte_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        at, there = self._places(every)
+        if not there.all():
+            new = one[~there]
+            self._learn(every[~there], [data[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            at, _ = self._places(every)
+        at = at[back]
+        lengths = self.lengths[at].astype(np.int64)
         before = np.zeros(len(at) + 1, dtype=np.int64)
         np.cumsum(lengths, out=before[1:])
-        return self.ids[ranges(self.starts[at], lengths)], before[np.array(first)]
+        return self.ids[ranges(self.starts[at], lengths)], before[np.searchsorted(starts, offsets)]
 
 
 @lru_cache(2)
