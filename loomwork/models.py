@@ -33,18 +33,33 @@ class Generator(Protocol):
         """Text, prompt tokens and completion tokens."""
 
 
+#: Words whose hashes an embedder keeps.
+KEPT_WORDS = 200_000
+
+
 class HashEmbedder:
     """A deterministic stand-in: signed hashes of words, normalised."""
 
     def __init__(self, size: int = 64):
         self.size = size
+        #: Words met before: their place, and behind the places those of a negative sign.
+        self.known: dict[str, int] = {}
+
+    def _place(self, word: str) -> int:
+        h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+        self.known[word] = place = h % self.size + (0 if h >> 63 else self.size)
+        return place
 
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.size))
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
         for row, text in zip(out, texts, strict=True):
-            for word in (text or "").lower().split():
-                h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
-                row[h % self.size] += 1 if h >> 63 else -1
+            words = (text or "").lower().split()
+            if words:
+                places = [self._place(w) if p is None else p for w, p in zip(words, map(self.known.get, words), strict=True)]
+                n = np.bincount(places, minlength=2 * self.size)
+                row += n[: self.size] - n[self.size :]
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

@@ -101,3 +101,15 @@ def test_retrieval_follows_settings(spark):
     got = retrieval.retrieve(asked, chunks, settings=settings.load(env=env)).orderBy("rank").collect()
     assert [r.company for r in got] == ["firm 1", "firm 0"] and got[0].chunk_id == "c3" and round(got[0].final_score, 6) == round(1 / 61, 6)
     assert retrieval.retrieve(asked, chunks, settings=settings.load(env={})).count() == 8
+
+
+def test_an_embedder_hashes_a_word_once(monkeypatch):
+    import hashlib
+
+    from loomwork import models
+
+    hashed, md5 = [], hashlib.md5
+    monkeypatch.setattr(models.hashlib, "md5", lambda b: hashed.append(b) or md5(b))
+    model = models.HashEmbedder(8)
+    got = model.encode(["A b a", "b A", None])
+    assert sorted(hashed) == [b"a", b"b"] and (got[2] == 0).all() and abs((got[1] ** 2).sum() - 1) < 1e-9
