@@ -716,3 +716,33 @@ def test_documents_without_an_id_draw_each(spark):
     docs = spark.range(2000).selectExpr("cast(null as long) doc_id", "concat('w', id, ' a b c') text", "if(id % 2 = 0, 'a', 'b') source")
     got = mixing.mix(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(r.taken - r.target) < 0.06 * r.target for r in got)
+
+
+def test_langid_learns_from_every_document(spark):
+    """A kind of text that few documents of a language have, none among those that k-means starts from, is learned as well."""
+    rng = random.Random(6)
+    common, rare = ["ka", "mo", "tiri", "bu"], ["zyx", "wvq", "jjg"]
+    rows = [(k, speech(rng, common, 30), "aa") for k in range(150)] + [(k, speech(rng, rare, 30), "aa") for k in range(150, 190)] + [(k, speech(rng, ["sch", "ung", "eit"], 30), "bb") for k in range(190, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, more = (langid.fit(docs, sample=n, clusters=1) for n in (4, 8))
+    # one centroid a language: the mean of all its documents, whatever the starts
+    assert np.allclose(few.centroids, more.centroids, atol=1e-5) and np.allclose(few.floors, more.floors)
+    texts = pa.array([t for _, t, lang in rows if lang == "aa"])
+    mean = langid.vectors(texts, few.idf).astype(float).sum(axis=0)
+    assert np.allclose(few.centroids[few.languages.index("aa")], mean / np.linalg.norm(mean), atol=1e-4)
+
+
+def test_words_that_are_kept_take_little_memory():
+    encoder = packing.WordEncoder(vocabulary("word_bpe_49k.json"))
+    encoder.encode(pa.array([" ".join(f"word{k}x" for k in range(20_000))]))
+    held = [encoder.known, encoder.starts, encoder.lengths, encoder.ids]
+    assert len(encoder.known) == 20_000 and sum(a.nbytes for a in held) < 20_000 * 64
+
+
+def test_cuts_of_a_text_are_as_near_as_if_cut():
+    rng = np.random.default_rng(3)
+    idf, c = rng.random(langid.SIZE).astype(np.float32), rng.random((3, langid.SIZE)).astype(np.float32)
+    texts = ["", "a", "ab", "abc", "abcd", "é" * 9, "İß Σ日本語 x" * 5, "   ", "b" * 17, "zz 1 2 😀😀😀😀😀", "the cat sat on the mat " * 40]
+    cut = pa.array([t[: 1 << k] for t in texts for k in range(2, langid.BINS) if 1 << (k - 1) < len(t)])
+    _, length, near = langid.cut_similarities(pa.array(texts), idf, c)
+    assert (length == langid.bins(cut)).all() and np.allclose(near, (langid.vectors(cut, idf) @ c.T).max(axis=1), atol=1e-4)
