@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,37 +34,41 @@ def ranked(scores: DataFrame, keys: Sequence[str], score: str, chunk: str = "chu
 
 #: Postings that a question's rarest tokens are read for until their candidates tell a threshold, and room for rounding in comparisons of scores.
 SEEDS, SLACK = 1000, 1e-5
+#: Rows that a part of a search holds at most, by measured count; question texts of a block and chunks that a lexical search scores at once.
+PART_ROWS, BLOCK, STEP = 20_000, 256, 1000
 BONUS = {"company": 2.5, "sheet": 0.5}
 
 
 class Lexical:
     """The tables of a lexical search whose lists are read by bounds. Each is written once.
 
-    postings: token, chunk_id for the tokens that questions ask for. terms: a row per question text and token, the rarest first: place, idf, df, rest (the idf of this token
-    and all after it) and essential. A posting's gain is its token's idf, so a list's bound is exact for each of its blocks: a chunk whose rarest shared token is at
-    some place scores rest at most (and the bonus). The k-th best sum over the rarest tokens, SEEDS postings of them, is a threshold that the k best reach; tokens
-    whose rest falls short of it are not essential, and their lists are never joined, only looked up for candidates.
+    postings: term, chunk_id for the tokens that questions ask for (term: a token's number). terms: a row per question text and token, the rarest first: place, idf, df, rest (the
+    idf of this token and all after it) and essential. A posting's gain is its token's idf, so a list's bound is exact for each of its blocks: a chunk whose rarest shared token is
+    at some place scores rest at most (and the bonus). The k-th best sum over the rarest tokens, SEEDS postings of them, is a threshold that the k best reach; tokens
+    whose rest falls short of it are not essential, and their lists are only looked up for candidates.
     """
 
-    def __init__(self, questions: DataFrame, chunks: DataFrame, k: int, bonus: float):
+    def __init__(self, questions: DataFrame, chunks: DataFrame, k: int, bonus: float, slack: float = SLACK):
+        self.k, self.bonus, self.slack = k, bonus, slack
         asked = questions.select("q_id", "question").distinct().withColumn("qk", F.xxhash64(F.to_json(F.struct("q_id", "question"))))
         self.asked = written(asked, "lexical-asked")
         tokens = self.asked.select("qk", "q_id", F.explode(text.tokens(F.col("question"))).alias("token"))
+        numbers = written(tokens.select("token").distinct().withColumn("term", F.monotonically_increasing_id()), "lexical-tokens")
         listed = chunks.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("token"))
-        self.postings = written(listed.join(tokens.select("token").distinct(), "token", "left_semi"), "lexical-postings")
-        n = chunks.count()
-        lists = self.postings.groupBy("token").agg(F.count("*").alias("df"))
+        self.postings = written(listed.join(numbers, "token").select("term", "chunk_id"), "lexical-postings")
+        self.chunks = n = chunks.count()
+        lists = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         lists = lists.withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
         order = Window.partitionBy("qk").orderBy(F.desc("idf"), "token")
-        terms = tokens.join(lists, "token").select(
-            "qk", "q_id", "token", "df", "idf", F.row_number().over(order).alias("place"),
+        terms = tokens.join(numbers, "token").join(lists, "term").select(
+            "qk", "q_id", "token", "term", "df", "idf", F.row_number().over(order).alias("place"),
             F.sum("idf").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("rest"), F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         )
         terms = written(terms, "lexical-terms")
-        seeds = terms.where(F.col("_before") < max(SEEDS, 20 * k)).join(self.postings, "token").groupBy("qk", "q_id", "chunk_id").agg(F.sum("idf").alias("s"))
+        seeds = terms.where(F.col("_before") < max(SEEDS, 20 * k)).join(self.postings, "term").groupBy("qk", "q_id", "chunk_id").agg(F.sum("idf").alias("s"))
         kth = seeds.withColumn("_at", F.row_number().over(Window.partitionBy("qk").orderBy(F.desc("s")))).where(F.col("_at") == k)
         # the best of a question's texts counts, so the largest of their thresholds holds for all
-        threshold = kth.groupBy("q_id").agg((F.max("s") - SLACK).alias("threshold"))
+        threshold = kth.groupBy("q_id").agg((F.max("s") - slack).alias("threshold"))
         terms = terms.drop("_before").join(threshold, "q_id", "left").withColumn("essential", F.col("threshold").isNull() | (F.col("rest") + bonus >= F.col("threshold")))
         self.terms = written(terms, "lexical-terms")
 
@@ -71,18 +76,78 @@ class Lexical:
         """q_id, postings of its tokens, read (those of the essential ones)."""
         return self.terms.groupBy("q_id").agg(F.sum("df").alias("postings"), F.sum(F.when(F.col("essential"), F.col("df")).otherwise(0)).alias("read"))
 
-    def scores(self, bonus: float) -> DataFrame:
-        """qk, q_id, chunk_id, s of every chunk that may be among the k best."""
-        terms, key = self.terms, ["qk", "q_id", "chunk_id"]
-        rest = terms.where("not essential").groupBy("qk").agg(F.sum("idf").alias("_more"))
-        near = terms.where("essential").join(self.postings, "token").groupBy(*key).agg(F.sum("idf").alias("s"), F.max("threshold").alias("threshold"))
-        near = near.join(rest, "qk", "left").where(F.col("threshold").isNull() | (F.col("s") + F.coalesce("_more", F.lit(0.0)) + bonus >= F.col("threshold"))).select(*key, "s", F.col("_more").isNotNull().alias("_open"))
-        near = written(near, "lexical-candidates")
-        late = terms.where("not essential").select("qk", "token", "idf")
-        # only lists of chunks that are candidates, then only tokens that the candidate's question asks for
-        here = self.postings.join(near.where("_open").select("chunk_id").distinct(), "chunk_id", "left_semi")
-        more = near.where("_open").select(*key).join(here, "chunk_id").join(late, ["qk", "token"]).groupBy(*key).agg(F.sum("idf").alias("_late"))
-        return near.join(more, key, "left").select(*key, (F.col("s") + F.coalesce("_late", F.lit(0.0))).alias("s"))
+    def scores(self) -> DataFrame:
+        """qk, q_id, chunk_id, s of every chunk that may be among the k best.
+
+        Chunks lie in parts of about PART_ROWS with all their postings, question texts in blocks of about BLOCK; each pair of a part and a block is scored by itself, and only
+        what may be among the part's k best leaves it, so nothing is shuffled for each pair of a question and a chunk.
+        """
+        spark = self.postings.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-self.chunks // PART_ROWS))
+        blocks = max(1, -(-self.asked.count() // BLOCK))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long"))
+        held = self.postings.groupBy("chunk_id").agg(F.collect_list("term").alias("terms")).withColumn("part", of("chunk_id", parts)).withColumn("block", every(blocks))
+        asked = self.terms.select("qk", "term", "idf", "essential", "threshold").withColumn("block", of("qk", blocks)).withColumn("part", every(parts))
+        kind = held.schema["chunk_id"].dataType.simpleString()
+        k, bonus, slack = self.k, self.bonus, self.slack
+
+        def best(mine: pa.Table, asking: pa.Table) -> pa.Table:
+            return _part_best(mine, asking, k, bonus, slack)
+
+        found = held.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(best, f"qk long, chunk_id {kind}, s double")
+        return found.join(self.asked.select("qk", "q_id"), "qk").select("qk", "q_id", "chunk_id", "s")
+
+
+def _part_best(mine: pa.Table, asking: pa.Table, k: int, bonus: float, slack: float) -> pa.Table:
+    """qk, chunk_id, s: of each question text of a block (qk, term, idf, essential, threshold) the chunks of a part (chunk_id, terms) that may be among its k best.
+
+    Lists of essential terms give the candidates, the others are read for these alone.
+    """
+    plain = lambda c: asking.column(c).to_numpy()
+    texts, text_at = np.unique(plain("qk"), return_inverse=True)
+    order = np.argsort(plain("term"), kind="stable")
+    term, text_at, idf, essential = plain("term")[order], text_at[order], plain("idf")[order], plain("essential").astype(bool)[order]
+    least = np.full(len(texts), -np.inf)
+    known = ~np.isnan(limit := plain("threshold").astype(float)[order])
+    least[text_at[known]] = limit[known]
+    late = np.bincount(text_at, weights=np.where(essential, 0.0, idf), minlength=len(texts))
+    column = mine.column("terms").combine_chunks()
+    ends, flat = np.diff(column.offsets.to_numpy()).cumsum(), column.flatten().to_numpy()
+    out = []
+    for first in range(0, len(column) if len(texts) else 0, STEP):
+        last = min(first + STEP, len(column))
+        begin = ends[first - 1] if first else 0
+        own, n = flat[begin : ends[last - 1]], np.diff(ends[first:last], prepend=begin)
+        a, b = np.searchsorted(term, own), np.searchsorted(term, own, side="right")
+        size = b - a
+        at = np.repeat(a - (size.cumsum() - size), size) + np.arange(size.sum())  # of each posting, the texts that ask for it
+        cell = np.repeat(np.repeat(np.arange(last - first), n), size) * len(texts) + text_at[at]
+        sums = lambda take: np.bincount(cell[take], weights=idf[at[take]], minlength=(last - first) * len(texts))  # noqa: E731, B023
+        need = essential[at]
+        s = sums(need)
+        open_ = (s > 0).reshape(-1, len(texts)) & (s.reshape(-1, len(texts)) + late + bonus >= least)
+        s = (s + sums(~need & open_.ravel()[cell])).reshape(-1, len(texts))
+        out.append(_kept(*np.nonzero(open_), s, first, k, bonus + slack))
+    chunk, which, s = (np.concatenate([o[j] for o in out] or [np.zeros(0, float if j == 2 else np.int64)]) for j in range(3))
+    # the k-th best of the part, text by text
+    order = np.lexsort((-s, which))
+    chunk, which, s = chunk[order], which[order], s[order]
+    begin = np.searchsorted(which, which)
+    kth = np.where(begin + k - 1 < np.searchsorted(which, which, side="right"), s[np.minimum(begin + k - 1, len(s) - 1)], -np.inf)
+    keep = s >= kth - bonus - slack
+    return pa.table({"qk": pa.array(texts[which[keep]], pa.int64()), "chunk_id": mine.column("chunk_id").take(pa.array(chunk[keep])), "s": pa.array(s[keep], pa.float64())})
+
+
+def _kept(row: np.ndarray, which: np.ndarray, s: np.ndarray, first: int, k: int, room: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, text, score) of the open cells but those that k chunks of the step exceed by more than room."""
+    value = s[row, which]
+    if len(s) > k:
+        only = np.full(s.shape, -np.inf)
+        only[row, which] = value
+        near = value >= np.partition(only, len(s) - k, axis=0)[len(s) - k][which] - room
+        row, which, value = row[near], which[near], value[near]
+    return row + first, which, value
 
 
 def lexical(questions: DataFrame, chunks: DataFrame, k: int = 30, company: str | None = None, sheet: str | None = None, digits: int | None = None) -> DataFrame:
@@ -93,8 +158,8 @@ def lexical(questions: DataFrame, chunks: DataFrame, k: int = 30, company: str |
     """
     named = [(c, w) for c, w in ((company, BONUS["company"]), (sheet, BONUS["sheet"])) if c]
     most = float(sum(w for _, w in named))
-    index = Lexical(questions, chunks, k, most)
-    scores = index.scores(most)
+    index = Lexical(questions, chunks, k, most, SLACK if digits is None else max(SLACK, 2 * 10.0**-digits))
+    scores = index.scores()
     if named:
         scores = scores.join(chunks.select("chunk_id", *[c for c, _ in named]), "chunk_id").join(index.asked.select("qk", "question"), "qk")
         padded = F.concat(F.lit(" "), text.normalized(F.col("question")), F.lit(" "))
@@ -105,10 +170,6 @@ def lexical(questions: DataFrame, chunks: DataFrame, k: int = 30, company: str |
     return ranked(best, ["q_id"], "lexical_score", rank="lexical_rank", limit=k)
 
 
-#: Rows that a part of a dense search holds at most, by measured count.
-PART_ROWS = 20_000
-
-
 def dense(queries: DataFrame, chunks: DataFrame, k: int = 30, *, query: Sequence[str] = ("q_id",), vector: str = "embedding", chunk: str = "chunk_id", parts: int | None = None) -> DataFrame:
     """Exact top k by cosine: the query columns, chunk_id, dense_score, dense_rank. Zero vectors score 0.
 

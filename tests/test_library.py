@@ -461,3 +461,50 @@ def test_ordinals_and_mixes_by_first_appearance(spark):
 def test_markdown_tells_what_it_leaves_out(spark):
     told = sinks.markdown_table(spark.range(7).toDF("n"), most=5)
     assert told.endswith("| 4 |\n\n2 more rows") and "more" not in sinks.markdown_table(spark.range(5).toDF("n"), most=5)
+
+
+def test_lexical_search_lets_only_the_best_of_a_part_leave_it(spark, monkeypatch):
+    """Hot tokens give every chunk a score; none but some k of a part for each text go on, also where texts come in several blocks."""
+    monkeypatch.setattr(retrieval, "BLOCK", 2)
+    rng, k = random.Random(5), 3
+    held = [(c, sorted({"a", "b"} | {f"w{rng.randrange(40)}" for _ in range(6)})) for c in range(3000)]
+    asked = [(q, f"a b w{q} w{q + 1} w{q + 2} w{q + 20}") for q in range(7)]
+    index = retrieval.Lexical(spark.createDataFrame(asked, "q_id int, question string"), spark.createDataFrame(held, "chunk_id int, tokens array<string>"), k, 0.0)
+    df = Counter(t for _, tokens in held for t in tokens)
+    got = {}
+    for r in index.scores().collect():
+        got.setdefault(r.q_id, {})[r.chunk_id] = r.s
+    for q, question in asked:
+        every = {c: sum(math.log(3001 / (1 + df[t])) + 1 for t in set(question.split()) & set(tokens)) for c, tokens in held}
+        best = sorted(every, key=lambda c: (-round(every[c], 6), c))[:k]
+        assert sorted(got[q], key=lambda c: (-round(got[q][c], 6), c))[:k] == best
+        assert all(got[q][c] == pytest.approx(every[c]) for c in got[q])
+        assert len(got[q]) < 600  # of 3000 that share a token
+
+
+def test_a_part_of_a_lexical_search_goes_in_steps(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(retrieval, "STEP", 70)
+    rng = np.random.default_rng(2)
+    terms = [sorted(rng.choice(50, rng.integers(0, 9), replace=False).tolist()) for _ in range(500)]
+    mine = pa.table({"chunk_id": pa.array([None, *range(1, 500)], pa.int64()), "terms": pa.array(terms, pa.list_(pa.int64()))})
+    idf = rng.uniform(1, 5, 50)
+    rows = [(q, int(t), float(idf[t]), bool(t % 3), None if q % 2 else 2.0) for q in range(6) for t in rng.choice(60, 12, replace=False) if t < 50]
+    asking = pa.table(dict(zip(("qk", "term", "idf", "essential", "threshold"), map(list, zip(*rows, strict=True)), strict=True)), schema=pa.schema([("qk", pa.int64()), ("term", pa.int64()), ("idf", pa.float64()), ("essential", pa.bool_()), ("threshold", pa.float64())]))
+    got = retrieval._part_best(mine, asking, 4, 0.5, 1e-5).to_pydict()
+    found = dict(zip(zip(got["qk"], got["chunk_id"], strict=True), got["s"], strict=True))
+    for q in range(6):
+        own = {t: (w, e) for x, t, w, e, _ in rows if x == q}
+        late, least = sum(w for w, e in own.values() if not e), -math.inf if q % 2 else 2.0
+        s = {}
+        for c, held in zip(mine.column("chunk_id").to_pylist(), terms, strict=True):
+            first = sum(own[t][0] for t in held if t in own and own[t][1])
+            if first > 0 and first + late + 0.5 >= least:
+                s[c] = sum(own[t][0] for t in held if t in own)
+        kth = sorted(s.values(), reverse=True)[3]
+        want = {c for c, v in s.items() if v >= kth - 0.5 - 1e-5}
+        assert {c for x, c in found if x == q} == want and all(found[q, c] == pytest.approx(s[c]) for c in want)
+    for side in ((mine.slice(0, 0), asking), (mine, asking.slice(0, 0))):
+        assert retrieval._part_best(*side, 4, 0.0, 0.0).num_rows == 0
