@@ -9,12 +9,22 @@ from loomwork.llm import langid, mixing, neardup, packing, substrings
 from loomwork.llm.common import table, written
 from loomwork.llm.queries import vocabulary
 
+#: Bytes of a batch of rows that goes to a Python worker. Whole texts make batches of 30 MB and more otherwise, which every task holds several times outside of the heap, and the stages share their executors.
+BATCH_BYTES = 4 << 20
 #: SQL for run()'s rows: language ID and tokens can't be expressed; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _in_small_batches(spark: SparkSession) -> None:
+    """Bounds batches for Python workers by bytes, unless the session does so itself. It holds for the session from then on."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that language ID rejects: without letters, or far from every language that docs' labels teach."""
+    _in_small_batches(spark)
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.predict(docs, model, into="_language").where("not _language.rejected").select(*docs.columns)
 
@@ -24,6 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows with the same id and text are one document and leave one row (the least); the same id with another text is another document.
     """
+    _in_small_batches(spark)
     own = ["doc_id", "text"]
     th = F.xxhash64("text")
     several = docs.groupBy("doc_id").agg(F.min(th).alias("lo"), F.max(th).alias("hi")).where("doc_id is not null and lo <> hi")
@@ -41,6 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out repeats of windows of 20 words; documents that are repeats throughout go."""
+    _in_small_batches(spark)
     out = substrings.dedup(docs, also=("lang", "source", "n_chars")).where("kept is null or kept <> ''")
     text = F.coalesce("kept", "text")
     size = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast("long")
@@ -54,6 +66,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of all documents into sequences. Workers that served the other stages keep fewer words."""
+    _in_small_batches(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), kept=500_000)
 
 

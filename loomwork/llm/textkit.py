@@ -29,14 +29,20 @@ def tidy(run, keeps: bool = False):
         if not keeps:
             for empty in CACHES:
                 empty()
+            given_back()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        given_back()
 
     return tidied
 
 
+def given_back() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Parts of at most so many rows and bytes of text (or of one row), so that memory is bounded by the longest text."""
     column = batch.column(text)

@@ -75,3 +75,25 @@ def test_empty(spark, tmp_path):
     docs = frame(spark, []).select(*COLUMNS)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_whole_texts_go_to_workers_in_small_batches(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    docs = spark.range(3000).coalesce(1).selectExpr("id as doc_id", "repeat('some words ', 400) as text", "'en' as lang", "'a' as source", "4400L as n_chars")
+    try:
+        spark.conf.unset(name)
+        cp.language(spark, docs.limit(0), "")
+        n = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(n) > 12_000_000 and max(n) < 1.1 * cp.BATCH_BYTES
+        spark.conf.set(name, 1 << 25)
+        cp.language(spark, docs.limit(0), "")
+        assert spark.conf.get(name) == str(1 << 25)  # the session's own
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
