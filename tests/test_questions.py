@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomwork.functions import fixed
 from loomwork.operators import rows
 from loomwork.plans import answers, planner, questions
-from loomwork.tables import dealt, written
+from loomwork.tables import dealt, handed_out, written
 
 from .test_library import HEADERS, SHEET
 
@@ -150,3 +150,37 @@ def test_large_keys_are_dealt_in_blocks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", aqe[0])
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", aqe[1])
     assert sum(r[1] for r in tasks) == 150_000 and max(r[1] for r in tasks) < 75_000
+
+
+def test_texts_are_planned_once_and_lists_made_only_where_needed(spark, wide, monkeypatch):
+    made = []
+    monkeypatch.setattr(answers, "written", lambda df, label, by=None: made.append((label, written(df, label, by))) or made[-1][1])
+    asked = table(spark, [ASKED[0], ASKED[11], ASKED[10], None, ""] * 4)
+    got = answers.answered(asked, wide)
+    want = answers.answers(questions.plans(asked, wide), wide)
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 0
+    rows_of = lambda label: [df.count() for k, df in made if k == label]
+    assert rows_of("plans")[0] == 3
+    # the answered count needs no list of its rows, and after the linked companies nothing is tried
+    assert rows_of("lines")[:2] == [4, 1]
+
+
+def test_results_larger_than_both_sides_are_handed_out_in_bounded_tasks(spark):
+    asked = spark.range(900).select(F.col("id").alias("q"), (F.col("id") % 3 * (F.col("id") % 2)).alias("k"), F.when(F.col("id") % 5 > 0, "r").alias("rule"))
+    asked = asked.unionByName(asked.where("q < 10"))
+    lines = spark.range(1200).select((F.col("id") % 4).alias("k"), F.col("id").alias("line"))
+    got, want = handed_out(asked, lines, "k", "q", [F.col("line")], side=50, batch=60), asked.join(lines, "k").select("q", "k", "rule", "line")
+    assert sorted(got.columns) == sorted(want.columns) and got.count() == want.count() > 200_000
+    assert got.select(*want.columns).exceptAll(want).isEmpty() and want.exceptAll(got.select(*want.columns)).isEmpty()
+    tasks = [r[1] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 20 and max(tasks) < want.count() / 8
+
+
+def test_rows_of_large_keys_stay_where_they_are_if_few_meet_them(spark):
+    a = spark.range(4000).select((F.col("id") % 2 * F.col("id")).alias("k"), F.col("id").alias("x"))
+    b = spark.range(5).select((F.col("id") % 4).alias("k"), F.col("id").alias("y"))
+    got, want = dealt(a, b, "k", [F.col("x")], [F.col("y")], side=50), a.join(b, "k")
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    # key 0 has 2000 rows on the left: they are where they were read, in all parts
+    at = [r[0] for r in got.where("k = 0").select("x", F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    assert len(at) == a.rdd.getNumPartitions()
