@@ -170,8 +170,8 @@ def lexical(questions: DataFrame, chunks: DataFrame, k: int = 30, company: str |
     return ranked(best, ["q_id"], "lexical_score", rank="lexical_rank", limit=k)
 
 
-def dense(queries: DataFrame, chunks: DataFrame, k: int = 30, *, query: Sequence[str] = ("q_id",), vector: str = "embedding", chunk: str = "chunk_id", parts: int | None = None) -> DataFrame:
-    """Exact top k by cosine: the query columns, chunk_id, dense_score, dense_rank. Zero vectors score 0.
+def dense(queries: DataFrame, chunks: DataFrame, k: int = 30, *, query: Sequence[str] = ("q_id",), vector: str = "embedding", chunk: str = "chunk_id", parts: int | None = None, digits: int | None = None) -> DataFrame:
+    """Exact top k by cosine: the query columns, chunk_id, dense_score, dense_rank. Zero vectors score 0. digits: scores are rounded before they are ranked.
 
     Queries are stated, not all pairs: they go in blocks to parts of the chunks (about PART_ROWS rows each, if there are
     more than the shuffle partitions take), each part keeps its own top k by one matrix product a block, and these are merged.
@@ -181,12 +181,20 @@ def dense(queries: DataFrame, chunks: DataFrame, k: int = 30, *, query: Sequence
     left = chunks.select(F.col(chunk).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v")).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts).cast("long")))
     right = queries.select(F.to_json(F.struct(*query), {"ignoreNullFields": "false"}).alias("q"), F.col(vector).cast("array<double>").alias("v")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     kind = queries.select(*query).schema.simpleString()
-    found = part_scores(left, right, k).withColumn("q", F.from_json("q", kind)).select("q.*", "chunk_id", "dense_score")
+    found = part_scores(left, right, k, digits).withColumn("q", F.from_json("q", kind)).select("q.*", "chunk_id", "dense_score")
     return ranked(found, list(query), "dense_score", rank="dense_rank", limit=k)
 
 
-def part_scores(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """q, chunk_id, dense_score: the k best chunks of each part (chunk_id, v, part) for each query (q, v, part) of the part, by cosine clipped to 0 and 1, ties by chunk_id. One matrix product a block of queries; zero vectors score 0."""
+def rounded(scores: np.ndarray, digits: int) -> np.ndarray:
+    """Scores from 0 on, rounded once and halves up, as SQL does."""
+    scale = 10.0**digits
+    whole = np.floor(scores * scale)
+    return (whole + (scores * scale - whole >= 0.5)) / scale
+
+
+def part_scores(left: DataFrame, right: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """q, chunk_id, dense_score: the k best chunks of each part (chunk_id, v, part) for each query (q, v, part) of the part, by cosine clipped to 0 and 1 and rounded to digits
+    (12, so that the products' rounding parts no equal vectors, if there are none), ties by chunk_id. One matrix product a block of queries; zero vectors score 0."""
     id_kind = left.schema["chunk_id"].dataType.simpleString()
 
     def unit(column: pd.Series) -> np.ndarray:
@@ -201,7 +209,7 @@ def part_scores(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
             m, ids = unit(mine["v"]), mine["chunk_id"].to_numpy()
             for s in range(0, len(asked), 256):
                 block = asked.iloc[s : s + 256]
-                score = np.round(np.clip(unit(block["v"]) @ m.T, 0, 1), 12)
+                score = rounded(np.clip(unit(block["v"]) @ m.T, 0, 1), 12 if digits is None else digits)
                 first = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 out += [pd.DataFrame({"q": [q] * len(f), "chunk_id": ids[f], "dense_score": row[f]}) for q, f, row in zip(block["q"], first, score, strict=True)]
         return pd.concat(out) if out else pd.DataFrame({"q": [], "chunk_id": mine["chunk_id"][:0], "dense_score": []}).astype({"q": object, "dense_score": float})

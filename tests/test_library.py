@@ -508,3 +508,9 @@ def test_a_part_of_a_lexical_search_goes_in_steps(monkeypatch):
         assert {c for x, c in found if x == q} == want and all(found[q, c] == pytest.approx(s[c]) for c in want)
     for side in ((mine.slice(0, 0), asking), (mine, asking.slice(0, 0))):
         assert retrieval._part_best(*side, 4, 0.0, 0.0).num_rows == 0
+
+
+def test_scores_are_rounded_once():
+    """0.1234564999996 has 0.1234565 at twelve digits, but 0.123456 at six."""
+    assert retrieval.rounded(np.array([0.1234564999996, 0.5, 1.0, 0.0, 0.123457]), 6).tolist() == [0.123456, 0.5, 1.0, 0.0, 0.123457]
+    assert retrieval.rounded(np.array([0.125, 0.375]), 2).tolist() == [0.13, 0.38]
