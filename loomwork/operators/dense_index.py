@@ -78,10 +78,12 @@ def build(chunks: DataFrame, root: str, *, cells: int | None = None, vector: str
 
 
 class Search:
-    """One search of an index for a stated set of queries. hits: the query columns, chunk_id, dense_score, dense_rank, equal to an exhaustive search. read(): what it read."""
+    """One search of an index for a stated set of queries. hits: the query columns, chunk_id, dense_score, dense_rank, equal to an exhaustive search. digits: scores are rounded
+    before they are ranked. read(): what it read."""
 
-    def __init__(self, spark: SparkSession, root: str, queries: DataFrame, k: int = 30, *, query: Sequence[str] = ("q_id",), vector: str = "embedding"):
-        self.root, self.k, self.spark, self.query = root, k, spark, list(query)
+    def __init__(self, spark: SparkSession, root: str, queries: DataFrame, k: int = 30, *, query: Sequence[str] = ("q_id",), vector: str = "embedding", digits: int | None = None):
+        self.root, self.k, self.spark, self.query, self.digits = root, k, spark, list(query), digits
+        room = SLACK + (0 if digits is None else 10.0**-digits)  # a score may be rounded up to the k-th one, then the chunk_id decides
         self.visited: set[int] = set()
         cells = sorted(spark.read.parquet(f"{root}/cells").collect(), key=lambda r: r.cell)  # MOST_CELLS at most
         self.sizes = {r.cell: r.n for r in cells}
@@ -89,13 +91,13 @@ class Search:
         count = np.array([r.n for r in cells])
 
         def bounds(batches):
-            """Per query and cell the largest cosine that the cell may hold, and whether the cell is among the query's first."""
+            """Per query and cell the largest score that the cell may hold, and whether the cell is among the query's first."""
             for b in batches:
                 if not b.num_rows:
                     continue
                 q = units(_matrix(b.column(1)))
                 d = np.linalg.norm(q[:, None, :] - c[None], axis=2)
-                most = np.minimum(1 - np.maximum(d - radius, 0) ** 2 / 2, 1) + SLACK
+                most = np.clip(1 - np.maximum(d - radius, 0) ** 2 / 2, 0, 1) + room
                 order = np.argsort(d, axis=1, kind="stable")
                 before = np.cumsum(count[order], axis=1) - count[order]
                 first = np.zeros(d.shape, dtype=bool)
@@ -124,7 +126,7 @@ class Search:
         n = F.element_at(parts, F.col("cell")) if wanted else F.lit(1)
         left = held.select("chunk_id", "v", (F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("chunk_id"), n)).alias("part"))
         right = pairs.select("q", "cell").join(asked, "q").select("q", "v", F.explode(F.sequence(F.lit(0), n - 1)).alias("p"), "cell").select("q", "v", (F.col("cell").cast("long") * (1 << 32) + F.col("p")).alias("part"))
-        return part_scores(left, right, self.k)
+        return part_scores(left, right, self.k, self.digits)
 
     def read(self) -> dict[str, int]:
         """Cells, files and vectors read, and how many there are."""

@@ -514,3 +514,14 @@ def test_scores_are_rounded_once():
     """0.1234564999996 has 0.1234565 at twelve digits, but 0.123456 at six."""
     assert retrieval.rounded(np.array([0.1234564999996, 0.5, 1.0, 0.0, 0.123457]), 6).tolist() == [0.123456, 0.5, 1.0, 0.0, 0.123457]
     assert retrieval.rounded(np.array([0.125, 0.375]), 2).tolist() == [0.13, 0.38]
+
+
+def test_dense_index_reads_cells_whose_scores_are_all_clipped_to_zero(spark, tmp_path):
+    """Cells that lie opposite a query tie with its k-th score of 0, then ids decide."""
+    at = np.linspace(np.pi, np.pi * 0.6, 1000)  # the least ids are the farthest
+    chunks = spark.createDataFrame([(k, [float(np.cos(a)), float(np.sin(a))]) for k, a in enumerate(at)], "chunk_id int, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "q_id int, embedding array<double>")
+    dense_index.build(chunks, str(tmp_path / "i"), cells=40)
+    for digits in (None, 6):
+        got = dense_index.Search(spark, str(tmp_path / "i"), asked, 5, digits=digits).hits.orderBy("dense_rank").collect()
+        assert [(r.chunk_id, r.dense_score) for r in got] == [(k, 0.0) for k in range(5)]
