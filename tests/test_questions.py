@@ -176,6 +176,15 @@ def test_results_larger_than_both_sides_are_handed_out_in_bounded_tasks(spark):
     assert len(tasks) > 20 and max(tasks) < want.count() / 8
 
 
+def test_files_of_a_result_that_is_handed_out_hold_a_number_once_for_its_lines(spark, tmp_path):
+    asked = spark.range(8000).select(F.xxhash64("id").alias("q"), F.lit(1).alias("k"))
+    lines = spark.range(500).select(F.lit(1).alias("k"), F.sha1(F.col("id").cast("string")).alias("key"), F.concat(F.lit("- Company: "), F.col("id").cast("string")).alias("line"))
+    handed_out(asked, lines, "k", "q", [F.col("key")]).write.parquet(f"{tmp_path}/out")
+    files = list((tmp_path / "out").glob("*.parquet"))
+    assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == 4_000_000
+    assert sum(f.stat().st_size for f in files) < 4_000_000
+
+
 def test_rows_of_large_keys_stay_where_they_are_if_few_meet_them(spark):
     a = spark.range(4000).select((F.col("id") % 2 * F.col("id")).alias("k"), F.col("id").alias("x"))
     b = spark.range(5).select((F.col("id") % 4).alias("k"), F.col("id").alias("y"))
